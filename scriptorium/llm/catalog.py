@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leakage
+from scriptorium.llm import encode, leakage, neardup
 from scriptorium.llm.common import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, folder, "extraction_cache"))
+
+
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.duplicate_groups(table(spark, folder, "extraction_cache"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -23,6 +31,8 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,

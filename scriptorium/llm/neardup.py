@@ -1,0 +1,203 @@
+"""Near-duplicate records (problem 5).
+
+A record's shingles are the runs of eight characters of its path and pages in lower case without white space.
+Records with the same text form one class and are compared once. Classes that agree in a band of MinHash values
+become candidates; their remaining MinHash values are compared in steps, and a pair is dropped as soon as the
+posterior probability of its similarity reaching the threshold falls below a tolerance; the rest is verified
+exactly on the sets of shingles.
+
+Null paths and pages count as empty text; records below the least length are left out; an empty table gives no
+rows. ``min_chars`` counts the characters of the pages as delivered.
+"""
+
+from __future__ import annotations
+
+from collections import OrderedDict
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from scriptorium.llm.common import cut
+from scriptorium.llm.components import components
+
+SHINGLE = 8
+THRESHOLD = 0.6
+MIN_CHARS = 200
+#: Bands of ROWS MinHash values each: a pair at the threshold shares one with probability 1 - (1 - 0.6**5)**64 = 0.994.
+BANDS, ROWS = 64, 5
+#: MinHash values come from so many one-permutation hashings of BINS bins.
+MIXES, BINS = 4, 128
+STEP = 32
+#: A pair is dropped when it reaches the threshold with less than this posterior probability.
+TOLERANCE = 0.001
+
+_ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, MIXES, np.uint64) * np.uint64(2) + np.uint64(1)
+_EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
+_PROBES = np.stack([np.random.default_rng(100 + k).permutation(BINS) for k in range(64)], axis=1)
+_BAND_MIX = np.random.default_rng(7).integers(1 << 62, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SALT = np.random.default_rng(8).integers(0, 1 << 63, BANDS, np.uint64)
+
+
+def folded(path: str | None, pages: list[str | None] | None) -> str:
+    """Path and pages in lower case, without any white space."""
+    return "".join("\n".join([path or "", *(p or "" for p in pages or [])]).lower().split())
+
+
+def shingle_set(text: str) -> set[str]:
+    return {text[k : k + SHINGLE] for k in range(len(text) - SHINGLE + 1)}
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> np.uint64(31))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def minhash(text: str) -> np.ndarray | None:
+    """MIXES * BINS MinHash values of the text's shingles; empty bins borrow from others in a fixed random order."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - SHINGLE + 1
+    if n < 1:
+        return None
+    rolled = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
+    rolled = _mixed(rolled)
+    out = np.empty((MIXES, BINS), np.uint64)
+    for m in range(MIXES):
+        values = np.sort(_mixed(rolled * _ODD[m]))
+        at = np.searchsorted(values, _EDGES)
+        full = np.append(at[1:], n) > at
+        own = values[np.minimum(at, n - 1)]
+        if not full.all():
+            empty = np.flatnonzero(~full)
+            tries = full[_PROBES[empty]]
+            first = tries.argmax(1)
+            source = np.where(tries[np.arange(len(empty)), first], _PROBES[empty, first], np.flatnonzero(full)[0])
+            own[empty] = _mixed(own[source] + first.astype(np.uint64) + np.uint64(1))
+        out[m] = own
+    return out.ravel()
+
+
+def band_keys(values: np.ndarray) -> np.ndarray:
+    rows = values[: BANDS * ROWS].reshape(BANDS, ROWS)
+    return _mixed((rows * _BAND_MIX).sum(1, dtype=np.uint64) ^ _BAND_SALT).view(np.int64)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for key, path, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key is None or sum(len(p) for p in pages or [] if p) < MIN_CHARS:
+                continue
+            text = folded(path, pages)
+            values = minhash(text)
+            if values is not None:
+                rows.append((key, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), values[BANDS * ROWS :].astype(np.uint8).tobytes(), band_keys(values).tolist()))
+        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["id", "digest", "sketch", "bands"]
+        )
+
+
+@lru_cache
+def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+    """(values compared, least equal values to go on) by the posterior under an even prior of the similarity."""
+    total = MIXES * BINS - BANDS * ROWS
+    s = (np.arange(2000) + 0.5) / 2000
+    equal = s + (1 - s) / 256  # a byte of the value is compared
+    out = []
+    for n in range(STEP, total + 1, STEP):
+        for m in range(n + 1):
+            log = m * np.log(equal) + (n - m) * np.log1p(-equal)
+            weight = np.exp(log - log.max())
+            if weight[s >= threshold].sum() / weight.sum() >= tolerance:
+                out.append((n, m))
+                break
+    return out
+
+
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = MIXES * BINS - BANDS * ROWS
+    for batch in batches:
+        if batch.num_rows:
+            left, right = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, width) for k in (2, 3))
+            live, done, matches = np.arange(len(left)), 0, np.zeros(len(left), np.int32)
+            for n, least in least_matches():
+                matches = matches + (left[live, done:n] == right[live, done:n]).sum(1)
+                keep = matches >= least
+                live, matches, done = live[keep], matches[keep], n
+            batch = batch.take(pa.array(live))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    recent: OrderedDict[int, set[str]] = OrderedDict()
+
+    def shingles(key: int, path: str | None, pages: list[str | None] | None) -> set[str]:
+        if key not in recent:
+            recent[key] = shingle_set(folded(path, pages))
+            if len(recent) > 200:
+                recent.popitem(last=False)
+        return recent[key]
+
+    for batch in batches:
+        out = []
+        for a, b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            one, two = shingles(a, path_a, pages_a), shingles(b, path_b, pages_b)
+            common = len(one & two)
+            similarity = common / (len(one) + len(two) - common)
+            if similarity >= THRESHOLD:
+                out.append((a, b, similarity))
+        columns = list(zip(*out, strict=True)) if out else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+
+
+def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, rep) of every record compared, and (a, b, similarity) of every similar pair of representatives."""
+    named = records.select(F.col("cache_id").cast("bigint").alias("id"), "path", "pages")
+    features = cut(named.mapInArrow(_features, "id bigint, digest binary, sketch binary, bands array<bigint>"))
+    classes = features.groupBy("digest").agg(F.min("id").alias("rep"))
+    members = features.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
+    own = features.join(classes.withColumnRenamed("rep", "id"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
+    keys = own.select(F.col("id"), F.explode("bands").alias("key"))
+    other = keys.select(F.col("id").alias("b"), "key")
+    candidates = keys.withColumnRenamed("id", "a").join(other, "key").where("a < b").select("a", "b").distinct()
+    sketches = own.select("id", "sketch")
+    compared = (
+        candidates.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        .select("a", "b", "sa", "sb")
+    )
+    close = cut(compared.mapInArrow(_prune, "a bigint, b bigint"))
+    ends = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
+    texts = named.join(ends, "id", "left_semi")
+    both = (
+        close.join(texts.select(F.col("id").alias("a"), F.col("path").alias("path_a"), F.col("pages").alias("pages_a")), "a")
+        .join(texts.select(F.col("id").alias("b"), F.col("path").alias("path_b"), F.col("pages").alias("pages_b")), "b")
+        .select("a", "b", "path_a", "pages_a", "path_b", "pages_b")
+    )
+    return members, both.mapInArrow(_verify, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
+
+
+def similar_pairs(records: DataFrame) -> DataFrame:
+    """(cache_id_a, cache_id_b), a < b: every pair of records at or above the threshold."""
+    members, links = class_links(records)
+    one, two = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
+    across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("cache_id_a"), F.greatest("x", "y").alias("cache_id_b"))
+    within = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("cache_id_a"), F.col("y").alias("cache_id_b"))
+    return across.unionAll(within)
+
+
+def duplicate_groups(records: DataFrame) -> DataFrame:
+    """(cache_id, rep, group_id, links): class, connected group and number of similar classes of every record compared."""
+    members, links = class_links(records)
+    links = cut(links)
+    degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    groups = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
+    out = members.join(degree, "rep", "left").join(groups, "rep", "left")
+    return out.select(F.col("id").alias("cache_id"), "rep", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
