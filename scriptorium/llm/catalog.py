@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leakage, neardup
+from scriptorium.llm import encode, leakage, neardup, spam
 from scriptorium.llm.common import table
 
 
@@ -30,12 +30,17 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.remove_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam.find_spam(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
+    "p9_found": p9_found,
 }
 
 #: None of these operators has a form in SQL; they are tested against brute force, round trips and fixtures.
