@@ -34,6 +34,8 @@ MIXES, BINS = 4, 128
 STEP = 32
 #: A pair is dropped when it reaches the threshold with less than this posterior probability.
 TOLERANCE = 0.001
+#: Ids of compared records are broadcast up to this number; beyond it they are joined by a shuffle.
+MAX_BROADCAST_IDS = 1_000_000
 
 _ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, MIXES, np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
@@ -175,7 +177,9 @@ def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     close = cut(compared.mapInArrow(_prune, "a bigint, b bigint"))
     ends = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    texts = named.join(ends, "id", "left_semi")
+    ends = cut(ends)
+    few = ends.count() <= MAX_BROADCAST_IDS
+    texts = named.join(F.broadcast(ends) if few else ends, "id", "left_semi")
     both = (
         close.join(texts.select(F.col("id").alias("a"), F.col("path").alias("path_a"), F.col("pages").alias("pages_a")), "a")
         .join(texts.select(F.col("id").alias("b"), F.col("path").alias("path_b"), F.col("pages").alias("pages_b")), "b")
