@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leakage, neardup, spam
+from scriptorium.llm import encode, leakage, neardup, quality, spam
 from scriptorium.llm.common import table
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.find_issues(table(spark, folder, "extraction_cache"), table(spark, folder, "document_results"))
+
+
+def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.record_kinds(quality.measured_records(table(spark, folder, "extraction_cache")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, folder, "extraction_cache"))
 
@@ -35,6 +43,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_kinds": p2_kinds,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p7_ids": p7_ids,
