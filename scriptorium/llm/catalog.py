@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, leakage, neardup, quality, spam
+from scriptorium.llm import encode, langid, leakage, neardup, quality, spam
 from scriptorium.llm.common import table
 
 
@@ -26,6 +26,15 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.duplicate_groups(table(spark, folder, "extraction_cache"))
 
 
+def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.paragraph_languages(table(spark, folder, "extraction_cache"), table(spark, folder, "language_labels"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = langid.mislabelled(table(spark, folder, "extraction_cache"), table(spark, folder, "language_labels"))
+    return found.select("cache_id", "page_no", "para_no", "lang")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode_corpus(table(spark, folder, "documents"))
 
@@ -47,6 +56,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_kinds": p2_kinds,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
+    "p6_found": p6_found,
+    "p6_languages": p6_languages,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,
