@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, langid, leakage, neardup, quality, spam
+from scriptorium.llm import encode, langid, leakage, neardup, quality, sentences, spam
 from scriptorium.llm.common import table
 
 
@@ -18,6 +18,14 @@ def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return quality.record_kinds(quality.measured_records(table(spark, folder, "extraction_cache")))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_positions(table(spark, folder, "extraction_cache"), table(spark, folder, "sentence_sample"))
+
+
+def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_positions(table(spark, folder, "extraction_cache"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, folder, "extraction_cache"))
 
@@ -54,6 +62,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
+    "p3_found": p3_found,
+    "p3_sentences": p3_sentences,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
