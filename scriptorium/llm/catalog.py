@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, langid, leakage, neardup, quality, sentences, spam
+from scriptorium.llm import encode, langid, leakage, neardup, quality, scan_noise, sentences, spam
 from scriptorium.llm.common import table
 
 
@@ -26,6 +26,14 @@ def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_positions(table(spark, folder, "extraction_cache"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.find_noise(table(spark, folder, "extraction_cache"), table(spark, folder, "per_document_entries"))
+
+
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_noise.repair_pages(table(spark, folder, "extraction_cache"), table(spark, folder, "per_document_entries"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, folder, "extraction_cache"))
 
@@ -64,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
     "p3_sentences": p3_sentences,
+    "p4_found": p4_found,
+    "p4_text": p4_text,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p6_found": p6_found,
