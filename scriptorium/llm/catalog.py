@@ -6,10 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import encode, langid, leakage, neardup, quality, scan_noise, sentences, spam
+from scriptorium.llm import encode, langid, leakage, names, neardup, quality, scan_noise, sentences, spam
 from scriptorium.llm.common import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return names.variant_pairs(table(spark, folder, "most_cited_authors"), table(spark, folder, "per_document_entries"))
+
+
+def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    clusters, _ = names.variant_clusters(table(spark, folder, "most_cited_authors"), table(spark, folder, "per_document_entries"))
+    return clusters.withColumnsRenamed({"id": "author_id", "component": "cluster_id"})
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return quality.find_issues(table(spark, folder, "extraction_cache"), table(spark, folder, "document_results"))
 
@@ -68,6 +77,8 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p2_found": p2_found,
     "p2_kinds": p2_kinds,
     "p3_found": p3_found,
