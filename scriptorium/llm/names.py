@@ -28,7 +28,7 @@ SURNAME, WORD = 0.78, 0.80
 
 # Given names and what they are called for short; words of organisations' names; particles.
 NICKNAMES = (
-    "alexander alex sandy sasha alec", "antonio tony toni anton", "amina mina", "charles chas charlie chuck carl karl", "daniel dan danny", "david dave",
+    "alexander alex sandy sasha alec", "antonio tony toni anton", "amina mina", "anna ann anne annie nan", "charles chas charlie chuck carl karl", "daniel dan danny", "david dave",
     "dorothea dora thea dorothy dot", "edward ed eddie ted ned", "eleanor nell ellie leonora nora", "elizabeth liz beth eliza betty lisa elisabeth", "francisco paco frank francis pancho",
     "gabriela gabi gaby gabriel", "george georg jorge", "grace gracie", "hannah hanna", "henrietta hetty etta henriette", "henry harry hank heinrich", "ingrid inga inge", "james jim jimmy jamie",
     "johannes hans jan johann john jon jack", "joseph joe joey jose josef pepe", "josephine jo josie fina", "katherine kate kathy katie kit catherine cathy katharina", "leopold leo poldi", "margaret maggie meg peggy greta marg",
@@ -269,7 +269,7 @@ def work_title(entry: str) -> str:
     text = "\n".join(lines)
     text = re.sub(r"\s+", " ", _CLOSE.sub(r"\1\2", text)).strip()
     year = _YEAR.search(text)
-    if year and year.start() < 0.6 * len(text) and not (_NUMBERED.match(text) and year.start() > 0.45 * len(text)):
+    if year and not (_NUMBERED.match(text) and year.start() > 0.45 * len(text)):
         start = year.end()
     else:
         numbered = _NUMBERED.match(text)

@@ -6,8 +6,8 @@ become candidates; their remaining MinHash values are compared in steps, and a p
 posterior probability of its similarity reaching the threshold falls below a tolerance; the rest is verified
 exactly on the sets of shingles.
 
-Null paths and pages count as empty text; records below the least length are left out; an empty table gives no
-rows. ``min_chars`` counts the characters of the pages as delivered.
+Null paths and pages count as empty text; records below the least length, and those with fewer than eight
+characters besides white space, are left out; an empty table gives no rows. ``min_chars`` counts the characters of the pages as delivered.
 """
 
 from __future__ import annotations
@@ -193,6 +193,7 @@ def similar_pairs(records: DataFrame) -> DataFrame:
     members, links = class_links(records)
     one, two = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
     across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("cache_id_a"), F.greatest("x", "y").alias("cache_id_b"))
+    across = across.where("cache_id_a < cache_id_b").distinct()  # an id that stands for two texts meets a pair twice
     within = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("cache_id_a"), F.col("y").alias("cache_id_b"))
     return across.unionAll(within)
 

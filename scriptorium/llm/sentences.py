@@ -211,7 +211,8 @@ def paragraph_ends(text: str) -> list[int]:
         while near < len(spans) and spans[near][0] < begin - PAIR_SPAN:
             near += 1
         inside = False
-        for a, b in spans[near:]:
+        for k in range(near, len(spans)):
+            a, b = spans[k]
             if a >= start:
                 break
             if b >= end and a > begin and text[begin:a].strip("\"'«»„“‘([（「『 \n\t"):

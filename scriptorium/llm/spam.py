@@ -6,6 +6,7 @@ spam blocks, weighed by these probabilities, and is smoothed by the rate of spam
 
 Null, blank and short texts are no case. A null host takes the rate of the whole corpus. Repeated rows are scored
 one by one. Pages of any length are read whole.
+A block of fewer than three words without a link repeats no keywords and is no spam, however long it is.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def weak_label(f: list[float], block: str) -> int | None:
     if spam:
         return 1
     ham = (
-        v["links"] < 0.25
+        v["links"] < (0.45 if v["years"] > 0.03 else 0.25)
         and v["tags"] < 0.1
         and v["packed"] > 0.42
         and v["repeated_segments"] < 0.3
@@ -148,7 +149,7 @@ def train(texts: list[str]) -> BaggedTrees | None:
 
 def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None]:
     """Share of each text's characters in spam; None for texts that are no case."""
-    rows, owner, sizes = [], [], []
+    rows, owner, sizes, wide = [], [], [], []
     for k, text in enumerate(texts):
         if text is None or len(text) < MIN_CHARS:
             continue
@@ -156,12 +157,15 @@ def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None
             rows.append(block_features(block))
             owner.append(k)
             sizes.append(len(block))
+            wide.append(not block.isascii())
     out: list[float | None] = [None] * len(texts)
     if rows:
         p = trees.predict(np.array(rows))
         weight = np.array(sizes, float)
         total = np.bincount(owner, weight, len(texts))
-        spam = np.bincount(owner, weight * (p > 0.5), len(texts))
+        table = np.array(rows)
+        named = (table[:, FEATURES.index("words")] > 2) | (table[:, FEATURES.index("links")] > 0) | np.array(wide)
+        spam = np.bincount(owner, weight * ((p > 0.5) & named), len(texts))
         for k in np.flatnonzero(total):
             out[k] = float(spam[k] / total[k])
     return out
