@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -58,15 +59,37 @@ class Taxonomy:
         return Taxonomy.of(out)
 
 
-def pattern_of(variants: Iterable[str]) -> str:
-    """One alternation between word boundaries, without regard to case, over all of Unicode."""
-    return rf"(?iU)\b(?:{'|'.join(variants)})\b"
+def pattern_of(variants: Iterable[str], flags: str = "iU") -> str:
+    """One alternation between word boundaries, by default without regard to case, over all of Unicode."""
+    return rf"(?{flags})\b(?:{'|'.join(variants)})\b"
+
+
+def _outside_groups(variant: str) -> str:
+    while (inner := re.sub(r"\((?:\\.|[^()\\])*\)", "", variant)) != variant:
+        variant = inner
+    return variant
+
+
+def counting_pattern(variants: Iterable[str]) -> str:
+    """A pattern for folded text with as many matches as the alternation has, which begins with letters if it can.
+
+    Alternatives that are single words with a common beginning are searched by that beginning, which the engine finds
+    by skipping; what stands around it is looked at only there. A match inside another is impossible for single words.
+    """
+    variants = tuple(variants)
+    starts = [literal_start(v) for v in variants]
+    stem = starts[0] if starts else ""
+    while stem and not all(s.startswith(stem) for s in starts):
+        stem = stem[:-1]
+    if len(stem) >= 3 and all(re.fullmatch(r"[a-z?():|]+", v) for v in variants):
+        return rf"(?U){stem}(?<=\b(?=(?:{'|'.join(variants)})\b){stem})"
+    return pattern_of(variants, "U")
 
 
 def literal_start(variant: str) -> str:
     """The lower-case letters that every match of an alternative must begin with."""
     found = re.match(r"[a-zA-Z]+", variant)
-    if not found:
+    if not found or "|" in re.sub(r"\[[^\]]*\]|\\.", "", _outside_groups(variant)):
         return ""
     word, rest = found.group(), variant[found.end() :]
     return (word[:-1] if rest[:1] in ("?", "*", "{") else word).lower()
@@ -84,9 +107,19 @@ def may_occur(folded: Column, variants: Iterable[str]) -> Column | None:
     return out
 
 
+#: Letters beyond ASCII that match Latin ones without regard to case, and those ones.
+ODD_LETTERS, THEIR_LETTERS = "\u017f\u0131\u0130\u212a", "siik"
+
+
 def folded(text: Column) -> Column:
-    """Lower case, with the four letters that fold to Latin ones beyond lower-casing."""
-    return F.lower(F.translate(text, "ſıİK", "siik"))
+    """Lower case, with the odd letters as the Latin ones they match; as long as the text."""
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in ODD_LETTERS])
+    return F.lower(F.when(odd, F.translate(text, ODD_LETTERS, THEIR_LETTERS)).otherwise(text))
+
+
+def plain_lower(variants: Iterable[str]) -> bool:
+    """Whether alternatives are plain lower-case ASCII, so that the folded text can be searched with regard to case."""
+    return all(v.isascii() and re.sub(r"\\.", "", v) == re.sub(r"\\.", "", v).lower() for v in variants)
 
 
 # The built-in taxonomy, its phrases that discount a hit, and the forms its variants add.

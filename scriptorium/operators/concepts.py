@@ -11,27 +11,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.functions.taxonomy import Taxonomy, folded, may_occur, pattern_of
+from scriptorium.functions.taxonomy import Taxonomy, counting_pattern, folded, may_occur, pattern_of, plain_lower
 
 #: Characters on either side of a hit in which a phrase discounts it.
 CONTEXT = 40
 
 
 def token_count(text: Column, variants: Iterable[str], low: Column | None = None) -> Column:
-    """Matches of one concept; the pattern runs only where its first letters occur."""
+    """Matches of one concept; the pattern runs only where its first letters occur, on the folded text if it can."""
     variants = tuple(variants)
-    count = F.regexp_count(text, F.lit(pattern_of(variants)))
-    guard = may_occur(folded(text) if low is None else low, variants)
+    low = folded(text) if low is None else low
+    count = F.regexp_count(low, F.lit(counting_pattern(variants))) if plain_lower(variants) else F.regexp_count(text, F.lit(pattern_of(variants)))
+    guard = may_occur(low, variants)
     return count if guard is None else F.when(guard, count).otherwise(F.when(text.isNotNull(), F.lit(0)))
 
 
-def discounted_count(text: Column, variants: Iterable[str], phrases: Iterable[str], low: Column | None = None, context: int = CONTEXT) -> Column:
+def kept_count(text: Column, variants: Iterable[str], phrases: Iterable[str], context: int = CONTEXT) -> Column:
     """Matches of one concept without those that have a phrase within ``context`` characters on either side."""
-    variants, phrases = tuple(variants), tuple(p.lower() for p in phrases if p)
-    low = folded(text) if low is None else low
-    plain = token_count(text, variants, low)
-    if not phrases:
-        return plain
+    phrases = [p.lower() for p in phrases if p]
     pattern = pattern_of(variants)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit")))
@@ -41,22 +38,33 @@ def discounted_count(text: Column, variants: Iterable[str], phrases: Iterable[st
         end = start + size["hit"]
         begin = F.greatest(F.lit(0), start - context)
         near = F.lower(F.substring(text, begin + 1, end + context - begin))
-        hit = size["hit"].isNotNull() & ~reduce(lambda a, b: a | b, [F.contains(near, F.lit(p)) for p in phrases])
+        hit = size["hit"].isNotNull() & ~reduce(lambda a, b: a | b, [F.contains(near, F.lit(p)) for p in phrases], F.lit(False))
         return F.struct(F.coalesce(end, F.lit(0)).alias("at"), (state["kept"] + hit.cast("int")).alias("kept"))
 
-    kept = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.lit(0).alias("kept")), step, lambda s: s["kept"])
-    anywhere = reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(p)) for p in phrases])
-    return F.when(anywhere & (plain > 0), kept).otherwise(plain)
+    return F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.lit(0).alias("kept")), step, lambda s: s["kept"])
+
+
+def count_concepts(documents: DataFrame, taxonomy: Taxonomy, phrases: Iterable[str] = (), pages: str = "pages", keep: Iterable[str] = ("path",)) -> DataFrame:
+    """keep..., char_count, extraction_ok, raw__{concept}... and concept__{concept}...: all hits, and those not discounted.
+
+    In two steps: plain counts first, then offsets only where a document has both the concept and a phrase.
+    """
+    keep = list(keep)
+    phrases = tuple(p for p in phrases if p)
+    raw = documents.select(*keep, T.normalise(T.join_pages(F.col(pages))).alias("_text")).withColumn("_low", folded(F.col("_text")))
+    text, low = F.col("_text"), F.col("_low")
+    near = reduce(lambda a, b: a | b, [F.contains(low, folded(F.lit(p))) for p in phrases], F.lit(False))
+    plain = raw.select(*keep, text, F.length(text).alias("char_count"), (~T.is_blank(text)).alias("extraction_ok"), near.alias("_near"), *(token_count(text, v, low).alias(f"raw__{c}") for c, v in taxonomy.patterns.items()))
+    if phrases:
+        counts = [F.when(F.col("_near") & (F.col(f"raw__{c}") > 0), kept_count(text, v, phrases)).otherwise(F.col(f"raw__{c}")).alias(f"concept__{c}") for c, v in taxonomy.patterns.items()]
+    else:
+        counts = [F.col(f"raw__{c}").alias(f"concept__{c}") for c in taxonomy.concepts]
+    return plain.select(*keep, "char_count", "extraction_ok", *(f"raw__{c}" for c in taxonomy.concepts), *counts)
 
 
 def profile(documents: DataFrame, taxonomy: Taxonomy, phrases: Iterable[str] = (), pages: str = "pages", keep: Iterable[str] = ("path",)) -> DataFrame:
     """One wide row a document: text statistics, counts of every concept and frame, and the dominant frame."""
-    keep = list(keep)
-    raw = documents.select(*keep, T.normalise(T.join_pages(F.col(pages))).alias("_text"))
-    raw = raw.withColumn("_low", folded(F.col("_text")))
-    phrases = tuple(phrases)
-    counts = {c: discounted_count(F.col("_text"), v, phrases, F.col("_low")) for c, v in taxonomy.patterns.items()}
-    counted = raw.select(*keep, F.length("_text").alias("char_count"), (~T.is_blank(F.col("_text"))).alias("extraction_ok"), *(n.alias(f"concept__{c}") for c, n in counts.items()))
+    counted = count_concepts(documents, taxonomy, phrases, pages, keep).drop(*(f"raw__{c}" for c in taxonomy.concepts))
     frames = {f: reduce(lambda a, b: a + b, [F.col(f"concept__{c}") for c, _ in concepts], F.lit(0)) for f, concepts in taxonomy.frames}
     out = counted.withColumns({f"frame_hits__{f}": n for f, n in frames.items()})
     total = reduce(lambda a, b: a + b, [F.col(f"frame_hits__{f}") for f in taxonomy.frame_order], F.lit(0))
@@ -76,13 +84,10 @@ def hits_long(profiled: DataFrame, taxonomy: Taxonomy, keep: Iterable[str] = ("p
 
 def breadth_histogram(profiled: DataFrame) -> DataFrame:
     """(bucket, documents, n_documents): documents by number of concepts, 0 to 5 and 6+, empty buckets included."""
-    spark = profiled.sparkSession
-    bucket = F.when(F.col("breadth") >= 6, F.lit("6+")).otherwise(F.col("breadth").cast("string"))
-    counted = profiled.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("documents"))
-    spine = spark.range(7).select(F.when(F.col("id") == 6, F.lit("6+")).otherwise(F.col("id").cast("string")).alias("bucket"))
-    filled = spine.join(counted, "bucket", "left").select("bucket", F.coalesce("documents", F.lit(0)).alias("documents"))
-    # seven rows: the window's single partition is no bottleneck
-    return filled.withColumn("n_documents", F.sum("documents").over(Window.partitionBy(F.lit(0))))
+    # one aggregation and no join, so that no condition on the counts is pushed below them and computed twice
+    names = [*map(str, range(6)), "6+"]
+    sums = profiled.agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("breadth") == k if k < 6 else F.col("breadth") >= 6).alias(f"b{k}") for k in range(7)))
+    return sums.select(F.inline(F.array(*(F.struct(F.lit(name).alias("bucket"), F.col(f"b{k}").alias("documents"), F.col("n").alias("n_documents")) for k, name in enumerate(names)))))
 
 
 def frame_dominance(profiled: DataFrame, taxonomy: Taxonomy) -> DataFrame:

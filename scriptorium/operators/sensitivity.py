@@ -13,8 +13,14 @@ from scriptorium.operators.concepts import token_count
 
 
 def _sentence_count(pieces: Column, low: Column, variants: tuple[str, ...]) -> Column:
+    """Sentences with a hit; the pattern only sees those that have its first letters."""
     pattern = pattern_of(variants)
-    count = F.size(F.filter(pieces, lambda s: s.rlike(pattern)))
+
+    def has(sentence: Column) -> Column:
+        near = may_occur(folded(sentence), variants)
+        return sentence.rlike(pattern) if near is None else near & sentence.rlike(pattern)
+
+    count = F.size(F.filter(pieces, has))
     guard = may_occur(low, variants)
     return count if guard is None else F.when(guard, count).otherwise(F.lit(0))
 

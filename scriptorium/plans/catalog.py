@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import NATIVE_VARIANTS, Taxonomy, Variant, pattern_of, variants_of
 from scriptorium.operators import biblio, canvas, concepts, markup, sensitivity
+from scriptorium.operators.spread import spread
 from scriptorium.plans import fixtures
 from scriptorium.plans.page import html_page
 from scriptorium.sources import corpus
@@ -35,6 +36,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def texts(spark: SparkSession, folder: str, columns: list[str], name: str = "extraction_cache") -> DataFrame:
+    """The named columns of a table of texts, on all cores even if it is one small file."""
+    return spread(table(spark, folder, name).select(*columns))
+
+
 def _taxonomy(spark: SparkSession, folder: str) -> Taxonomy:
     return Taxonomy.from_table(table(spark, folder, "taxonomy"))
 
@@ -47,7 +53,7 @@ def _phrases(spark: SparkSession, folder: str) -> list[str]:
 def _profiles(spark: SparkSession, folder: str, discount: bool = True) -> tuple[DataFrame, Taxonomy]:
     taxonomy = _taxonomy(spark, folder)
     phrases = _phrases(spark, folder) if discount else []
-    return concepts.profile(table(spark, folder, "extraction_cache"), taxonomy, phrases, keep=["cache_id", "path"]), taxonomy
+    return concepts.profile(texts(spark, folder, ["cache_id", "path", "pages"]), taxonomy, phrases, keep=["cache_id", "path"]), taxonomy
 
 
 # ---- SQL building blocks ----------------------------------------------------------------------------------------
@@ -103,9 +109,9 @@ def concept_hits_long(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"{_COUNTS} SELECT cache_id, concept, CAST(raw AS BIGINT) AS raw_hits, hits AS kept_hits FROM counts WHERE raw > 0")
 def context_discount(spark: SparkSession, folder: str) -> DataFrame:
     taxonomy, phrases = _taxonomy(spark, folder), _phrases(spark, folder)
-    text = table(spark, folder, "extraction_cache").select("cache_id", T.normalise(T.join_pages(F.col("pages"))).alias("text"))
-    rows = F.array(*(F.struct(F.lit(c).alias("concept"), concepts.token_count(F.col("text"), v).cast("bigint").alias("raw_hits"), concepts.discounted_count(F.col("text"), v, phrases).cast("bigint").alias("kept_hits")) for c, v in taxonomy.patterns.items()))
-    return text.select("cache_id", F.inline(rows)).where("raw_hits > 0")
+    counted = concepts.count_concepts(texts(spark, folder, ["cache_id", "pages"]), taxonomy, phrases, keep=["cache_id"])
+    rows = F.array(*(F.struct(F.lit(c).alias("concept"), F.col(f"raw__{c}").cast("bigint").alias("raw_hits"), F.col(f"concept__{c}").cast("bigint").alias("kept_hits")) for c in taxonomy.concepts))
+    return counted.select("cache_id", F.inline(rows)).where("raw_hits > 0")
 
 
 @query(f"{_PROFILE} SELECT cache_id, path, char_count, extraction_ok, total_hits, breadth, dominant_frame FROM profile")
@@ -199,7 +205,7 @@ SELECT variant, frame, CAST(hits AS BIGINT) AS hits, CAST(sum(hits) OVER (PARTIT
 
 
 def _matrix(spark: SparkSession, folder: str, variants: tuple[Variant, ...]) -> DataFrame:
-    found = sensitivity.sensitivity_matrix(table(spark, folder, "extraction_cache"), variants)
+    found = sensitivity.sensitivity_matrix(texts(spark, folder, ["pages"]), variants)
     return found.select("variant", "frame", *(F.col(c).cast("bigint").alias(c) for c in ("hits", "all_hits", "n_zero", "n_docs")))
 
 
@@ -223,7 +229,7 @@ def sentence_presence(spark: SparkSession, folder: str) -> DataFrame:
     matrix = Variant("only", taxonomy, "sentence")
     # a frame of its own for each concept gives the counts by concept
     split = Taxonomy.of({c: {c: v} for c, v in matrix.taxonomy.patterns.items()})
-    return sensitivity.sensitivity_matrix(table(spark, folder, "extraction_cache"), (Variant("only", split, "sentence"),)).select(F.col("frame").alias("concept"), F.col("hits").cast("bigint").alias("n_sentences"))
+    return sensitivity.sensitivity_matrix(texts(spark, folder, ["pages"]), (Variant("only", split, "sentence"),)).select(F.col("frame").alias("concept"), F.col("hits").cast("bigint").alias("n_sentences"))
 
 
 # ---- sources and text -------------------------------------------------------------------------------------------
@@ -292,7 +298,7 @@ name AS (SELECT entry_id, y, coalesce(nullif(regexp_extract(before, '^({_SURNAME
 
 @query(f"WITH {_KEY} SELECT entry_id, CASE WHEN y IS NOT NULL THEN s END AS surname, CASE WHEN s IS NOT NULL THEN y END AS year FROM name")
 def citation_keys(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "per_document_entries").select("entry_id", biblio.citation_key(F.col("raw_entry")).alias("k")).select("entry_id", "k.surname", "k.year")
+    return texts(spark, folder, ["entry_id", "raw_entry"], "per_document_entries").select("entry_id", biblio.citation_key(F.col("raw_entry")).alias("k")).select("entry_id", "k.surname", "k.year")
 
 
 _PARSED = "FROM per_document_entries WHERE surname <> '' AND year <> ''"
@@ -317,7 +323,7 @@ def biblio_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def biblio_entries(spark: SparkSession, folder: str) -> DataFrame:
-    return biblio.entries(table(spark, folder, "extraction_cache"))
+    return biblio.entries(texts(spark, folder, ["path", "pages"]))
 
 
 # ---- canvases ---------------------------------------------------------------------------------------------------

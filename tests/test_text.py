@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import Taxonomy, literal_start, pattern_of
+from scriptorium.operators.concepts import token_count
 
 CASES = ["coloni-\nalism", "neo-\nimperialism", "   \n", "", "a- \n\n b", "a-\nb-\nc", "x  y\x1cz", "A b. C d! E f?  G. ", "no end", "tab\tand\x0bmore ", None]
 
@@ -54,7 +55,7 @@ def test_escape_and_exact_rounding(spark):
     assert [r.x for r in got] == [2.67, 0.12]
 
 
-@pytest.mark.parametrize(("variant", "start"), [("enclos(?:e|ed)", "enclos"), ("empires?", "empire"), ("neo[\\s-]x", "neo"), ("(?:a|b)c", ""), ("RaciSm", "racism"), ("ab*c", "a")])
+@pytest.mark.parametrize(("variant", "start"), [("enclos(?:e|ed)", "enclos"), ("empires?", "empire"), ("neo[\\s-]x", "neo"), ("(?:a|b)c", ""), ("RaciSm", "racism"), ("ab*c", "a"), ("cat|dog", ""), ("ca(?:t|r)s", "ca"), ("x[|]y", "x")])
 def test_literal_start(variant, start):
     assert literal_start(variant) == start
 
@@ -71,3 +72,12 @@ def test_taxonomy_table_keeps_order_and_skips_empty(spark):
     assert taxonomy.frame_order == ["a", "b"]
     assert taxonomy.concepts == ["x", "z", "y"]
     assert taxonomy.patterns["z"] == ("z",)
+
+
+@pytest.mark.parametrize("variants", [["enclosure", "enclosures", "enclos(?:e|ed|ing)"], ["commons", "commoners?"], ["settler[\\s-]colonial(?:ism)?"], ["cat|dog"], ["racism", "racist(?:s)?"]])
+def test_counting_patterns_count_the_same(spark, variants):
+    words = ["enclosure", "Enclosures", "enclosed", "enclos", "reenclosing", "common", "COMMONS", "commoners", "commoner's", "settler colonial", "settler-colonialism", "cat", "dogs", "dog", "racist", "racists.", "éracism", "racism_", "raciſm", "\u0130cat", "commonsé"]
+    texts = [" ".join(words), ", ".join(reversed(words)), "".join(words), "", "enclosure" * 3, "enclosure-enclosure.enclosed"]
+    df = rows(spark, texts).select("k", token_count(F.col("v"), variants).alias("n"), F.regexp_count("v", F.lit(pattern_of(variants))).alias("m"))
+    assert [(r.n, r.m) for r in df.collect() if r.n != r.m] == []
+    assert sum(r.n for r in df.collect()) > 0
