@@ -8,72 +8,89 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import encode, langid, leakage, names, neardup, quality, scan_noise, sentences, spam
 from scriptorium.llm.common import table
+from scriptorium.operators.spread import spread
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "extraction_cache").select("cache_id", "path", "pages"))
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "extraction_cache").select("cache_id", "pages"))
+
+
+def _entries(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "per_document_entries").select("entry_id", "document", "surname", "year", "raw_entry"))
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return names.variant_pairs(table(spark, folder, "most_cited_authors"), table(spark, folder, "per_document_entries"))
+    return names.variant_pairs(table(spark, folder, "most_cited_authors"), _entries(spark, folder))
 
 
 def p1_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    clusters, _ = names.variant_clusters(table(spark, folder, "most_cited_authors"), table(spark, folder, "per_document_entries"))
+    clusters, _ = names.variant_clusters(table(spark, folder, "most_cited_authors"), _entries(spark, folder))
     return clusters.withColumnsRenamed({"id": "author_id", "component": "cluster_id"})
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.find_issues(table(spark, folder, "extraction_cache"), table(spark, folder, "document_results"))
+    return quality.find_issues(_pages(spark, folder), table(spark, folder, "document_results"))
 
 
 def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.record_kinds(quality.measured_records(table(spark, folder, "extraction_cache")))
+    return quality.record_kinds(quality.measured_records(_pages(spark, folder)))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentence_positions(table(spark, folder, "extraction_cache"), table(spark, folder, "sentence_sample"))
+    return sentences.sentence_positions(_pages(spark, folder), table(spark, folder, "sentence_sample"))
 
 
 def p3_sentences(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences.sentence_positions(table(spark, folder, "extraction_cache"))
+    return sentences.sentence_positions(_pages(spark, folder))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_noise.find_noise(table(spark, folder, "extraction_cache"), table(spark, folder, "per_document_entries"))
+    return scan_noise.find_noise(_pages(spark, folder), _entries(spark, folder))
 
 
 def p4_text(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_noise.repair_pages(table(spark, folder, "extraction_cache"), table(spark, folder, "per_document_entries"))
+    return scan_noise.repair_pages(_pages(spark, folder), _entries(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.similar_pairs(table(spark, folder, "extraction_cache"))
+    return neardup.similar_pairs(_records(spark, folder))
 
 
 def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.duplicate_groups(table(spark, folder, "extraction_cache"))
+    return neardup.duplicate_groups(_records(spark, folder))
 
 
 def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
-    return langid.paragraph_languages(table(spark, folder, "extraction_cache"), table(spark, folder, "language_labels"))
+    return langid.paragraph_languages(_pages(spark, folder), table(spark, folder, "language_labels"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = langid.mislabelled(table(spark, folder, "extraction_cache"), table(spark, folder, "language_labels"))
+    found = langid.mislabelled(_pages(spark, folder), table(spark, folder, "language_labels"))
     return found.select("cache_id", "page_no", "para_no", "lang")
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode.encode_corpus(table(spark, folder, "documents"))
+    return encode.encode_corpus(_documents(spark, folder))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.find_leaks(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return leakage.remove_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.remove_leaks(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return spam.find_spam(table(spark, folder, "documents")).select("doc_id").distinct()
+    return spam.find_spam(_documents(spark, folder)).select("doc_id").distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
