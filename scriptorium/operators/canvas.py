@@ -60,6 +60,12 @@ def joined_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(left, "fromNode").join(right, "toNode")
 
 
+def canvas_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row (n_nodes, n_groups, n_edges)."""
+    sums = nodes.agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.coalesce(F.col("type") == "group", F.lit(False))).alias("n_groups"))
+    return sums.crossJoin(edges.agg(F.count(F.lit(1)).alias("n_edges")))  # one row each
+
+
 def _anchor(box: Column, side: Column) -> Column:
     x, y, w, h = box["x"], box["y"], box["width"], box["height"]
     ax = F.when(side == "left", x).when(side == "right", x + w).otherwise(x + w / 2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import NATIVE_VARIANTS, Taxonomy, Variant, pattern_of, variants_of
@@ -301,6 +301,16 @@ def citation_keys(spark: SparkSession, folder: str) -> DataFrame:
     return texts(spark, folder, ["entry_id", "raw_entry"], "per_document_entries").select("entry_id", biblio.citation_key(F.col("raw_entry")).alias("k")).select("entry_id", "k.surname", "k.year")
 
 
+@query("SELECT cache_id, string_split(path, '/')[-1] AS filename, CAST(dense_rank() OVER (ORDER BY string_split(path, '/')) AS BIGINT) AS place FROM extraction_cache WHERE path IS NOT NULL")
+def corpus_order(spark: SparkSession, folder: str) -> DataFrame:
+    # path order compares the parts of a path; places come from the distinct paths, so that copies share one
+    cache = table(spark, folder, "extraction_cache").where("path IS NOT NULL").select("cache_id", "path")
+    paths = cache.select("path").distinct().withColumn("parts", F.split("path", "/"))
+    # a report's order: ranking needs one sequence, here over short paths only
+    ranked = paths.select("path", F.row_number().over(Window.orderBy("parts")).cast("bigint").alias("place"))
+    return cache.join(ranked, "path").select("cache_id", T.file_name(F.col("path")).alias("filename"), "place")
+
+
 _PARSED = "FROM per_document_entries WHERE surname <> '' AND year <> ''"
 
 
@@ -309,6 +319,16 @@ def most_cited_works(spark: SparkSession, folder: str) -> DataFrame:
     return biblio.most_cited_works(table(spark, folder, "per_document_entries"))
 
 
+@query(f"WITH w AS (SELECT lower(surname) AS surname, year, count(DISTINCT document) AS n, min(entry_id) AS first {_PARSED} GROUP BY ALL) SELECT CAST(row_number() OVER (ORDER BY n DESC, first, surname, year) AS INTEGER) AS rank, surname, year, CAST(n AS BIGINT) AS cited_by_n_documents FROM w QUALIFY rank <= 100")
+def top_works(spark: SparkSession, folder: str) -> DataFrame:
+    """The hundred works cited by most documents, ties as they were first seen: a top-k report."""
+    parsed = table(spark, folder, "per_document_entries").where("surname <> '' AND year <> ''")
+    first = parsed.groupBy(F.lower("surname").alias("surname"), "year").agg(F.min("entry_id").alias("first"))
+    order = [F.col("cited_by_n_documents").desc(), "first", "surname", "year"]
+    best = biblio.most_cited_works(parsed).join(first, ["surname", "year"]).orderBy(*order).limit(100)
+    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "surname", "year", "cited_by_n_documents")
+
+
 @query(f"SELECT lower(surname) AS surname, CAST(count(DISTINCT document) AS BIGINT) AS cited_by_n_documents {_PARSED} GROUP BY ALL")
 def most_cited_authors(spark: SparkSession, folder: str) -> DataFrame:
     return biblio.most_cited_authors(table(spark, folder, "per_document_entries"))
@@ -379,6 +399,16 @@ def edge_geometry(spark: SparkSession, folder: str) -> DataFrame:
     return g.select("ord", "from_side", "to_side", F.col("p0.x").alias("x0"), F.col("p0.y").alias("y0"), r("p1.x").alias("x1"), r("p1.y").alias("y1"), r("p2.x").alias("x2"), r("p2.y").alias("y2"), F.col("p3.x").alias("x3"), F.col("p3.y").alias("y3"), r("k").alias("k"), r("label_x").alias("label_x"), r("label_y").alias("label_y"), "arrow_at_end", "arrow_at_start", "stroke")
 
 
+@query(f"WITH n AS ({_VOLUME_NODES}), e AS ({_VOLUME_EDGES}) SELECT (SELECT count(*) FROM n) AS n_nodes, (SELECT count(*) FROM n WHERE type = 'group') AS n_groups, (SELECT count(*) FROM e) AS n_edges")
+def canvas_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return canvas.canvas_counts(*_volume(spark, folder))
+
+
+@query()
+def edge_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return canvas.edge_markup(canvas.edge_geometry(canvas.joined_edges(*_volume(spark, folder))).withColumn("label", F.lit(None).cast("string")))
+
+
 _FILES = "files AS (SELECT path || '.md' AS path, min(cache_id) AS walk_ord FROM extraction_cache WHERE path IS NOT NULL GROUP BY path)"
 _TARGETS = "targets AS (SELECT DISTINCT t AS target FROM (SELECT path AS t FROM extraction_cache UNION ALL SELECT string_split(path, '/')[-1] FROM extraction_cache UNION ALL SELECT upper(string_split(path, '/')[-1]) || '.MD' FROM extraction_cache UNION ALL SELECT 'no/such/' || cache_id FROM extraction_cache) WHERE t IS NOT NULL)"
 
@@ -480,6 +510,12 @@ SELECT f.id, CASE WHEN e.id IS NULL THEN text ELSE array_to_string(list_slice(st
         lambda f: f.select("id", markup.task_lists(F.col("text")).alias("out")),
         r"""SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<li>\s*\[ \]\s*', '<li class="task">☐ ', 'g'), '<li>\s*\[[xX]\]\s*', '<li class="task done">☑ ', 'g'), '<li>\s*<p>\s*\[ \]\s*', '<li class="task"><p>☐ ', 'g'), '<li>\s*<p>\s*\[[xX]\]\s*', '<li class="task done"><p>☑ ', 'g') AS out FROM f""",
     ),
+    "mermaid_rewrite": (
+        "html",
+        lambda f: f.select("id", markup.mermaid_blocks(F.col("text")).alias("out"), markup.uses_mermaid(F.col("text")).alias("uses_mermaid")),
+        r"""SELECT id, regexp_replace(text, '(?s)<pre><code class="language-mermaid">(.*?)</code></pre>', '<pre class="mermaid">\1</pre>', 'g') AS out, contains(text, 'class="language-mermaid"') AS uses_mermaid FROM f""",
+    ),
+    "capability_flags": ("notes", lambda f: f.agg(F.bool_or(markup.uses_math(F.col("text"))).alias("uses_math"), F.count(F.lit(1)).alias("n_notes")), "SELECT bool_or(contains(text, '$$')) AS uses_math, count(*) AS n_notes FROM f"),
     "callouts": ("html", lambda f: f.select("id", markup.callouts(F.col("text")).alias("out")), None),
     "image_sizes": (
         "sizes",

@@ -32,6 +32,7 @@ ROWS = {
         (2, "<blockquote>\n<p>[!warning]- Mind this<br />\nbody</p>\n</blockquote><p>after</p>"),
         (3, "<blockquote><p>[!odd]\ntext</p></blockquote><blockquote><p>plain</p></blockquote>"),
         (4, "<p>none</p>"),
+        (5, '<pre><code class="language-mermaid">graph TD\nA--&gt;B</code></pre><pre><code class="language-py">x</code></pre>'),
     ],
     "sizes": [(1, "120"), (2, " 120 x 80 "), (3, "wide"), (4, None), (5, "")],
     "canvas_nodes": [

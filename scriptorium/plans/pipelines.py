@@ -55,6 +55,7 @@ def analyse_sensitivity(documents: DataFrame, output: str, variants: tuple[Varia
     frames = variants[0].taxonomy.frame_order
     report = sensitivity.sensitivity_report(sensitivity.sensitivity_matrix(documents, variants), frames)
     sinks.write_csv(report, output, single=True)
+    print("\n".join(sinks.console_table(report, {"variant": 26, **{f"{f}_pct": 16 for f in frames}, "zero_engagement_pct": 20, "n_docs": 8})))
     return report
 
 

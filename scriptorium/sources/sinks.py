@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import Taxonomy
@@ -29,3 +29,22 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 def write_text(df: DataFrame, column: str, path: str) -> None:
     """One text a row, as it is: the summary, or a page of HTML."""
     df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def console_table(df: DataFrame, widths: dict[str, int], decimals: int = 1) -> list[str]:
+    """A small report as fixed-width lines, its header first: numbers to the right, the rest to the left."""
+    cells = []
+    for name, width in widths.items():
+        kind = dict(df.dtypes)[name]
+        value = F.when(F.col(name).isNotNull(), F.format_string(f"%.{decimals}f", F.col(name))) if kind in ("double", "float") else F.col(name).cast("string")
+        value = F.coalesce(value, F.lit(""))
+        cells.append(F.rpad(value, width, " ") if kind == "string" else F.lpad(value, width, " "))
+    header = "  ".join(name[:width].ljust(width) if dict(df.dtypes)[name] == "string" else name[:width].rjust(width) for name, width in widths.items())
+    # a report of a few lines; a longer one belongs in a file
+    return [header, *(r["line"] for r in df.limit(1000).select(F.concat_ws("  ", *cells).alias("line")).collect())]
+
+
+def observed(profiled: DataFrame, name: str = "corpus") -> tuple[DataFrame, Observation]:
+    """The profiles with a count of documents, failed extractions and hits taken as they pass, without another job."""
+    metrics = Observation(name)
+    return profiled.observe(metrics, F.count(F.lit(1)).alias("documents"), F.count_if(~F.col("extraction_ok")).alias("failed"), F.coalesce(F.sum("total_hits"), F.lit(0)).alias("hits")), metrics

@@ -97,3 +97,15 @@ def test_stream_profiles_each_document_once(spark, tmp_path):
     query = live.running_dominance(live.watch_cache(spark, str(source)), NATIVE).writeStream.outputMode("complete").format("memory").queryName("dominance").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("dominance").where("hits > 0").count() == 2
+
+
+def test_console_table_and_observed_counts(spark, cache):
+    from scriptorium.operators import concepts
+    from scriptorium.sources import sinks
+
+    df = spark.createDataFrame([("A_long_name", 12.345, 7), (None, None, None)], "variant string, pct double, n int")
+    lines = sinks.console_table(df, {"variant": 6, "pct": 6, "n": 3})
+    assert lines == ["varian     pct    n", "A_long    12.3    7", "                   "]
+    profiled, metrics = sinks.observed(concepts.profile(pipelines.load_documents(spark, cache=cache), NATIVE))
+    profiled.write.format("noop").mode("overwrite").save()
+    assert metrics.get == {"documents": 4, "failed": 1, "hits": 4}
