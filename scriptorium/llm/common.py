@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,13 +26,12 @@ def measured(df: DataFrame, text: str) -> tuple[int, int]:
     return int(row["n"]), int(row["c"])
 
 
-def once_per_worker(build: Callable[[], object]) -> Callable[[], object]:
-    """Build a costly object at first use in a Python worker and keep it there."""
-    kept: list[object] = []
+def bounded_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
+    """At most ``size`` rows by the hash of a key, the same ones on every run.
 
-    def get() -> object:
-        if not kept:
-            kept.append(build())
-        return kept[0]
-
-    return get
+    Only about one and a half times as many rows pass the hash, whatever the table's size, so that no task and no
+    driver ever holds more: a plain ordered limit would bring ``size`` rows from every partition.
+    """
+    share = min(1.0, 1.5 * size / max(total, 1))
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return rows.where(place < int(share * (1 << 30)) + 1).orderBy(place, key).limit(size)

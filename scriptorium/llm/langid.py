@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from scriptorium.llm.common import bounded_sample
 from scriptorium.llm.lexicon import FUNCTION_WORDS, LANGUAGE_NAMES, LANGUAGES
 
 #: Labelled records in the training sample and the longest record in it: bounds on what reaches the driver.
@@ -199,9 +200,9 @@ def coded_labels(labels: DataFrame) -> DataFrame:
     return labels.where("cache_id IS NOT NULL").select(F.col("cache_id").cast("bigint").alias("cache_id"), label_code(F.col("lang").cast("string")).alias("label")).groupBy("cache_id").agg(F.min("label").alias("label"))
 
 
-def train(labelled: DataFrame) -> TrigramModels:
+def train(labelled: DataFrame, total: int) -> TrigramModels:
     size = F.aggregate("pages", F.lit(0), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)))
-    sample = labelled.where(F.col("label").isNotNull() & (size <= SAMPLE_CHARS)).select("label", "pages", F.xxhash64("cache_id").alias("h")).orderBy("h").limit(SAMPLE_RECORDS)
+    sample = bounded_sample(labelled.where(F.col("label").isNotNull() & (size <= SAMPLE_CHARS)), "cache_id", SAMPLE_RECORDS, total)
     rows = sample.select("label", "pages").collect()
     return TrigramModels().learn([(r["label"], [p for page in r["pages"] for p in paragraphs(page or "") if letters(p) >= MIN_LETTERS]) for r in rows])
 
@@ -209,9 +210,10 @@ def train(labelled: DataFrame) -> TrigramModels:
 def paragraph_languages(records: DataFrame, labels: DataFrame) -> DataFrame:
     """(cache_id, label, page_no, para_no, lang, confidence) of the paragraphs of labelled records."""
     coded = coded_labels(labels)
-    few = labels.count() <= MAX_BROADCAST_LABELS
+    n = labels.count()
+    few = n <= MAX_BROADCAST_LABELS
     labelled = records.select(F.col("cache_id").cast("bigint").alias("cache_id"), "pages").join(F.broadcast(coded) if few else coded, "cache_id").select("cache_id", "label", "pages")
-    shared = records.sparkSession.sparkContext.broadcast(train(labelled))
+    shared = records.sparkSession.sparkContext.broadcast(train(labelled, n))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.llm.bagging import BaggedTrees
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import bounded_sample, cut
 
 MIN_CHARS = 200
 #: Pages in the training sample, and the longest page in it: bounds on what reaches the driver.
@@ -176,7 +176,7 @@ def page_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     long = named.where(F.length("text") >= MIN_CHARS)
     # the labelled sample is bounded in pages and in characters a page; scoring reads every page whole
-    sample = long.where(F.length("text") <= SAMPLE_CHARS).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(SAMPLE_PAGES)
+    sample = bounded_sample(long.where(F.length("text") <= SAMPLE_CHARS), "doc_id", SAMPLE_PAGES, docs.count())
     trees = train([r["text"] for r in sample.select("text").collect()])
     if trees is None:
         return long.select("doc_id", "host", F.lit(0.0).alias("share"))
