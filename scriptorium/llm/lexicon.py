@@ -15,9 +15,9 @@ FUNCTION_WORDS = {
     "ja": "の は を に が で と も た して から まで ため よう です ます ない れた った という",
     "nl": "de het een van en in op met voor zonder dat die te bij aan uit naar door om tegen tussen volgens zoals niet is was over onder elk der zijn haar",
     "pt": "o a os as de do da dos das e um uma em por com sem para que se ao à no na nos nas pelo pela segundo contra entre durante como não sua é mais",
-    "ru": "и в во не на с со к у от по за из для что как о об при до без между он она оно они его их или же бы это был была были под",
+    "ru": "и в во не на с со к у от по за из для что как о об при до без между он она оно они его их или же бы это был была были под против после между из-за году года но а над если",
     "th": "ที่ ของ และ ใน การ เป็น ได้ ไม่ ความ ให้ จาก มี กับ โดย เพราะ ตลอด ใกล้ จะ ก็ แต่",
-    "uk": "і й та в у не на з із зі до від по за для що як про при без між він вона воно вони його її їх або це був була були під через",
+    "uk": "і й та в у не на з із зі до від по за для що як про при без між він вона воно вони його її їх або це був була були під через проти після між році року але а над якщо",
     "zh": "的 了 是 在 和 与 有 不 也 其 这 为 对 以 于 被 把 从 而 并 将",
 }
 
