@@ -49,8 +49,10 @@ def label_code(column: Column) -> Column:
     pairs = [x for code in LANGUAGES for name in (code, *LANGUAGE_NAMES[code].split()) for x in (F.lit(name), F.lit(code))]
     known = F.create_map(*pairs)
     whole = F.lower(F.trim(column))
-    first = F.regexp_extract(whole, r"^([^\s_\-(),;/.]+)", 1)
-    return F.coalesce(F.try_element_at(known, whole), F.try_element_at(known, first))
+    words = F.split(whole, r"[\s_\-(),;:/.?!\"']+", -1)
+    # a code counts only as the first word; a name of a language counts anywhere, as in "Brazilian Portuguese"
+    named = F.try_element_at(F.filter(words, lambda w: (F.length(w) > 3) & F.map_contains_key(known, w)), F.lit(1))
+    return F.coalesce(F.try_element_at(known, whole), F.try_element_at(known, F.try_element_at(words, F.lit(1))), F.try_element_at(known, named))
 
 
 def paragraphs(page: str) -> list[str]:

@@ -31,7 +31,7 @@ def models():
 
 
 def test_labels(spark):
-    cases = {"en": "en", "EN": "en", "en-GB": "en", "English": "en", "English (UK)": "en", "deu": "de", "zh_TW": "zh", "UK": "uk", "ukr": "uk", "日本語": "ja", " fr ": "fr", "unknown": None, "und": None, "?": None, "": None, None: None, "klingon": None, "mul": None, "xx-en": None}
+    cases = {"en": "en", "EN": "en", "en-GB": "en", "English": "en", "English (UK)": "en", "deu": "de", "zh_TW": "zh", "UK": "uk", "ukr": "uk", "日本語": "ja", " fr ": "fr", "unknown": None, "und": None, "?": None, "": None, None: None, "klingon": None, "Brazilian Portuguese": "pt", "Chinese (Traditional)": "zh", "en?": "en", "simplified chinese": "zh", "not de": None, "mul": None, "xx-en": None}
     df = spark.createDataFrame([(k, v) for k, v in enumerate(cases)], "k int, v string").orderBy("k")
     assert [r.c for r in df.select(langid.label_code(F.col("v")).alias("c")).collect()] == list(cases.values())
 
