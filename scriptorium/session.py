@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once a session's context.
+
+    The sources go through Spark's own file server, so that the executors need neither a shared folder nor an install.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="scriptorium-")) / "scriptorium.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._scriptorium_shipped = True

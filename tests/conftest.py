@@ -7,13 +7,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from scriptorium.session import build_session, ensure_checkpoint_dir  # noqa: E402
+from scriptorium.session import build_session, ensure_checkpoint_dir, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(4, "tests", "4g", **{"spark.sql.shuffle.partitions": "4"})
     ensure_checkpoint_dir(session)
+    ship_package(session)
     yield session
     session.stop()
 
