@@ -1,7 +1,8 @@
 """Near-duplicate records (problem 5).
 
 A record's shingles are the runs of eight characters of its path and pages in lower case without white space.
-Records with the same text form one class and are compared once. Classes that agree in a band of MinHash values
+Records with the same text form one class, and so do records with the same pages under different paths where the
+pages are long enough that no path can part them; a class is compared once. Classes that agree in a band of MinHash values
 become candidates; their remaining MinHash values are compared in steps, and a pair is dropped as soon as the
 posterior probability of its similarity reaching the threshold falls below a tolerance; the rest is verified
 exactly on the sets of shingles.
@@ -32,8 +33,13 @@ BANDS, ROWS = 64, 5
 #: MinHash values come from so many one-permutation hashings of BINS bins.
 MIXES, BINS = 4, 128
 STEP = 32
+#: Shared paths can lift pairs of records above the threshold whose pages alone are as far below it as this.
+PRUNED_BELOW = 0.54
 #: A pair is dropped when it reaches the threshold with less than this posterior probability.
 TOLERANCE = 0.001
+#: Folded paths of at most this many characters cannot part copies whose pages have PATH_TIMES as many shingles: with c
+#: shared shingles and p others on either side, c / (c + 2p) is at least 0.6 for c of at least 3p.
+PATH_CAP, PATH_TIMES = 100, 3
 #: Ids of compared records are broadcast up to this number; beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -61,10 +67,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def minhash(text: str) -> np.ndarray | None:
     """MIXES * BINS MinHash values of the text's shingles; empty bins borrow from others in a fixed random order."""
+    return signature(text)[0]
+
+
+def signature(text: str) -> tuple[np.ndarray | None, int]:
+    """The MinHash values of a text and the number of its different shingles."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(points) - SHINGLE + 1
     if n < 1:
-        return None
+        return None, 0
+    different = 0
     rolled = np.zeros(n, np.uint64)
     for k in range(SHINGLE):
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
@@ -72,6 +84,7 @@ def minhash(text: str) -> np.ndarray | None:
     out = np.empty((MIXES, BINS), np.uint64)
     for m in range(MIXES):
         values = np.sort(_mixed(rolled * _ODD[m]))
+        different = different or 1 + int(np.count_nonzero(values[1:] != values[:-1]))
         at = np.searchsorted(values, _EDGES)
         full = np.append(at[1:], n) > at
         own = values[np.minimum(at, n - 1)]
@@ -82,7 +95,18 @@ def minhash(text: str) -> np.ndarray | None:
             source = np.where(tries[np.arange(len(empty)), first], _PROBES[empty, first], np.flatnonzero(full)[0])
             own[empty] = _mixed(own[source] + first.astype(np.uint64) + np.uint64(1))
         out[m] = own
-    return out.ravel()
+    return out.ravel(), different
+
+
+def class_of(path: str | None, pages: list[str | None] | None) -> tuple[bytes, np.ndarray | None]:
+    """What a record's class goes by, and its MinHash values: its pages alone if its path cannot matter, else all."""
+    text = folded(None, pages)
+    if len(folded(path, None)) <= PATH_CAP and len(text) > PATH_TIMES * PATH_CAP:
+        values, different = signature(text)
+        if different >= PATH_TIMES * PATH_CAP:
+            return b"p" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), values
+    text = folded(path, pages)
+    return b"t" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), signature(text)[0]
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -96,10 +120,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, path, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key is None or sum(len(p) for p in pages or [] if p) < MIN_CHARS:
                 continue
-            text = folded(path, pages)
-            values = minhash(text)
+            digest, values = class_of(path, pages)
             if values is not None:
-                rows.append((key, xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), values[BANDS * ROWS :].astype(np.uint8).tobytes(), band_keys(values).tolist()))
+                rows.append((key, digest, values[BANDS * ROWS :].astype(np.uint8).tobytes(), band_keys(values).tolist()))
         columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["id", "digest", "sketch", "bands"]
@@ -107,7 +130,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 @lru_cache
-def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+def least_matches(threshold: float = PRUNED_BELOW, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(values compared, least equal values to go on) by the posterior under an even prior of the similarity."""
     total = MIXES * BINS - BANDS * ROWS
     s = (np.arange(2000) + 0.5) / 2000
@@ -137,30 +160,69 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    recent: OrderedDict[int, set[str]] = OrderedDict()
+class _Recent:
+    """Shingle sets of the last texts."""
+
+    def __init__(self, size: int = 200) -> None:
+        self.size, self.kept = size, OrderedDict()
+
+    def get(self, key: object, path: str | None, pages: list[str | None] | None) -> set[str]:
+        if key not in self.kept:
+            self.kept[key] = shingle_set(folded(path, pages))
+            if len(self.kept) > self.size:
+                self.kept.popitem(last=False)
+        return self.kept[key]
 
-    def shingles(key: int, path: str | None, pages: list[str | None] | None) -> set[str]:
-        if key not in recent:
-            recent[key] = shingle_set(folded(path, pages))
-            if len(recent) > 200:
-                recent.popitem(last=False)
-        return recent[key]
 
+def _overlap(one: set[str], two: set[str]) -> tuple[int, int]:
+    common = len(one & two)
+    return common, len(one) + len(two) - common
+
+
+def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class pairs by their representatives: the similarity, whether every pair of members has it, and whether some can."""
+    recent = _Recent()
+    for batch in batches:
+        out = []
+        for a, b, key_a, key_b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            common, union = _overlap(recent.get(a, path_a, pages_a), recent.get(b, path_b, pages_b))
+            similarity = common / union
+            sides = [(a, key_a[:1] == b"p", path_a, pages_a), (b, key_b[:1] == b"p", path_b, pages_b)]
+            loose = PATH_CAP * sum(by_pages for _, by_pages, _, _ in sides)
+            if loose:  # members differ in their paths; what they surely share and surely hold is that of their pages
+                common, union = _overlap(*(recent.get((k, by_pages), None if by_pages else path, pages) for k, by_pages, path, pages in sides))
+            sure = common / (union + loose) >= THRESHOLD
+            if sure or (common + loose) / union >= THRESHOLD:
+                out.append((a, b, similarity, sure))
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["a", "b", "similarity", "sure"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of records whose similarity reaches the threshold."""
+    recent = _Recent()
     for batch in batches:
         out = []
         for a, b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            one, two = shingles(a, path_a, pages_a), shingles(b, path_b, pages_b)
-            common = len(one & two)
-            similarity = common / (len(one) + len(two) - common)
-            if similarity >= THRESHOLD:
-                out.append((a, b, similarity))
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["a", "b", "similarity"])
+            common, union = _overlap(recent.get(a, path_a, pages_a), recent.get(b, path_b, pages_b))
+            if common / union >= THRESHOLD:
+                out.append((a, b))
+        columns = list(zip(*out, strict=True)) if out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
+
+
+def _with_texts(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the paths and pages of both; only the texts that are needed move."""
+    ends = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
+    few = ends.count() <= MAX_BROADCAST_IDS
+    texts = named.join(F.broadcast(ends) if few else ends, "id", "left_semi")
+    return pairs.join(texts.select(F.col("id").alias("a"), F.col("path").alias("path_a"), F.col("pages").alias("pages_a")), "a").join(
+        texts.select(F.col("id").alias("b"), F.col("path").alias("path_b"), F.col("pages").alias("pages_b")), "b"
+    )
 
 
-def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, rep) of every record compared, and (a, b, similarity) of every similar pair of representatives."""
+def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The named records, (id, rep) of every record compared, and (a, b, similarity, sure) of representatives."""
     named = records.select(F.col("cache_id").cast("bigint").alias("id"), "path", "pages")
     features = cut(named.mapInArrow(_features, "id bigint, digest binary, sketch binary, bands array<bigint>"))
     classes = features.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -176,32 +238,33 @@ def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("a", "b", "sa", "sb")
     )
     close = cut(compared.mapInArrow(_prune, "a bigint, b bigint"))
-    ends = close.select(F.col("a").alias("id")).unionAll(close.select(F.col("b").alias("id"))).distinct()
-    ends = cut(ends)
-    few = ends.count() <= MAX_BROADCAST_IDS
-    texts = named.join(F.broadcast(ends) if few else ends, "id", "left_semi")
-    both = (
-        close.join(texts.select(F.col("id").alias("a"), F.col("path").alias("path_a"), F.col("pages").alias("pages_a")), "a")
-        .join(texts.select(F.col("id").alias("b"), F.col("path").alias("path_b"), F.col("pages").alias("pages_b")), "b")
-        .select("a", "b", "path_a", "pages_a", "path_b", "pages_b")
-    )
-    return members, both.mapInArrow(_verify, "a bigint, b bigint, similarity double").dropDuplicates(["a", "b"])
+    kinds = own.select("id", F.substring("digest", 1, 1).alias("kind"))
+    kinded = close.join(kinds.select(F.col("id").alias("a"), F.col("kind").alias("kind_a")), "a").join(kinds.select(F.col("id").alias("b"), F.col("kind").alias("kind_b")), "b")
+    both = _with_texts(kinded, named).select("a", "b", "kind_a", "kind_b", "path_a", "pages_a", "path_b", "pages_b")
+    return named, members, both.mapInArrow(_judge, "a bigint, b bigint, similarity double, sure boolean").dropDuplicates(["a", "b"])
 
 
 def similar_pairs(records: DataFrame) -> DataFrame:
     """(cache_id_a, cache_id_b), a < b: every pair of records at or above the threshold."""
-    members, links = class_links(records)
+    named, members, links = class_links(records)
+    links = cut(links)
     one, two = members.select(F.col("rep").alias("a"), F.col("id").alias("x")), members.select(F.col("rep").alias("b"), F.col("id").alias("y"))
-    across = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("cache_id_a"), F.greatest("x", "y").alias("cache_id_b"))
-    across = across.where("cache_id_a < cache_id_b").distinct()  # an id that stands for two texts meets a pair twice
-    within = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("cache_id_a"), F.col("y").alias("cache_id_b"))
-    return across.unionAll(within)
+    met = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sure").where("a < b").distinct()
+    # pairs whose paths may decide are looked at one by one, the others follow from their classes
+    doubtful = _with_texts(met.where(~F.col("sure")).select("a", "b"), named).select("a", "b", "path_a", "pages_a", "path_b", "pages_b").mapInArrow(_verify, "a bigint, b bigint")
+    within = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # an id that stands for two texts may meet another twice
+    found = met.where("sure").select("a", "b").unionAll(doubtful).unionAll(within).distinct()
+    return found.select(F.col("a").alias("cache_id_a"), F.col("b").alias("cache_id_b"))
 
 
 def duplicate_groups(records: DataFrame) -> DataFrame:
-    """(cache_id, rep, group_id, links): class, connected group and number of similar classes of every record compared."""
-    members, links = class_links(records)
-    links = cut(links)
+    """(cache_id, rep, group_id, links): class, connected group and number of similar classes of every record compared.
+
+    Classes are linked by the similarity of their representatives; no pair within a class is written out.
+    """
+    _, members, links = class_links(records)
+    links = cut(links.where(F.col("similarity") >= THRESHOLD))
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     groups = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
     out = members.join(degree, "rep", "left").join(groups, "rep", "left")

@@ -106,3 +106,18 @@ def test_components_of_any_graph(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()}
     assert got == {x: find(x) for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint"), "a", "b").count() == 0
+
+
+def test_many_copies_under_other_paths(spark):
+    r = random.Random(8)
+    base = "".join(r.choices("abcdefghijklmnopqrst    ", k=900))
+    near, short = edited(r, base, 0.02), "".join(r.choices("abcdefghijklm", k=210))
+    rows = [(k, f"folder{k % 50}/copy-{k * 7919 % 1000}.pdf", [base]) for k in range(1200)]
+    rows += [(5000 + k, f"folder{k}/copy-{k * 7919 % 1000}.pdf", [near]) for k in range(40)]
+    rows += [(6000 + k, f"quite/another/folder/of/files/{k}/{'xyz' * k}.pdf", [short]) for k in range(12)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    groups = {r.cache_id: (r.rep, r.group_id) for r in neardup.duplicate_groups(df.where("cache_id < 6000")).collect()}
+    assert {rep for rep, _ in groups.values()} == {0, 5000} and {g for _, g in groups.values()} == {0}
+    few = df.where("cache_id < 60 OR cache_id >= 5000")
+    got = {(r.cache_id_a, r.cache_id_b) for r in neardup.similar_pairs(few).collect()}
+    assert got == brute([x for x in rows if x[0] < 60 or x[0] >= 5000])
