@@ -4,6 +4,9 @@ A page is cut into blocks at blank lines. Bagged trees, trained from weak labels
 bounded sample of pages, give each block a probability of spam; the page's score is the share of its characters in
 spam blocks, weighed by these probabilities, and is smoothed by the rate of spam of its host.
 
+Repetition is measured in the block and over the whole page, as its period may be longer than a block: a block also
+has the share of its runs of characters and of its segments that recur on the page, and the variety of the page's words.
+
 Null, blank and short texts are no case. A null host takes the rate of the whole corpus. Repeated rows are scored
 one by one. Pages of any length are read whole.
 A block of fewer than three words without a link repeats no keywords and is no spam, however long it is.
@@ -28,6 +31,14 @@ MIN_CHARS = 200
 SAMPLE_PAGES, SAMPLE_CHARS = 6_000, 10_000
 #: Shorter neighbouring blocks are read as one; longer blocks are read in pieces of about this size.
 SHORT_BLOCK, PIECE = 120, 240
+#: Runs of so many characters are looked up on the whole page.
+RUN = 12
+#: A run recurs if the page has it so often, and once in so many characters: natural texts repeat any run some day.
+LEAST_RUNS, RUN_PERIOD = 3, 2_000
+#: Different words of a text of n words grow about as this power of n.
+VARIETY_POWER = 0.75
+#: Characters of pages whose runs are sorted at once; a longer page is sorted alone.
+SORTED_CHARS = 50_000
 #: Weight of the host's log-odds against the page's, and pages of the corpus' rate added to each host's own.
 HOST_WEIGHT, HOST_PRIOR = 0.25, 50
 #: Steepness of the page's log-odds around half of its characters.
@@ -43,7 +54,8 @@ _SENTENCE = re.compile(r"[.!?。！？।؟…]+[\"'»”)\]]*(?:\s+|$)|[。！
 _PRICE = re.compile(r"(?<![\d.,])\d{1,5}[.,]\d\d(?![\d.,])")
 _YEAR = re.compile(r"(?<!\d)(?:1[5-9]|20)\d\d(?!\d)")
 
-FEATURES = ("log_chars", "links", "tags", "packed", "top_words", "distinct_words", "repeated_segments", "segment_words", "sentence_words", "digits", "prices", "years", "ends", "words")
+FEATURES = ("log_chars", "links", "tags", "packed", "top_words", "distinct_words", "repeated_segments", "segment_words", "sentence_words", "digits", "prices", "years", "ends", "words", "page_runs", "page_segments", "page_variety")
+PAGE_RUNS = FEATURES.index("page_runs")
 
 
 def blocks(text: str) -> list[str]:
@@ -71,7 +83,74 @@ def pieces(part: str) -> list[str]:
     return [*out, part[start:]]
 
 
-def block_features(block: str) -> list[float]:
+def run_shares(pages: list[list[str]]) -> list[float]:
+    """For every block of some pages, the share of its runs of characters that recur on its page."""
+    out: list[float] = []
+    group: list[list[str]] = []
+    size = 0
+    for page in [*pages, None]:
+        if group and (page is None or size > SORTED_CHARS):
+            out += _run_shares(group)
+            group, size = [], 0
+        if page is not None:
+            group.append(page)
+            size += sum(map(len, page))
+    return out
+
+
+def _run_shares(pages: list[list[str]]) -> list[float]:
+    lowered = [[f"{b.lower()}\n" for b in page] for page in pages]
+    sizes = np.array([len(b) for page in lowered for b in page], np.int64)
+    lengths = np.array([sum(map(len, page)) for page in lowered], np.int64)
+    text = "".join(b for page in lowered for b in page) + "\0" * (RUN - 1)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(points) - RUN + 1
+    runs = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        runs = runs * np.uint64(0x9E3779B97F4A7C15) + points[k : k + n]
+    level = runs[1:] == runs[:-1]  # one character over and over: rules and dot leaders
+    page_of = np.repeat(np.arange(len(pages)), lengths)
+    runs = (runs ^ (runs >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9) + page_of.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    # sorted with their places in the low bits, which is much faster than an indirect sort
+    low = np.uint64(max(1, n - 1).bit_length())
+    ordered = np.sort(((runs >> low) << low) | np.arange(n, dtype=np.uint64))
+    order = (ordered & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    ordered >>= low
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+    times = np.diff(np.append(starts, n))
+    least = np.maximum(LEAST_RUNS, lengths / RUN_PERIOD)
+    again = np.empty(n, bool)
+    again[order] = np.repeat(times >= least[page_of[order[starts]]], times)
+    again[:-1] &= ~level
+    return (np.add.reduceat(again, np.cumsum(sizes) - sizes, dtype=np.int64) / sizes).tolist()
+
+
+def page_features(pages: list[list[str]]) -> list[list[float]]:
+    """Features of the blocks of some pages, one row a block."""
+    out: list[list[float]] = []
+    for page in pages:
+        words: set[str] = set()
+        total, rows, parts = 0.0, [], []
+        for block in page:
+            features, different, segments = block_features(block)
+            words.update(different)
+            total += features[-1]
+            rows.append(features)
+            parts.append(segments)
+        least = max(LEAST_RUNS, sum(map(len, page)) / RUN_PERIOD)
+        variety = len(words) / max(1.0, total) ** VARIETY_POWER
+        recurring = {s: len(s) for s, c in Counter(s for part in parts for s in part).items() if c >= least}
+        for features, segments in zip(rows, parts, strict=True):
+            again = sum(recurring.get(s, 0) for s in segments) if recurring else 0
+            features += [0.0, again / sum(map(len, segments)) if again else 0.0, variety]
+        out += rows
+    for features, share in zip(out, run_shares(pages), strict=True):
+        features[PAGE_RUNS] = share
+    return out
+
+
+def block_features(block: str) -> tuple[list[float], Counter[str], list[str]]:
+    """The features of a block by itself, its words and its segments."""
     n = len(block)
     has_link = "http" in block or "www." in block or "<a" in block
     links = sum(m.end() - m.start() for m in _LINK.finditer(block)) / n if has_link else 0.0
@@ -84,12 +163,12 @@ def block_features(block: str) -> list[float]:
     often = Counter(segments)
     seen = sum(len(s) for s in segments) or 1
     sentences = [s for s in _SENTENCE.split(block) if s and not s.isspace()]
-    return [
+    features = [
         float(np.log(n)),
         links,
         tags,
         len(zlib.compress(raw, 1)) / len(raw),
-        sum(c for _, c in counts.most_common(5)) / m if m >= 12 else 0.0,
+        sum(sorted(counts.values(), reverse=True)[:5]) / m if m >= 12 else 0.0,
         len(counts) / m,
         sum(len(s) * c for s, c in often.items() if c > 1) / seen,
         m / max(1, len(segments)),
@@ -100,6 +179,16 @@ def block_features(block: str) -> list[float]:
         float(block.rstrip()[-1] in ".!?。！？।؟…»”)\"'"),
         float(len(words)),
     ]
+    return features, counts, segments
+
+
+def recurs(f: list[float], block: str) -> bool:
+    """Whether a block surely consists of what its page says again and again, whatever the block is like by itself."""
+    runs, segments, variety = f[PAGE_RUNS:]
+    v = dict(zip(FEATURES, f, strict=True)) if runs > 0.6 or segments > 0.7 or variety < 0.9 else None
+    return v is not None and v["words"] > 2 and len(block) > 60 and (
+        runs > 0.6 or segments > 0.7 and v["segment_words"] < 8 or v["words"] > 20 and variety < 0.9 and v["sentence_words"] > 20 and not v["ends"]
+    )
 
 
 def weak_label(f: list[float], block: str) -> int | None:
@@ -116,6 +205,7 @@ def weak_label(f: list[float], block: str) -> int | None:
         or n > 180 and v["packed"] < 0.33
         or n > 150 and v["prices"] > 0.08 and v["years"] < 0.05 and not v["ends"]
         or words > 20 and v["top_words"] > 0.55 and v["sentence_words"] < 6
+        or recurs(f, block)
     )
     if spam:
         return 1
@@ -124,6 +214,8 @@ def weak_label(f: list[float], block: str) -> int | None:
         and v["tags"] < 0.1
         and v["packed"] > 0.42
         and v["repeated_segments"] < 0.3
+        and v["page_runs"] < 0.45
+        and v["page_segments"] < 0.4
         and (v["distinct_words"] > 0.45 or words < 12)
         and v["prices"] < 0.05
         and (v["sentence_words"] > 6 or v["years"] > 0.03 or v["ends"] and words < 12)
@@ -135,13 +227,12 @@ def weak_label(f: list[float], block: str) -> int | None:
 
 def train(texts: list[str]) -> BaggedTrees | None:
     rows, labels = [], []
-    for text in texts:
-        for block in blocks(text):
-            features = block_features(block)
-            label = weak_label(features, block)
-            if label is not None:
-                rows.append(features)
-                labels.append(label)
+    pages = [blocks(text) for text in texts]
+    for features, block in zip(page_features(pages), [b for page in pages for b in page], strict=True):
+        label = weak_label(features, block)
+        if label is not None:
+            rows.append(features)
+            labels.append(label)
     if len(set(labels)) < 2:
         return None
     return BaggedTrees().fit(np.array(rows), np.array(labels))
@@ -149,15 +240,16 @@ def train(texts: list[str]) -> BaggedTrees | None:
 
 def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None]:
     """Share of each text's characters in spam; None for texts that are no case."""
-    rows, owner, sizes, wide = [], [], [], []
+    pages, owner, sizes, wide = [], [], [], []
     for k, text in enumerate(texts):
         if text is None or len(text) < MIN_CHARS:
             continue
-        for block in blocks(text):
-            rows.append(block_features(block))
+        pages.append(blocks(text))
+        for block in pages[-1]:
             owner.append(k)
             sizes.append(len(block))
             wide.append(not block.isascii())
+    rows = page_features(pages)
     out: list[float | None] = [None] * len(texts)
     if rows:
         p = trees.predict(np.array(rows))
@@ -165,7 +257,8 @@ def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None
         total = np.bincount(owner, weight, len(texts))
         table = np.array(rows)
         named = (table[:, FEATURES.index("words")] > 2) | (table[:, FEATURES.index("links")] > 0) | np.array(wide)
-        spam = np.bincount(owner, weight * ((p > 0.5) & named), len(texts))
+        sure = np.array([recurs(f, block) for f, block in zip(rows, [b for page in pages for b in page], strict=True)])
+        spam = np.bincount(owner, weight * (((p > 0.5) | sure) & named), len(texts))
         for k in np.flatnonzero(total):
             out[k] = float(spam[k] / total[k])
     return out

@@ -71,6 +71,16 @@ def test_held_out_pages(trees):
     assert right / len(held) > 0.97
 
 
+def test_repetition_with_a_period_longer_than_a_block(trees):
+    r = random.Random(6)
+    line = "Our family firm repairs roofs and gutters in {} at short notice, with honest estimates and a written guarantee, so call the office today and ask for a free visit this week."
+    words = [f"{a}{b}" for a in "cheap best fine used rare bold".split() for b in "shoes boots tiles lamps pens rugs bags coats".split()]
+    stuffed = [gap.join(map(line.format, NAMES[:12])) for gap in (" ", "\n", "\n\n")] + [" ".join(words * 6), " ".join(r.choices(words, k=300)), prose(r, 3) + "\n\n" + " ".join(map(line.format, NAMES))]
+    assert min(spam.spam_share(stuffed, trees)) > 0.5
+    fair = [prose(r, 12), prose(r, 9) + "\n\n" + "\n".join(map(line.format, NAMES[:2])), bibliography(r, 15), "\n\n".join([prose(r, 4)] * 2), prose(r, 6) + "\n" + "\n".join(f"{w} {'.' * 60} {k}" for k, w in enumerate(NOUNS[:6]))]
+    assert max(spam.spam_share(fair, trees)) < 0.5
+
+
 def test_blocks_keep_every_character():
     r = random.Random(3)
     text = prose(r, 20) + "\n\n" + keywords(r, 80) + "\n \n\nshort\n\nshort too"
