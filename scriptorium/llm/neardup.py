@@ -42,6 +42,8 @@ TOLERANCE = 0.001
 PATH_CAP, PATH_TIMES = 100, 3
 #: Ids of compared records are broadcast up to this number; beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Paths of a class that stand in one row where two classes are compared path by path.
+PATHS_AT_ONCE = 2_000
 
 _ODD = np.random.default_rng(5).integers(1 << 62, 1 << 63, MIXES, np.uint64) * np.uint64(2) + np.uint64(1)
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)).astype(np.uint64)
@@ -193,9 +195,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 common, union = _overlap(*(recent.get((k, by_pages), None if by_pages else path, pages) for k, by_pages, path, pages in sides))
             sure = common / (union + loose) >= THRESHOLD
             if sure or (common + loose) / union >= THRESHOLD:
-                out.append((a, b, similarity, sure))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["a", "b", "similarity", "sure"])
+                out.append((a, b, similarity, sure, sides[0][1], sides[1][1]))
+        columns = list(zip(*out, strict=True)) if out else [[], [], [], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "similarity", "sure", "loose_a", "loose_b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,6 +214,49 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
 
 
+def any_similar(one: set[str], two: set[str], paths_one: list[set[str]], paths_two: list[set[str]]) -> bool:
+    """Whether any member of a class, the shingles of its pages and one of its sets of path shingles, is similar to any of another.
+
+    A member's path adds what it shares with the other's pages and what is new to both, each by itself; only new
+    shingles that both paths have count together. So most members are ruled out without looking at their pairs.
+    """
+    common, union = _overlap(one, two)
+    both = one | two
+
+    def parts(paths: list[set[str]], own: set[str], other: set[str]) -> list[tuple[int, set[str]]]:
+        split = [(len(p & (other - own)), p - both) for p in paths]
+        return sorted(split, key=lambda s: THRESHOLD * len(s[1]) - s[0])
+
+    left, right = parts(paths_one, one, two), parts(paths_two, two, one)
+    most = max((met - THRESHOLD * len(new) for met, new in right), default=0.0)
+    for met_x, new_x in left:
+        if common - THRESHOLD * union + met_x + len(new_x) + most < -1e-6:
+            continue
+        for met_y, new_y in right:
+            shared = len(new_x & new_y)
+            if (common + met_x + met_y + shared) / (union + len(new_x) + len(new_y) - shared) >= THRESHOLD:
+                return True
+    return False
+
+
+def _any_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class pairs of which some members are similar."""
+    recent, heads = _Recent(), {}
+    for batch in batches:
+        out = []
+        for a, b, loose_a, loose_b, paths_a, paths_b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sets, added = [], []
+            for k, loose, paths, path, pages in ((a, loose_a, paths_a, path_a, pages_a), (b, loose_b, paths_b, path_b, pages_b)):
+                sets.append(recent.get((k, loose), None if loose else path, pages))
+                if loose and k not in heads:
+                    heads[k] = folded(None, pages)[: SHINGLE - 1]
+                added.append([shingle_set(p + heads[k]) for p in {folded(p, None) for p in paths}] if loose else [set()])
+            if any_similar(*sets, *added):
+                out.append((a, b))
+        columns = list(zip(*out, strict=True)) if out else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64())], names=["a", "b"])
+
+
 def _with_texts(pairs: DataFrame, named: DataFrame) -> DataFrame:
     """Pairs (a, b, ...) with the paths and pages of both; only the texts that are needed move."""
     ends = cut(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
@@ -222,7 +268,7 @@ def _with_texts(pairs: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The named records, (id, rep) of every record compared, and (a, b, similarity, sure) of representatives."""
+    """The named records, (id, rep) of every record compared, and (a, b, similarity, sure, loose_a, loose_b) of representatives; the members of a loose class differ in paths."""
     named = records.select(F.col("cache_id").cast("bigint").alias("id"), "path", "pages")
     features = cut(named.mapInArrow(_features, "id bigint, digest binary, sketch binary, bands array<bigint>"))
     classes = features.groupBy("digest").agg(F.min("id").alias("rep"))
@@ -241,7 +287,7 @@ def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     kinds = own.select("id", F.substring("digest", 1, 1).alias("kind"))
     kinded = close.join(kinds.select(F.col("id").alias("a"), F.col("kind").alias("kind_a")), "a").join(kinds.select(F.col("id").alias("b"), F.col("kind").alias("kind_b")), "b")
     both = _with_texts(kinded, named).select("a", "b", "kind_a", "kind_b", "path_a", "pages_a", "path_b", "pages_b")
-    return named, members, both.mapInArrow(_judge, "a bigint, b bigint, similarity double, sure boolean").dropDuplicates(["a", "b"])
+    return named, members, both.mapInArrow(_judge, "a bigint, b bigint, similarity double, sure boolean, loose_a boolean, loose_b boolean").dropDuplicates(["a", "b"])
 
 
 def similar_pairs(records: DataFrame) -> DataFrame:
@@ -261,10 +307,20 @@ def similar_pairs(records: DataFrame) -> DataFrame:
 def duplicate_groups(records: DataFrame) -> DataFrame:
     """(cache_id, rep, group_id, links): class, connected group and number of similar classes of every record compared.
 
-    Classes are linked by the similarity of their representatives; no pair within a class is written out.
+    Classes are linked if any of their members are similar, so that the groups are the components of all similar
+    pairs: a class is connected in itself. No pair of members is written out; where the representatives are not similar
+    but other members can be, the paths of the two classes are compared.
     """
-    _, members, links = class_links(records)
-    links = cut(links.where(F.col("similarity") >= THRESHOLD))
+    named, members, links = class_links(records)
+    links = cut(links)
+    open_links = links.where(F.col("similarity") < THRESHOLD).drop("similarity", "sure")
+    ends = open_links.select(F.col("a").alias("rep")).unionAll(open_links.select(F.col("b").alias("rep"))).distinct()
+    paths = members.join(ends, "rep").join(named.select("id", F.coalesce("path", F.lit("")).alias("path")), "id").select("rep", "path").distinct()
+    numbers = paths.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / PATHS_AT_ONCE).alias("rows"))
+    listed = cut(paths.join(numbers, "rep").groupBy("rep", F.expr("pmod(xxhash64(path), rows)").alias("row")).agg(F.collect_list("path").alias("paths")).drop("row"))
+    met = open_links.join(listed.select(F.col("rep").alias("a"), F.col("paths").alias("paths_one")), "a").join(listed.select(F.col("rep").alias("b"), F.col("paths").alias("paths_two")), "b")
+    texts = _with_texts(met, named).select("a", "b", "loose_a", "loose_b", "paths_one", "paths_two", "path_a", "pages_a", "path_b", "pages_b")
+    links = cut(links.where(F.col("similarity") >= THRESHOLD).select("a", "b").unionAll(texts.mapInArrow(_any_members, "a bigint, b bigint")).distinct())
     degree = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     groups = components(links, "a", "b").select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
     out = members.join(degree, "rep", "left").join(groups, "rep", "left")

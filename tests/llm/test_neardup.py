@@ -121,3 +121,30 @@ def test_many_copies_under_other_paths(spark):
     few = df.where("cache_id < 60 OR cache_id >= 5000")
     got = {(r.cache_id_a, r.cache_id_b) for r in neardup.similar_pairs(few).collect()}
     assert got == brute([x for x in rows if x[0] < 60 or x[0] >= 5000])
+
+
+def test_classes_are_linked_by_any_of_their_members(spark):
+    r = random.Random(12)
+    letters = "abcdefghijklmnopqrst"
+    rows = []
+    for k in range(6):
+        shared, path = "".join(r.choices(letters, k=420)), "".join(r.choices(letters, k=95))
+        ends = ["".join(r.choices(letters, k=160)) for _ in range(2)]
+        for side in range(2):
+            rows += [(100 * k + 10 * side + n, "".join(r.choices(letters, k=95)), [shared + ends[side]]) for n in range(3)]
+            rows.append((100 * k + 10 * side + 5, path if k % 2 else "".join(r.choices(letters, k=95)), [shared + ends[side]]))
+    df = spark.createDataFrame(rows, SCHEMA)
+    group = {x.cache_id: x.group_id for x in neardup.duplicate_groups(df).collect()}
+    pairs = brute(rows)
+    found = {(x.cache_id_a, x.cache_id_b) for x in neardup.similar_pairs(df).collect()}
+    assert found == pairs and {(100 * k + 5, 100 * k + 15) in pairs for k in (1, 3, 5)} == {True}
+    assert group == {key: key // 100 * 100 + (0 if key // 100 % 2 else key % 100 // 10 * 10) for key, _, _ in rows}
+
+
+def test_any_similar_members_equal_brute_force():
+    r = random.Random(3)
+    for _ in range(300):
+        one, two = (set(r.sample(range(60), r.randrange(20, 45))) for _ in range(2))
+        paths = [[set(r.sample(range(40, 90), r.randrange(12))) for _ in range(4)] for _ in range(2)]
+        brute_force = any(len((one | x) & (two | y)) / len(one | x | two | y) >= neardup.THRESHOLD for x in paths[0] for y in paths[1])
+        assert neardup.any_similar(one, two, *paths) == brute_force
