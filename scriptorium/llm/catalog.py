@@ -57,7 +57,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_text(spark: SparkSession, folder: str) -> DataFrame:
-    return scan_noise.repair_pages(_pages(spark, folder), _entries(spark, folder))
+    return scan_noise.repair_texts(_pages(spark, folder), _entries(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -627,14 +627,74 @@ def find_noise(records: DataFrame, entries: DataFrame) -> DataFrame:
     return pages.unionAll(entries.select(F.col("entry_id").cast("bigint"), "raw_entry").mapInArrow(of_entries, schema)).distinct()
 
 
-def repair_pages(records: DataFrame, entries: DataFrame) -> DataFrame:
-    """(cache_id, text): every record as continuous paragraphs."""
+def repaired_entry(text: str | None, words: Lexicon) -> str:
+    """A typed-off entry as continuous text: noise lines gone, broken words closed, misread words of its title put right."""
+    if not text or text.isspace():
+        return ""
+    lines = text.split("\n")
+    noise = {k - 1 for k, kind in entry_noise(text, words) if kind in ("header", "page_number")}
+    kept = [line.strip() for k, line in enumerate(lines) if k not in noise and line.strip()]
+    out = kept[0]
+    for line in kept[1:]:
+        out = _continued(out, line, words)
+    begin = 0
+    done = []
+    for start, end in title_spans(out):
+        done += [out[begin:start], _put_right(out, words, start, end)]
+        begin = end
+    return "".join([*done, out[begin:]])
+
+
+def _continued(before: str, line: str, words: Lexicon) -> str:
+    """Running text with the next line, a word broken between them closed or left as a compound."""
+    if before and before[-1] in HYPHENS and (m := _BREAK_WORD.search(before)) and (n := _FIRST_WORD.match(line)):
+        return (before[:-1] if words.closes(m.group(1).strip(HYPHENS), n.group(1)) else before) + line
+    return f"{before} {line}"
+
+
+def _put_right(text: str, words: Lexicon, start: int, end: int) -> str:
+    """A part of a text with its misread words put right; names and all but the first words of sentences keep capitals."""
+    out, at = [], start
+    for m in _WORD.finditer(text, start, end):
+        word, begin = m.group(), m.start()
+        right = None
+        if word[0].isdigit() and begin and text[begin - 1] in ".,":
+            continue
+        if word[0].isupper():
+            if (len(word) == 1 or not word.isupper()) and (begin == start or _is_start(text, begin)) and words.misread(word.lower()):
+                right = words.repaired(word.lower())
+                right = right[:1].upper() + right[1:]
+        elif words.misread(word.lower()):
+            right = words.repaired(word.lower())
+        if right is not None:
+            out += [text[at:begin], right]
+            at = m.end()
+    repaired = "".join([*out, text[at:end]])
+    return repaired if out and _readable(text[start:end], words) else text[start:end]
+
+
+def repair_texts(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """(source, record_id, text): every record of pages and every entry as continuous text."""
     shared = records.sparkSession.sparkContext.broadcast((lexicon(records, entries), trained_model(records)))
+    schema = "source string, record_id bigint, text string"
+
+    def rows_of(source: str, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([source] * len(texts), pa.string()), keys, pa.array(texts, pa.string())], names=["source", "record_id", "text"])
 
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = shared.value
         for batch in batches:
-            texts = [repaired_text(pages, words, model) for pages in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["cache_id", "text"])
+            yield rows_of("page", batch.column(0), [repaired_text(pages, words, model) for pages in batch.column(1).to_pylist()])
 
-    return records.select(F.col("cache_id").cast("bigint").alias("cache_id"), "pages").mapInArrow(repair, "cache_id bigint, text string")
+    def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, _ = shared.value
+        for batch in batches:
+            yield rows_of("entry", batch.column(0), [repaired_entry(text, words) for text in batch.column(1).to_pylist()])
+
+    pages = records.select(F.col("cache_id").cast("bigint"), "pages").mapInArrow(of_pages, schema)
+    return pages.unionAll(entries.select(F.col("entry_id").cast("bigint"), "raw_entry").mapInArrow(of_entries, schema))
+
+
+def repair_pages(records: DataFrame, entries: DataFrame) -> DataFrame:
+    """(cache_id, text): every record as continuous paragraphs."""
+    return repair_texts(records, entries).where("source = 'page'").select(F.col("record_id").alias("cache_id"), "text")

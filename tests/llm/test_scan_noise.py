@@ -93,3 +93,21 @@ def test_tables(spark):
     assert N.find_noise(r.limit(0), e.limit(0)).count() == 0
     texts = {x.cache_id: x.text for x in N.repair_pages(r, e).collect()}
     assert texts[100] == texts[101] == texts[102] == "" and "c0uncil" not in texts[103]
+
+
+def test_entries_are_put_together(words):
+    assert N.repaired_entry("Bcll, A. (1990) The widow and the coun-\n[334]\ncil without c0nsent. Leeds: North Press.", words) == "Bcll, A. (1990) The widow and the council without consent. Leeds: North Press."
+    assert N.repaired_entry("Bell, A. 1990, The ferry,\nREFERENCES 12\nland-\nholding.", words) == "Bell, A. 1990, The ferry, land-holding."
+    assert N.repaired_entry("Bell, A. (1990) Bctween the c0uncil and Aston. Leeds", words) == "Bell, A. (1990) Between the council and Aston. Leeds"
+    assert N.repaired_entry(None, words) == N.repaired_entry(" \n", words) == ""
+
+
+def test_every_record_and_entry_has_a_text(spark):
+    from scriptorium.llm import catalog
+
+    r = spark.createDataFrame([(k, scan(k, 2)) for k in range(30)] + [(100, None)], "cache_id bigint, pages array<string>")
+    e = spark.createDataFrame([(k, "Bell, A. (1990) The council of the vil-\nlage. Leeds: North Press.") for k in range(40)] + [(100, None)], "entry_id bigint, raw_entry string")
+    texts = {(x.source, x.record_id): x.text for x in N.repair_texts(r, e).collect()}
+    assert set(texts) == {("page", k) for k in [*range(30), 100]} | {("entry", k) for k in [*range(40), 100]}
+    assert texts["entry", 7] == "Bell, A. (1990) The council of the village. Leeds: North Press." and texts["entry", 100] == ""
+    assert "repair_texts" in catalog.p4_text.__code__.co_names
