@@ -167,7 +167,7 @@ def subpath(text: Column, sub: Column) -> Column:
 
 
 def prose_markup(text: Column) -> Column:
-    """Comments gone, links, highlights and tags as markup, outside code; embeds and maths stay as they are."""
+    """Comments gone, links, highlights and tags as markup, outside code; images and maths stay as they are, an embed becomes a link after its mark."""
     return on_prose(strip_front_matter(text), lambda p: tag_markup(highlight_markup(link_markup(strip_comments(p)))))
 
 
