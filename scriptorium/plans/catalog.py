@@ -45,9 +45,16 @@ def _taxonomy(spark: SparkSession, folder: str) -> Taxonomy:
     return Taxonomy.from_table(table(spark, folder, "taxonomy"))
 
 
+#: Excluded phrases that may be part of a plan; a longer list is an error.
+MAX_PHRASES = 1000
+
+
 def _phrases(spark: SparkSession, folder: str) -> list[str]:
     # a list of phrases is part of the plan, like the taxonomy
-    return [r["phrase"] for r in table(spark, folder, "excluded_phrases").where("phrase IS NOT NULL").orderBy("phrase").limit(1000).collect()]
+    rows = table(spark, folder, "excluded_phrases").where("phrase IS NOT NULL").orderBy("phrase").limit(MAX_PHRASES + 1).collect()
+    if len(rows) > MAX_PHRASES:
+        raise ValueError(f"a list of more than {MAX_PHRASES} excluded phrases can't be part of a plan")
+    return [r["phrase"] for r in rows]
 
 
 def _profiles(spark: SparkSession, folder: str, discount: bool = True) -> tuple[DataFrame, Taxonomy]:

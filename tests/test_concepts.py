@@ -89,3 +89,13 @@ def test_columns_of_the_input_do_not_clash(spark):
     df = documents(spark, [("a", ["empire"])]).withColumns({"_text": F.lit(1), "char_count": F.lit("x"), "total_hits": F.lit(7), "breadth": F.lit(None).cast("int")})
     row = concepts.profile(df, NATIVE).first()
     assert (row["total_hits"], row["char_count"], row["breadth"]) == (1, 6, 1)
+
+
+def test_too_many_excluded_phrases_are_an_error(spark, tmp_path):
+    from scriptorium.plans import catalog
+
+    for n in (catalog.MAX_PHRASES, catalog.MAX_PHRASES + 1):
+        spark.createDataFrame([(f"phrase {k}",) for k in range(n)] + [(None,)], "phrase string").write.parquet(f"{tmp_path}/{n}/excluded_phrases.parquet")
+    assert len(catalog._phrases(spark, f"{tmp_path}/{catalog.MAX_PHRASES}")) == catalog.MAX_PHRASES
+    with pytest.raises(ValueError):
+        catalog._phrases(spark, f"{tmp_path}/{catalog.MAX_PHRASES + 1}")
