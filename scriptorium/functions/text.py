@@ -17,7 +17,8 @@ def join_pages(pages: Column) -> Column:
 
 def close_hyphens(text: Column) -> Column:
     """Join words broken by a hyphen at a line end."""
-    return F.regexp_replace(text, rf"{_U}(\w)-{SPACE}*\n{SPACE}*(\w)", "$1$2")
+    # white space with a line feed in it, taken whole: nothing is tried twice in long gaps
+    return F.regexp_replace(text, rf"{_U}(\w)-[[^\S\n]\x1c-\x1f]*+\n{SPACE}*+(\w)", "$1$2")
 
 
 def collapse(text: Column) -> Column:

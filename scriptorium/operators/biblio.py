@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators.numbered import numbered
 
 # Headings, and the patterns by which entries are split and parsed.
 REFERENCE_HEADINGS = "references|bibliography|works cited|literature cited|reference list"
@@ -27,13 +28,15 @@ LEAST_ENTRIES, LONGEST_MEAN = 3, 600
 #: Characters of an entry that are kept.
 KEPT = 300
 
-_GAP = r"[^\S\n]"
+#: Entries whose author and year were found.
+PARSED = "surname IS NOT NULL AND surname <> '' AND year IS NOT NULL AND year <> ''"
 
 
 def bibliography_text(pages: Column) -> Column:
     """The text under every reference heading up to the next such heading, a stop heading or the end; else empty."""
     text = F.concat(F.lit("\n"), T.join_pages(pages))
-    blank = r"(?:[^\S\n]|[\x1c-\x1f])*"
+    # one class, taken whole: a group with alternatives would recurse once a character
+    blank = r"[[^\S\n]\x1c-\x1f]*+"
     line = rf"\n{blank}(?:%s){blank}(?=\n|\z)"
     section = rf"(?siU){line % REFERENCE_HEADINGS}(.*?)(?={line % f'(?:{REFERENCE_HEADINGS}|{STOP_HEADINGS})'}|\z)"
     spans = F.transform(F.regexp_extract_all(text, F.lit(section), F.lit(1)), lambda s: F.substring(s, 2, 2**31 - 1))
@@ -76,20 +79,33 @@ def entries(documents: DataFrame, path: str = "path", pages: str = "pages") -> D
 
 def most_cited_works(parsed: DataFrame) -> DataFrame:
     """(surname, year, cited_by_n_documents) over entries that were parsed; unordered."""
-    keyed = parsed.where("surname IS NOT NULL AND surname <> '' AND year IS NOT NULL AND year <> ''")
+    keyed = parsed.where(PARSED)
     return keyed.groupBy(F.lower("surname").alias("surname"), "year").agg(F.countDistinct("document").alias("cited_by_n_documents"))
 
 
 def most_cited_authors(parsed: DataFrame) -> DataFrame:
     """(surname, cited_by_n_documents) over entries that were parsed; unordered."""
-    keyed = parsed.where("surname IS NOT NULL AND surname <> '' AND year IS NOT NULL AND year <> ''")
+    keyed = parsed.where(PARSED)
     return keyed.groupBy(F.lower("surname").alias("surname")).agg(F.countDistinct("document").alias("cited_by_n_documents"))
 
 
 def by_popularity(counted: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
     """A roll-up in the order of its report: most cited first, ties as they first appear in document order."""
-    first = parsed.where("surname IS NOT NULL AND year IS NOT NULL").withColumn("surname", F.lower("surname")).groupBy(*keys).agg(F.min(F.struct(F.split("document", "/"), "entry_no")).alias("_first"))
-    return counted.join(first, keys, "left").orderBy(F.col("cited_by_n_documents").desc(), F.col("_first").asc_nulls_last(), *keys).drop("_first")
+    return _first_seen(counted, parsed, keys).orderBy(*_popularity(keys)).drop("_first")
+
+
+def ranked_by_popularity(counted: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """The same with its ``rank``, numbered without bringing the report into one task."""
+    return numbered(_first_seen(counted, parsed, keys), _popularity(keys), "rank").drop("_first")
+
+
+def _first_seen(counted: DataFrame, parsed: DataFrame, keys: list[str]) -> DataFrame:
+    first = parsed.where(PARSED).withColumn("surname", F.lower("surname")).groupBy(*keys).agg(F.min(F.struct(F.split("document", "/"), "entry_no")).alias("_first"))
+    return counted.join(first, keys, "left")
+
+
+def _popularity(keys: list[str]) -> list[Column]:
+    return [F.col("cited_by_n_documents").desc(), F.col("_first").asc_nulls_last(), *(F.col(k) for k in keys)]
 
 
 def coverage(documents: DataFrame, parsed: DataFrame, pages: str = "pages") -> DataFrame:

@@ -129,7 +129,7 @@ def callouts(html: Column) -> Column:
         kind = F.lower(part(1))
         title = F.coalesce(F.nullif(strip(part(3)), F.lit("")), F.concat(F.upper(F.substring(kind, 1, 1)), F.substring(kind, 2, 2**31 - 1)))
         rest = F.regexp_replace(part(4), r"(?U)\A\s*<br\s*/?>\s*", "")
-        return F.concat(F.lit('<div class="callout" style="--c:'), F.coalesce(F.try_element_at(colours, kind), F.lit(DEFAULT_CALLOUT)), F.lit('"><div class="callout-title">'), title, F.lit('</div><div class="callout-body"><p>'), rest, F.lit("</div>"))
+        return F.concat(F.lit('<div class="callout" style="--c:'), F.coalesce(F.try_element_at(colours, kind), F.lit(DEFAULT_CALLOUT)), F.lit('"><div class="callout-title">'), title, F.lit('</div><div class="callout-body"><p>'), rest, F.lit("</div></div>"))
 
     return F.array_join(F.zip_with(between, pieces, lambda b, p: F.concat(b, F.when(p.isNull(), F.lit("")).otherwise(box(p)))), "")
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import NATIVE_VARIANTS, Taxonomy, Variant, pattern_of, variants_of
 from scriptorium.operators import biblio, canvas, concepts, markup, sensitivity
+from scriptorium.operators.numbered import numbered
 from scriptorium.operators.spread import spread
 from scriptorium.plans import fixtures
 from scriptorium.plans.page import html_page
@@ -312,9 +313,7 @@ def citation_keys(spark: SparkSession, folder: str) -> DataFrame:
 def corpus_order(spark: SparkSession, folder: str) -> DataFrame:
     # path order compares the parts of a path; places come from the distinct paths, so that copies share one
     cache = table(spark, folder, "extraction_cache").where("path IS NOT NULL").select("cache_id", "path")
-    paths = cache.select("path").distinct().withColumn("parts", F.split("path", "/"))
-    # a report's order: ranking needs one sequence, here over short paths only
-    ranked = paths.select("path", F.row_number().over(Window.orderBy("parts")).cast("bigint").alias("place"))
+    ranked = numbered(cache.select("path").distinct(), [F.split("path", "/")], "place")
     return cache.join(ranked, "path").select("cache_id", T.file_name(F.col("path")).alias("filename"), "place")
 
 
@@ -326,14 +325,26 @@ def most_cited_works(spark: SparkSession, folder: str) -> DataFrame:
     return biblio.most_cited_works(table(spark, folder, "per_document_entries"))
 
 
-@query(f"WITH w AS (SELECT lower(surname) AS surname, year, count(DISTINCT document) AS n, min(entry_id) AS first {_PARSED} GROUP BY ALL) SELECT CAST(row_number() OVER (ORDER BY n DESC, first, surname, year) AS INTEGER) AS rank, surname, year, CAST(n AS BIGINT) AS cited_by_n_documents FROM w QUALIFY rank <= 100")
-def top_works(spark: SparkSession, folder: str) -> DataFrame:
-    """The hundred works cited by most documents, ties as they were first seen: a top-k report."""
-    parsed = table(spark, folder, "per_document_entries").where("surname <> '' AND year <> ''")
-    first = parsed.groupBy(F.lower("surname").alias("surname"), "year").agg(F.min("entry_id").alias("first"))
-    order = [F.col("cited_by_n_documents").desc(), "first", "surname", "year"]
-    best = biblio.most_cited_works(parsed).join(first, ["surname", "year"]).orderBy(*order).limit(100)
-    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "surname", "year", "cited_by_n_documents")
+#: Where an entry stands: its document in path order, and its number.
+_SEEN = "struct_pack(d := string_split(document, '/'), e := entry_id)"
+
+
+def _entries_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "per_document_entries").select("document", F.col("entry_id").alias("entry_no"), "surname", "year")
+
+
+@query(f"WITH w AS (SELECT lower(surname) AS surname, year, count(DISTINCT document) AS n, min({_SEEN}) AS first {_PARSED} GROUP BY ALL) SELECT row_number() OVER (ORDER BY n DESC, first, surname, year) AS rank, surname, year, CAST(n AS BIGINT) AS cited_by_n_documents FROM w")
+def works_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole report of works: most cited first, ties as they first appear in document order."""
+    parsed = _entries_in_order(spark, folder)
+    return biblio.ranked_by_popularity(biblio.most_cited_works(parsed), parsed, ["surname", "year"])
+
+
+@query(f"WITH a AS (SELECT lower(surname) AS surname, count(DISTINCT document) AS n, min({_SEEN}) AS first {_PARSED} GROUP BY ALL) SELECT row_number() OVER (ORDER BY n DESC, first, surname) AS rank, surname, CAST(n AS BIGINT) AS cited_by_n_documents FROM a")
+def authors_in_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole report of authors, in the same order."""
+    parsed = _entries_in_order(spark, folder)
+    return biblio.ranked_by_popularity(biblio.most_cited_authors(parsed), parsed, ["surname"])
 
 
 @query(f"SELECT lower(surname) AS surname, CAST(count(DISTINCT document) AS BIGINT) AS cited_by_n_documents {_PARSED} GROUP BY ALL")

@@ -6,12 +6,12 @@ import argparse
 from collections.abc import Callable, Iterable
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from scriptorium.functions.taxonomy import NATIVE, NATIVE_PHRASES, NATIVE_VARIANTS, Taxonomy, Variant
 from scriptorium.operators import biblio, canvas, concepts, sensitivity
 from scriptorium.plans.page import html_page
+from scriptorium.session import cut
 from scriptorium.sources import corpus, sinks
 
 Extractor = Callable[[bytes], list[str]]
@@ -29,9 +29,9 @@ def load_documents(spark: SparkSession, folder: str | None = None, cache: str |
 
 def analyse_corpus(documents: DataFrame, output: str, taxonomy: Taxonomy = NATIVE, phrases: Iterable[str] = NATIVE_PHRASES, exclude_list: str | None = None, top_n: int = 40) -> dict[str, DataFrame]:
     """Profiles, histogram, dominance, shortlist and summary of a corpus, written below ``output``."""
-    kept = corpus.without_excluded(documents, corpus.exclusion_patterns(exclude_list))
-    # four reports read the profiles; they are kept on disk and recomputed where an executor is lost
-    profiled = concepts.profile(kept, taxonomy, phrases).persist(StorageLevel.DISK_ONLY)
+    patterns = corpus.checked_patterns(documents.sparkSession, corpus.exclusion_patterns(exclude_list))
+    # four reports read the profiles; they are kept in the shared checkpoint folder
+    profiled = cut(concepts.profile(corpus.without_excluded(documents, patterns), taxonomy, phrases))
     if profiled.isEmpty():
         raise ValueError("no documents to analyse")
     out = {
@@ -46,7 +46,6 @@ def analyse_corpus(documents: DataFrame, output: str, taxonomy: Taxonomy = NATIV
             sinks.write_text(df, "summary", f"{output}/{name}.json")
         else:
             sinks.write_csv(df, f"{output}/{name}.csv", single=name != "per_document_results")
-    profiled.unpersist()
     return out
 
 
@@ -61,7 +60,7 @@ def analyse_sensitivity(documents: DataFrame, output: str, variants: tuple[Varia
 
 def analyse_bibliography(documents: DataFrame, output: str) -> dict[str, DataFrame]:
     """Entries, works and authors by popularity, and coverage, written below ``output``."""
-    parsed = biblio.entries(documents).persist(StorageLevel.DISK_ONLY)
+    parsed = cut(biblio.entries(documents))
     out = {
         "per_document_entries": parsed.drop("entry_no"),
         "most_cited_works": biblio.by_popularity(biblio.most_cited_works(parsed), parsed, ["surname", "year"]),
@@ -70,7 +69,6 @@ def analyse_bibliography(documents: DataFrame, output: str) -> dict[str, DataFra
     }
     for name, df in out.items():
         sinks.write_csv(df, f"{output}/{name}.csv", single=name == "coverage")
-    parsed.unpersist()
     return out
 
 

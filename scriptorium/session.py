@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cpus: int | str = 8, app: str = "scriptorium", memory: str = "8g", **extra: str) -> SparkSession:
@@ -16,6 +16,7 @@ def build_session(cpus: int | str = 8, app: str = "scriptorium", memory: str = "
         "spark.driver.memory": memory,
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | extra
@@ -28,14 +29,34 @@ def build_session(cpus: int | str = 8, app: str = "scriptorium", memory: str = "
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a fresh local one where the session names none."""
+    """The cluster's shared checkpoint folder, or a fresh local one where a local session names none.
+
+    On a cluster a folder of one machine is no place for what other machines must read: that is an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager)
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the files of a checkpointed table that is no longer needed, before the session ends."""
+    sc = df.sparkSession.sparkContext
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor, once a session's context.
 

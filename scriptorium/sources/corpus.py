@@ -25,7 +25,10 @@ def discover(spark: SparkSession, folder: str, glob: str = "*.pdf", content: boo
 
 
 def exclusion_patterns(path: str | None) -> list[str]:
-    """Patterns of a list, one a line; blank lines and comments are skipped, and what is no expression is taken literally."""
+    """Patterns of a list, one a line; blank lines and comments are skipped, and what is no expression is taken literally.
+
+    A line counts as an expression by Python's rules; the forms that Java writes otherwise are rewritten.
+    """
     if not path:
         return []
     out = []
@@ -35,12 +38,31 @@ def exclusion_patterns(path: str | None) -> list[str]:
             continue
         try:
             re.compile(pattern)
+            pattern = _java_form(pattern)
         except re.error:
             pattern = r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
         out.append(pattern)
     return out
 
 
+def _java_form(pattern: str) -> str:
+    """Named groups, their references and the end of the text as Java writes them."""
+    for python, java in ((r"\(\?P<", "(?<"), (r"\(\?P=(\w+)\)", r"\\k<\1>"), (r"(?<!\\)((?:\\\\)*)\\Z", r"\1\\z")):
+        pattern = re.sub(python, java, pattern)
+    return pattern
+
+
+def checked_patterns(spark: SparkSession, patterns: Iterable[str]) -> list[str]:
+    """The patterns, after the engine that will run them has compiled each; one that it can't read is an error."""
+    known = list(patterns)
+    for pattern in known:
+        try:
+            spark.range(1).where(F.col("id").cast("string").rlike(f"(?iU){pattern}")).count()
+        except Exception as error:
+            raise ValueError(f"not an expression that can be run: {pattern}") from error
+    return known
+
+
 def excluded(path: Column, patterns: Iterable[str]) -> Column:
     """Whether any pattern occurs in the file name or the path, without regard to case."""
     tests = [file_name(path).rlike(f"(?iU){p}") | path.rlike(f"(?iU){p}") for p in patterns]

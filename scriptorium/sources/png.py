@@ -1,71 +1,39 @@
-"""A PNG file written strip by strip: eight-bit colour, no filter, memory bounded by one strip."""
+"""A PNG file as a stream of bytes: eight-bit colour, no filter, never more than one strip in memory."""
 
 from __future__ import annotations
 
-import struct
 import zlib
-from pathlib import Path
-from types import TracebackType
+from collections.abc import Iterable, Iterator
 
+# The format's signature and the fields after the size: depth, colour type, and three methods.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
-#: Compressed bytes that are gathered before a data chunk is written.
-CHUNK = 8 << 20
+RGB_FIELDS = bytes((8, 2, 0, 0, 0))
 
 
-class StripWriter:
-    """Rows of RGB pixels, top to bottom; closing checks that all rows came.
+def _part(name: bytes, body: bytes) -> bytes:
+    tagged = name + body
+    return len(body).to_bytes(4, "big") + tagged + zlib.crc32(tagged).to_bytes(4, "big")
 
-    Rendering the strips is up to the caller: the engine itself draws nothing.
-    """
-
-    def __init__(self, path: str | Path, width: int, height: int, level: int = 6) -> None:
-        if width < 1 or height < 1:
-            raise ValueError("a picture has at least one pixel")
-        self.width, self.height, self.rows = width, height, 0
-        self._file = open(path, "wb")  # noqa: SIM115 - closed by close()
-        self._pack = zlib.compressobj(level)
-        self._held = bytearray()
-        self._file.write(SIGNATURE)
-        self._chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
 
-    def _chunk(self, kind: bytes, data: bytes) -> None:
-        self._file.write(struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind))))
+def png_parts(width: int, height: int, strips: Iterable[bytes], level: int = 6) -> Iterator[bytes]:
+    """The parts of a picture of RGB rows, top to bottom; each strip has whole rows of ``3 * width`` bytes.
 
-    def write_strip(self, pixels: bytes) -> None:
-        """Append whole rows of ``3 * width`` bytes."""
-        line = 3 * self.width
-        n, rest = divmod(len(pixels), line)
-        if rest:
+    Rendering the strips is up to the caller: the engine itself draws nothing. Too few or too many rows are an error.
+    """
+    if min(width, height) < 1:
+        raise ValueError("a picture has at least one pixel")
+    yield SIGNATURE + _part(b"IHDR", width.to_bytes(4, "big") + height.to_bytes(4, "big") + RGB_FIELDS)
+    packer, row, left = zlib.compressobj(level), 3 * width, height
+    for strip in strips:
+        if len(strip) % row:
             raise ValueError("a strip holds whole rows")
-        if self.rows + n > self.height:
+        left -= len(strip) // row
+        if left < 0:
             raise ValueError("more rows than the picture has")
-        view = memoryview(pixels)
-        for k in range(n):
-            self._held += self._pack.compress(b"\0" + view[k * line : (k + 1) * line])
-        self.rows += n
-        if len(self._held) > CHUNK:
-            self._flush()
-
-    def _flush(self) -> None:
-        if self._held:
-            self._chunk(b"IDAT", bytes(self._held))
-            self._held.clear()
-
-    def close(self) -> None:
-        try:
-            if self.rows != self.height:
-                raise ValueError(f"{self.rows} of {self.height} rows were written")
-            self._held += self._pack.flush()
-            self._flush()
-            self._chunk(b"IEND", b"")
-        finally:
-            self._file.close()
-
-    def __enter__(self) -> StripWriter:
-        return self
-
-    def __exit__(self, kind: type[BaseException] | None, error: BaseException | None, trace: TracebackType | None) -> None:
-        if kind is None:
-            self.close()
-        else:
-            self._file.close()
+        packed = packer.compress(b"".join(b"\0" + strip[at : at + row] for at in range(0, len(strip), row)))
+        if packed:
+            yield _part(b"IDAT", packed)
+    if left:
+        raise ValueError(f"{left} of {height} rows are missing")
+    yield _part(b"IDAT", packer.flush())
+    yield _part(b"IEND", b"")

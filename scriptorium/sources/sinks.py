@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions.taxonomy import Taxonomy
 
+#: Lines of a report for the console; a longer one is an error.
+MAX_LINES = 1000
+
 
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
     """CSV with a header; nulls and empty texts both as empty fields, flags as True and False."""
@@ -40,8 +43,10 @@ def console_table(df: DataFrame, widths: dict[str, int], decimals: int = 1) -> l
         value = F.coalesce(value, F.lit(""))
         cells.append(F.rpad(value, width, " ") if kind == "string" else F.lpad(value, width, " "))
     header = "  ".join(name[:width].ljust(width) if dict(df.dtypes)[name] == "string" else name[:width].rjust(width) for name, width in widths.items())
-    # a report of a few lines; a longer one belongs in a file
-    return [header, *(r["line"] for r in df.limit(1000).select(F.concat_ws("  ", *cells).alias("line")).collect())]
+    lines = df.select(F.concat_ws("  ", *cells).alias("line")).limit(MAX_LINES + 1).collect()
+    if len(lines) > MAX_LINES:
+        raise ValueError(f"a report of more than {MAX_LINES} lines belongs in a file, not on the console")
+    return [header, *(r["line"] for r in lines)]
 
 
 def observed(profiled: DataFrame, name: str = "corpus") -> tuple[DataFrame, Observation]:

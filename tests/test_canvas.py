@@ -71,7 +71,7 @@ def test_subpaths(spark):
 def test_callouts_and_code_stay_apart(spark):
     df = spark.createDataFrame([("<blockquote>\n<p>[!tip]+\nbody</p></blockquote>", "a `[[x]] #t` b [[y|z]]\n```\n==c==\n```\n==d==")], "h string, t string")
     r = df.select(markup.callouts(F.col("h")).alias("h"), markup.prose_markup(F.col("t")).alias("t")).first()
-    assert r.h == '<div class="callout" style="--c:#00bfbc"><div class="callout-title">Tip</div><div class="callout-body"><p>\nbody</p></div>'
+    assert r.h == '<div class="callout" style="--c:#00bfbc"><div class="callout-title">Tip</div><div class="callout-body"><p>\nbody</p></div></div>'
     assert r.t == 'a `[[x]] #t` b <span class="internal-link">z</span>\n```\n==c==\n```\n<mark>d</mark>'
 
 

@@ -109,3 +109,19 @@ def test_console_table_and_observed_counts(spark, cache):
     profiled, metrics = sinks.observed(concepts.profile(pipelines.load_documents(spark, cache=cache), NATIVE))
     profiled.write.format("noop").mode("overwrite").save()
     assert metrics.get == {"documents": 4, "failed": 1, "hits": 4}
+
+
+def test_exclusion_patterns_that_java_writes_otherwise(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("(?P<x>ab)(?P=x)\\Z\n[bad\n")
+    patterns = corpus.checked_patterns(spark, corpus.exclusion_patterns(str(tmp_path / "list.txt")))
+    docs = spark.createDataFrame([("c/xabab", []), ("c/abab.pdf", []), ("c/[bad.pdf", [])], corpus.CACHE_SCHEMA)
+    assert [r.path for r in corpus.without_excluded(docs, patterns).collect()] == ["c/abab.pdf"]
+    with pytest.raises(ValueError, match="can be run"):
+        corpus.checked_patterns(spark, ["(?<=a*)b(?P>x)"])
+
+
+def test_long_console_report_is_an_error(spark):
+    from scriptorium.sources import sinks
+
+    with pytest.raises(ValueError, match="file"):
+        sinks.console_table(spark.range(sinks.MAX_LINES + 1).selectExpr("CAST(id AS STRING) AS id"), {"id": 5})

@@ -18,27 +18,17 @@ def chunks(data: bytes):
         at += 12 + size
 
 
-def test_strips_come_back(tmp_path):
+def test_strips_come_back():
     rows = [bytes((x * y + c) % 256 for x in range(5) for c in range(3)) for y in range(7)]
-    with png.StripWriter(tmp_path / "a.png", 5, 7) as out:
-        out.write_strip(b"".join(rows[:3]))
-        out.write_strip(b"")
-        out.write_strip(b"".join(rows[3:]))
-    data = (tmp_path / "a.png").read_bytes()
+    data = b"".join(png.png_parts(5, 7, [b"".join(rows[:3]), b"", b"".join(rows[3:])]))
     found = list(chunks(data))
-    assert [k for k, _ in found] == [b"IHDR", b"IDAT", b"IEND"]
+    assert [found[0][0], found[-1]] == [b"IHDR", (b"IEND", b"")] and {k for k, _ in found[1:-1]} == {b"IDAT"}
     assert struct.unpack(">II", found[0][1][:8]) == (5, 7)
     raw = zlib.decompress(b"".join(b for k, b in found if k == b"IDAT"))
     assert raw == b"".join(b"\0" + r for r in rows)
 
 
-def test_wrong_strips(tmp_path):
-    out = png.StripWriter(tmp_path / "b.png", 2, 1)
-    with pytest.raises(ValueError, match="whole rows"):
-        out.write_strip(b"12345")
-    with pytest.raises(ValueError, match="more rows"):
-        out.write_strip(b"x" * 12)
-    with pytest.raises(ValueError, match="0 of 1"):
-        out.close()
-    with pytest.raises(ValueError, match="at least one"):
-        png.StripWriter(tmp_path / "c.png", 0, 1)
+@pytest.mark.parametrize(("size", "strips", "message"), [((2, 1), [b"12345"], "whole rows"), ((2, 1), [b"x" * 12], "more rows"), ((2, 1), [], "1 of 1"), ((0, 1), [], "at least one")])
+def test_wrong_strips(size, strips, message):
+    with pytest.raises(ValueError, match=message):
+        list(png.png_parts(*size, strips))

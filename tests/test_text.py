@@ -81,3 +81,28 @@ def test_counting_patterns_count_the_same(spark, variants):
     df = rows(spark, texts).select("k", token_count(F.col("v"), variants).alias("n"), F.regexp_count("v", F.lit(pattern_of(variants))).alias("m"))
     assert [(r.n, r.m) for r in df.collect() if r.n != r.m] == []
     assert sum(r.n for r in df.collect()) > 0
+
+
+LONG = 1_000_000
+
+
+@pytest.mark.parametrize("blank", [" ", "\x1c", "\t \xa0"])
+def test_long_gaps_end_no_session(spark, blank):
+    from scriptorium.functions.taxonomy import NATIVE
+    from scriptorium.operators import biblio, concepts, markup
+
+    gap = blank * (LONG // len(blank))
+    pages = [f"a{gap}b-{gap}\n{gap}c{gap}", f"References{gap}", f"{gap}", f"One, A. (1990) x.\nTwo, B. (1991) y{gap}", "Index\nz"]
+    df = spark.createDataFrame([(pages, gap + "One, A." + gap + "(1990)" + gap, "---" + gap + "\nx\n---" + gap + "\n![[" + gap + "]] $" + gap + "$ ==" + gap + "== %%" + gap + "%% #" + gap)], "pages array<string>, entry string, note string")
+    r = df.select(
+        biblio.bibliography_text(F.col("pages")).alias("b"), F.length(T.normalise(T.join_pages(F.col("pages")))).alias("n"), T.strip(F.col("entry")).alias("e"), F.size(T.sentences(F.col("entry"))).alias("s"),
+        biblio.citation_key(F.col("entry")).alias("k"), F.size(biblio.split_entries(F.concat(F.lit("\n"), F.element_at("pages", 4))).getField("entries")).alias("parts"), F.length(markup.prose_markup(F.col("note"))).alias("m"), markup.uses_math(F.col("note")).alias("u"),
+    ).first()
+    assert r.b.strip() == "One, A. (1990) x.\nTwo, B. (1991) y" and r.n < 120
+    assert r.e.startswith("One") and r.s == 2 and tuple(r.k) == ("One", "1990") and r.m > 0
+    assert concepts.profile(df.select("pages", F.lit("p").alias("path")), NATIVE).first().total_hits == 0
+
+
+def test_long_runs_of_line_feeds_close_words(spark):
+    df = rows(spark, ["a-" + "\n" * 300_000 + "b", "a-" + " \n" * 300_000 + ". b"])
+    assert [r.n for r in df.orderBy("k").select(F.length(T.close_hyphens(F.col("v"))).alias("n")).collect()] == [2, 600_005]
