@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from scriptorium.session import cut, drop_checkpoint
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+__all__ = ["bounded_sample", "cut", "drop_checkpoint", "measured", "table"]
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="scriptorium-ckpt-"))
-    return df.checkpoint(eager)
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
 def measured(df: DataFrame, text: str) -> tuple[int, int]:
@@ -27,7 +20,7 @@ def measured(df: DataFrame, text: str) -> tuple[int, int]:
 
 
 def bounded_sample(rows: DataFrame, key: str, size: int, total: int) -> DataFrame:
-    """At most ``size`` rows by the hash of a key, the same ones on every run.
+    """At most ``size`` of the ``total`` rows by the hash of a key, the same ones on every run.
 
     Only about one and a half times as many rows pass the hash, whatever the table's size, so that no task and no
     driver ever holds more: a plain ordered limit would bring ``size`` rows from every partition.

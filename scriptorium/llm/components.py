@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from scriptorium.llm.common import cut
+from scriptorium.llm.common import cut, drop_checkpoint
 
 MAX_ROUNDS = 60
 
@@ -35,6 +35,7 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         following = cut(_star(_star(edges, True), False))
         moved = following.exceptAll(edges).limit(1).count() + edges.exceptAll(following).limit(1).count()
+        drop_checkpoint(edges)
         edges = following
         if not moved:
             break

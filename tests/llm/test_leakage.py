@@ -78,3 +78,31 @@ def test_removal_leaves_no_leak_and_no_row_out(spark):
             assert key in hit or got[key].text == text
     pairs = [(k, r.text) for k, r in got.items() if k is not None]
     assert not {p for p in brute(pairs, items) if len(leakage.normalised_words(dict(pairs)[p[0]])) < 12}
+
+
+def overlapping():
+    w = [f"x{k}" for k in range(60)]
+    items = [(1, " ".join(w[:18])), (2, " ".join(w[6:30])), (3, " ".join(w[30:45])), (4, " ".join(w[40:60])), (5, " ".join(w[:18])), (6, "no such words here at all " * 4)]
+    docs = [(1, "before " + " ".join(w) + " after"), (2, " ".join(w[:12]) + " gap " + " ".join(w[12:30])), (3, " ".join(w[:9] + w[25:42])), (4, " ".join(w[3:15])), (5, " ".join(w[3:14])), (5, " ".join(w[3:16])), (None, " ".join(w)), (6, None), (7, "")]
+    return docs, items
+
+
+def test_same_rows_whatever_the_size_of_the_index(spark):
+    docs, items = overlapping()
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    found, clean = order(leakage.find_leaks(d, i)), order(leakage.remove_leaks(d, i))
+    assert set(found) == {p for p in brute(docs, items) if p[0] is not None}
+    assert (1, "before after", 60) in [(k, " ".join(t.split()) if t else t, n) for k, t, n in clean]
+    for limit in (1, 60, 20_000_000):
+        assert order(leakage.find_leaks(d, i, max_chars=limit)) == found
+        assert order(leakage.remove_leaks(d, i, max_chars=limit)) == clean
+    assert order(leakage.remove_leaks(d, i.limit(0), max_chars=-1)) == sorted([(k, t.strip() if t else t, 0) for k, t in docs], key=repr)
+
+
+def test_the_index_keeps_its_bound():
+    r = random.Random(2)
+    text = " ".join(r.choices("abcdefgh", k=50_000))
+    index = leakage.WindowIndex([(k, text[k * 1000 : k * 1000 + 1000]) for k in range(100)])
+    assert index.size() <= leakage.INDEX_BYTES * len(text) / 2
+    assert leakage.WindowIndex([]).hits([["a"] * 20, []])[0].size == 0
