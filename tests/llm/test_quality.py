@@ -19,6 +19,7 @@ def test_length_is_that_of_the_normalised_text(text):
 def kind_of(text):
     mixture = quality.example_mixture()
     cells = quality.levels(np.array([quality.statistics(s) for s in quality.segments(text)])).astype(float)
+    assert (quality.cell_levels(np.array(quality.cell_codes(quality.segments(text)))) == cells).all()
     return mixture.kind(cells)
 
 
@@ -50,3 +51,38 @@ def test_issues(spark):
     assert got == [(2, "not_prose"), (3, "extraction_ok"), (8, "char_count"), (8, "extraction_ok")]
     assert quality.find_issues(r.limit(0), d).count() == 0
     assert {x.issue for x in quality.find_issues(r, d.limit(0)).collect()} == {"not_prose"}
+
+
+def corpus_cells(spark, folder):
+    rows = quality.measured_records(spark.read.parquet(f"{folder}/extraction_cache.parquet"))
+    return rows, quality.fit_mixture(rows)
+
+
+def test_the_fit_follows_the_corpus(spark, folder):
+    rows, fitted = corpus_cells(spark, folder)
+    start = quality.example_mixture()
+    pairs = rows.selectExpr("inline(arrays_zip(cells, sizes))").groupBy("cells").sum("sizes").toPandas()
+    x = quality.cell_levels(pairs["cells"].to_numpy().astype(np.int64)).astype(float)
+    n = pairs["sum(sizes)"].to_numpy().astype(float)
+    # the components move from the examples to the corpus, and it becomes likelier
+    moved = np.abs((fitted.mean * fitted.scale + fitted.shift) - start.examples).max(1)
+    assert (moved > 0.5).mean() > 0.5
+    unfitted = quality.Mixture(start.examples, start.kinds)
+    unfitted.shift, unfitted.scale = fitted.shift, fitted.scale
+    unfitted._start(0.6)
+    assert float(fitted.responsibilities(x)[1] @ n) > float(unfitted.responsibilities(x)[1] @ n) + n.sum()
+    changed = np.array([a != b for a, b in zip(fitted.kind(x), start.kind(x), strict=True)])
+    assert 0 < n[changed].sum() / n.sum() < 0.1
+
+
+def test_many_cells_take_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    codes = np.arange(quality.LEVELS ** len(quality.SCALES) // 8, dtype=np.int64) * 8
+    cells, n = quality.cell_levels(codes), r.random(len(codes)) * 1000
+    tracemalloc.start()
+    quality.example_mixture().fit(cells, n, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
