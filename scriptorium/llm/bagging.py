@@ -10,8 +10,8 @@ MAX_BINS = 48
 class Tree:
     """A binary classification tree by Gini impurity over quantile cuts; nodes lie in flat arrays."""
 
-    def __init__(self, depth: int = 6, least: int = 5) -> None:
-        self.depth, self.least = depth, least
+    def __init__(self, depth: int = 6, least: int = 5, features: np.ndarray | None = None) -> None:
+        self.depth, self.least, self.features = depth, least, features
         self.feature: list[int] = []
         self.cut: list[float] = []
         self.left: list[int] = []
@@ -38,7 +38,7 @@ class Tree:
 
     def _best(self, x: np.ndarray, y: np.ndarray) -> tuple[int, float] | None:
         n, ones, best, found = len(y), y.sum(), 2 * y.mean() * (1 - y.mean()) - 1e-9, None
-        for feature in range(x.shape[1]):
+        for feature in range(x.shape[1]) if self.features is None else self.features.tolist():
             values = np.unique(x[:, feature])
             if len(values) < 2:
                 continue
@@ -70,17 +70,21 @@ class Tree:
 
 
 class BaggedTrees:
-    """Trees on bootstrap samples; the probability is their mean."""
+    """Trees on bootstrap samples and on a share of the features each; the probability is their mean.
 
-    def __init__(self, trees: int = 25, depth: int = 6, seed: int = 11) -> None:
-        self.n, self.depth, self.seed = trees, depth, seed
+    No feature is then left unlearnt because another one tells the classes of the sample apart by itself.
+    """
+
+    def __init__(self, trees: int = 25, depth: int = 6, seed: int = 11, share: float = 1.0) -> None:
+        self.n, self.depth, self.seed, self.share = trees, depth, seed, share
         self.trees: list[Tree] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> BaggedTrees:
         random = np.random.default_rng(self.seed)
         for _ in range(self.n):
             pick = random.integers(0, len(y), len(y))
-            self.trees.append(Tree(self.depth).fit(x[pick], y[pick].astype(float)))
+            features = np.sort(random.permutation(x.shape[1])[: max(1, round(self.share * x.shape[1]))])
+            self.trees.append(Tree(self.depth, features=features).fit(x[pick], y[pick].astype(float)))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:

@@ -1,8 +1,9 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-A page is cut into blocks at blank lines. Bagged trees, trained from weak labels on content and link features of a
-bounded sample of pages, give each block a probability of spam; the page's score is the share of its characters in
-spam blocks, weighed by these probabilities, and is smoothed by the rate of spam of its host.
+A page is cut into blocks at blank lines. Rules give weak labels to the blocks they are sure of, and to no others.
+Bagged trees, trained from these labels on content and link features of a bounded sample of pages, decide every block:
+they also see features that no rule uses, and so judge what the rules leave open. A page's share is that of its
+characters in blocks that the trees call spam, and its log-odds are smoothed by the rate of spam of its host.
 
 Repetition is measured in the block and over the whole page, as its period may be longer than a block: a block also
 has the share of its runs of characters and of its segments that recur on the page, and the variety of the page's words.
@@ -14,6 +15,7 @@ A block of fewer than three words without a link repeats no keywords and is no s
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from scriptorium.llm.bagging import BaggedTrees
 from scriptorium.llm.common import bounded_sample, cut
+from scriptorium.llm.lexicon import FUNCTION_WORDS
 
 MIN_CHARS = 200
 #: Pages in the training sample, and the longest page in it: bounds on what reaches the driver.
@@ -39,10 +42,15 @@ LEAST_RUNS, RUN_PERIOD = 3, 2_000
 VARIETY_POWER = 0.75
 #: Characters of pages whose runs are sorted at once; a longer page is sorted alone.
 SORTED_CHARS = 50_000
-#: Weight of the host's log-odds against the page's, and pages of the corpus' rate added to each host's own.
-HOST_WEIGHT, HOST_PRIOR = 0.25, 50
-#: Steepness of the page's log-odds around half of its characters.
-STEEP = 20.0
+#: Trees, and the share of the features that each of them sees: about their square root.
+TREES, FEATURE_SHARE = 31, 0.2
+#: Weight of the host's log-odds (beside those of the corpus, HOST_MOST at most either way) against the page's, and
+#: pages of the corpus' rate added to each host's own.
+HOST_WEIGHT, HOST_MOST, HOST_PRIOR = 0.8, 2.0, 50
+#: Steepness of the page's log-odds around half of its characters: a host can move a page by 0.2 of them.
+STEEP = 8.0
+#: Rates of hosts are broadcast up to this number; beyond it they are joined, each host spread over SALTS keys.
+MAX_BROADCAST_HOSTS, SALTS = 1_000_000, 16
 
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _GAP = re.compile(r"\s+(?=\S)")
@@ -54,8 +62,18 @@ _SENTENCE = re.compile(r"[.!?。！？।؟…]+[\"'»”)\]]*(?:\s+|$)|[。！
 _PRICE = re.compile(r"(?<![\d.,])\d{1,5}[.,]\d\d(?![\d.,])")
 _YEAR = re.compile(r"(?<!\d)(?:1[5-9]|20)\d\d(?!\d)")
 
-FEATURES = ("log_chars", "links", "tags", "packed", "top_words", "distinct_words", "repeated_segments", "segment_words", "sentence_words", "digits", "prices", "years", "ends", "words", "page_runs", "page_segments", "page_variety")
+#: What is measured of a block, then of its page. No rule looks at those in LEARNT.
+FEATURES = (
+    "links", "tags", "packed", "top_words", "repeated_segments", "segment_words", "sentence_words", "prices", "years", "ends", "words",
+    "log_chars", "distinct_words", "digits", "function_words", "letter_pairs", "capitals", "word_chars", "marks", "lines", "anchors", "link_hosts",
+    "page_runs", "page_segments", "page_variety", "page_chars", "page_links",
+)
+LEARNT = FEATURES[11:22] + ("page_chars", "page_links")
 PAGE_RUNS = FEATURES.index("page_runs")
+_AT = {name: k for k, name in enumerate(FEATURES)}
+_FUNCTION = frozenset(w for words in FUNCTION_WORDS.values() for w in words.split())
+_HOST = re.compile(r"(?:https?://)?(?:www\.)?([^/\s\"'>]+)")
+_ANCHOR = re.compile(r"<a\s[^>]*>([^<]*)</a>")
 
 
 def blocks(text: str) -> list[str]:
@@ -130,19 +148,21 @@ def page_features(pages: list[list[str]]) -> list[list[float]]:
     out: list[list[float]] = []
     for page in pages:
         words: set[str] = set()
-        total, rows, parts = 0.0, [], []
+        total, linked, rows, parts = 0.0, 0.0, [], []
         for block in page:
             features, different, segments = block_features(block)
             words.update(different)
-            total += features[-1]
+            total += features[_AT["words"]]
+            linked += features[0] * len(block)
             rows.append(features)
             parts.append(segments)
-        least = max(LEAST_RUNS, sum(map(len, page)) / RUN_PERIOD)
+        chars = sum(map(len, page))
+        least = max(LEAST_RUNS, chars / RUN_PERIOD)
         variety = len(words) / max(1.0, total) ** VARIETY_POWER
         recurring = {s: len(s) for s, c in Counter(s for part in parts for s in part).items() if c >= least}
         for features, segments in zip(rows, parts, strict=True):
             again = sum(recurring.get(s, 0) for s in segments) if recurring else 0
-            features += [0.0, again / sum(map(len, segments)) if again else 0.0, variety]
+            features += [0.0, again / sum(map(len, segments)) if again else 0.0, variety, math.log(max(1, chars)), linked / max(1, chars)]
         out += rows
     for features, share in zip(out, run_shares(pages), strict=True):
         features[PAGE_RUNS] = share
@@ -152,77 +172,78 @@ def page_features(pages: list[list[str]]) -> list[list[float]]:
 def block_features(block: str) -> tuple[list[float], Counter[str], list[str]]:
     """The features of a block by itself, its words and its segments."""
     n = len(block)
-    has_link = "http" in block or "www." in block or "<a" in block
-    links = sum(m.end() - m.start() for m in _LINK.finditer(block)) / n if has_link else 0.0
+    links = anchors = hosts = 0.0
+    if "http" in block or "www." in block or "<a" in block:
+        found = [m.group() for m in _LINK.finditer(block)]
+        links = sum(map(len, found)) / n
+        anchors = sum(map(len, _ANCHOR.findall(block))) / n
+        hosts = len({h for x in found if (h := _HOST.match(x.partition("href=")[2].strip("\"'") or x))}) / max(1, len(found))
     tags = sum(m.end() - m.start() for m in _TAG.finditer(block)) / n if "#" in block else 0.0
     raw = block.encode("utf-8", "surrogatepass")
-    words = _WORD.findall(block.lower())
+    low = block.lower()
+    words = _WORD.findall(low)
     m = max(1, len(words))
     counts = Counter(words)
     segments = [s for s in map(str.strip, _SEGMENT.split(block)) if s]
     often = Counter(segments)
-    seen = sum(len(s) for s in segments) or 1
+    seen = sum(map(len, segments)) or 1
     sentences = [s for s in _SENTENCE.split(block) if s and not s.isspace()]
+    digits = sum(map(str.isdigit, block)) / n
     features = [
-        float(np.log(n)),
         links,
         tags,
         len(zlib.compress(raw, 1)) / len(raw),
         sum(sorted(counts.values(), reverse=True)[:5]) / m if m >= 12 else 0.0,
-        len(counts) / m,
-        sum(len(s) * c for s, c in often.items() if c > 1) / seen,
+        sum(len(s) * c for s, c in often.items() if c > 1) / seen if len(often) < len(segments) else 0.0,
         m / max(1, len(segments)),
         m / max(1, len(sentences)),
-        sum(map(str.isdigit, block)) / n if any(map(str.isdigit, block)) else 0.0,
-        len(_PRICE.findall(block)) / m,
-        len(_YEAR.findall(block)) / m,
+        len(_PRICE.findall(block)) / m if digits else 0.0,
+        len(_YEAR.findall(block)) / m if digits else 0.0,
         float(block.rstrip()[-1] in ".!?。！？।؟…»”)\"'"),
         float(len(words)),
+        math.log(n),
+        len(counts) / m,
+        digits,
+        len(counts.keys() & _FUNCTION) / max(1, len(counts)),
+        len(set(zip(low, low[1:]))) / n,
+        sum(map(str.isupper, block)) / n,
+        n / m,
+        sum(map(block.count, ",;|·#/–")) / n,
+        block.count("\n") / n,
+        anchors,
+        hosts,
     ]
     return features, counts, segments
 
 
-def recurs(f: list[float], block: str) -> bool:
-    """Whether a block surely consists of what its page says again and again, whatever the block is like by itself."""
-    runs, segments, variety = f[PAGE_RUNS:]
-    v = dict(zip(FEATURES, f, strict=True)) if runs > 0.6 or segments > 0.7 or variety < 0.9 else None
-    return v is not None and v["words"] > 2 and len(block) > 60 and (
-        runs > 0.6 or segments > 0.7 and v["segment_words"] < 8 or v["words"] > 20 and variety < 0.9 and v["sentence_words"] > 20 and not v["ends"]
-    )
-
-
 def weak_label(f: list[float], block: str) -> int | None:
-    """1 spam, 0 ham, None where no rule is sure."""
-    v = dict(zip(FEATURES, f, strict=True))
-    n, words = len(block), v["words"]
+    """1 spam, 0 ham, None where no rule is sure: most kinds of spam are for the trees to tell from what they have seen."""
+    n = len(block)
     if n < 60:
         return None
+    v = dict(zip(FEATURES, f, strict=True))
+    words = v["words"]
     spam = (
-        v["links"] > 0.45
-        or v["tags"] > 0.5
-        or n > 120 and v["repeated_segments"] > 0.7 and v["segment_words"] < 8
-        or words > 20 and v["distinct_words"] < 0.4 and v["top_words"] > 0.5
-        or n > 180 and v["packed"] < 0.33
-        or n > 150 and v["prices"] > 0.08 and v["years"] < 0.05 and not v["ends"]
-        or words > 20 and v["top_words"] > 0.55 and v["sentence_words"] < 6
-        or recurs(f, block)
+        v["links"] > 0.6
+        or v["tags"] > 0.6
+        or n > 180 and v["packed"] < 0.28
+        or n > 150 and v["prices"] > 0.12 and v["years"] < 0.03 and not v["ends"]
+        or words > 2 and v["page_runs"] > 0.7
+        or words > 25 and v["top_words"] > 0.75
     )
     if spam:
         return 1
-    ham = (
-        v["links"] < (0.45 if v["years"] > 0.03 else 0.25)
-        and v["tags"] < 0.1
-        and v["packed"] > 0.42
-        and v["repeated_segments"] < 0.3
-        and v["page_runs"] < 0.45
-        and v["page_segments"] < 0.4
-        and (v["distinct_words"] > 0.45 or words < 12)
-        and v["prices"] < 0.05
-        and (v["sentence_words"] > 6 or v["years"] > 0.03 or v["ends"] and words < 12)
+    plain = v["links"] < (0.4 if v["years"] > 0.03 else 0.1) and v["tags"] < 0.05 and v["prices"] < 0.03
+    ham = plain and (
+        words < 3
+        or v["packed"] > 0.45
+        and v["repeated_segments"] < 0.2
+        and v["page_runs"] < 0.2
+        and v["page_segments"] < 0.2
+        and v["page_variety"] > 1.0
+        and (v["sentence_words"] > 7 and v["ends"] or v["years"] > 0.03 or v["page_runs"] < 0.1)
     )
-    if ham:
-        return 0
-    return None
+    return 0 if ham else None
 
 
 def train(texts: list[str]) -> BaggedTrees | None:
@@ -235,11 +256,11 @@ def train(texts: list[str]) -> BaggedTrees | None:
             labels.append(label)
     if len(set(labels)) < 2:
         return None
-    return BaggedTrees().fit(np.array(rows), np.array(labels))
+    return BaggedTrees(TREES, share=FEATURE_SHARE).fit(np.array(rows), np.array(labels))
 
 
 def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None]:
-    """Share of each text's characters in spam; None for texts that are no case."""
+    """Share of each text's characters in blocks of spam; None for texts that are no case."""
     pages, owner, sizes, wide = [], [], [], []
     for k, text in enumerate(texts):
         if text is None or len(text) < MIN_CHARS:
@@ -252,13 +273,11 @@ def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None
     rows = page_features(pages)
     out: list[float | None] = [None] * len(texts)
     if rows:
-        p = trees.predict(np.array(rows))
+        table = np.array(rows)
         weight = np.array(sizes, float)
         total = np.bincount(owner, weight, len(texts))
-        table = np.array(rows)
-        named = (table[:, FEATURES.index("words")] > 2) | (table[:, FEATURES.index("links")] > 0) | np.array(wide)
-        sure = np.array([recurs(f, block) for f, block in zip(rows, [b for page in pages for b in page], strict=True)])
-        spam = np.bincount(owner, weight * (((p > 0.5) | sure) & named), len(texts))
+        named = (table[:, _AT["words"]] > 2) | (table[:, _AT["links"]] > 0) | np.array(wide)
+        spam = np.bincount(owner, weight * ((trees.predict(table) > 0.5) & named), len(texts))
         for k in np.flatnonzero(total):
             out[k] = float(spam[k] / total[k])
     return out
@@ -269,7 +288,8 @@ def page_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     long = named.where(F.length("text") >= MIN_CHARS)
     # the labelled sample is bounded in pages and in characters a page; scoring reads every page whole
-    sample = bounded_sample(long.where(F.length("text") <= SAMPLE_CHARS), "doc_id", SAMPLE_PAGES, docs.count())
+    short = long.where(F.length("text") <= SAMPLE_CHARS)
+    sample = bounded_sample(short, "doc_id", SAMPLE_PAGES, short.count())
     trees = train([r["text"] for r in sample.select("text").collect()])
     if trees is None:
         return long.select("doc_id", "host", F.lit(0.0).alias("share"))
@@ -285,11 +305,23 @@ def page_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def find_spam(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, score) of the spam pages, after smoothing by the host."""
-    scores = cut(page_scores(docs, id_col, text_col, host_col).where("share IS NOT NULL"))
+    return smoothed(cut(page_scores(docs, id_col, text_col, host_col).where("share IS NOT NULL")))
+
+
+def smoothed(scores: DataFrame, max_broadcast: int = MAX_BROADCAST_HOSTS) -> DataFrame:
+    """(doc_id, score) of the pages of ``scores`` (doc_id, host, share) that are spam beside their host's rate."""
     whole = scores.agg(F.avg(F.col("share")).alias("rate")).first()["rate"]
     rate = min(max(whole or 0.0, 1e-4), 1 - 1e-4)
     hosts = scores.where("host IS NOT NULL").groupBy("host").agg(((F.sum("share") + HOST_PRIOR * rate) / (F.count(F.lit(1)) + HOST_PRIOR)).alias("host_rate"))
-    host_rate = F.coalesce("host_rate", F.lit(rate))
-    shift = F.log(host_rate / (1 - host_rate)) - F.lit(float(np.log(rate / (1 - rate))))
-    logit = STEEP * (F.col("share") - 0.5) + HOST_WEIGHT * F.greatest(F.lit(-2.0), F.least(F.lit(2.0), shift))
-    return scores.join(hosts, "host", "left").select("doc_id", (1 / (1 + F.exp(-logit))).alias("score")).where("score > 0.5")
+    hosts = cut(hosts)
+    known, unknown = scores.where("host IS NOT NULL"), scores.where("host IS NULL").withColumn("host_rate", F.lit(rate))
+    if hosts.count() <= max_broadcast:
+        rated = known.join(F.broadcast(hosts), "host")
+    else:
+        # a hot host is dealt out over several keys
+        rated = known.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(hosts.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt")), ["host", "salt"])
+    columns = ["doc_id", "share", "host_rate"]
+    rated = rated.select(*columns).unionAll(unknown.select(*columns))
+    shift = F.log(F.col("host_rate") / (1 - F.col("host_rate"))) - F.lit(float(np.log(rate / (1 - rate))))
+    logit = STEEP * (F.col("share") - 0.5) + HOST_WEIGHT * F.greatest(F.lit(-HOST_MOST), F.least(F.lit(HOST_MOST), shift))
+    return rated.select("doc_id", (1 / (1 + F.exp(-logit))).alias("score")).where("score > 0.5")

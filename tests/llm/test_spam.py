@@ -108,3 +108,35 @@ def test_bagged_trees_learn_a_rule():
     model = BaggedTrees(15, 6).fit(x[:1500], y[:1500])
     assert ((model.predict(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
     assert len(model.predict(np.empty((0, 4)))) == 0
+
+
+def test_trees_decide_what_the_rules_leave_open(trees):
+    held = [p for p in pages(12, 400) if len(p[0]) >= spam.MIN_CHARS]
+    cut_up = [spam.blocks(t) for t, _ in held]
+    labels = iter([spam.weak_label(f, b) for f, b in zip(spam.page_features(cut_up), [b for p in cut_up for b in p], strict=True)])
+    by_rules = []
+    for page in cut_up:
+        own = [(next(labels), len(b)) for b in page]
+        by_rules.append(2 * sum(n for label, n in own if label) > sum(n for _, n in own))
+    by_trees = [s > 0.5 for s in spam.spam_share([t for t, _ in held], trees)]
+    right = lambda found: sum(f == label for f, (_, label) in zip(found, held, strict=True))
+    assert by_rules != by_trees and right(by_trees) > right(by_rules)
+
+
+def test_a_host_moves_pages_in_doubt_and_no_others(spark):
+    rows = [(k, "bad", 0.98) for k in range(300)] + [(1000 + k, "good", 0.01) for k in range(3000)] + [(5000 + k, None, 0.02) for k in range(2000)]
+    doubt = [(1, "bad", 0.4), (2, "good", 0.6), (3, None, 0.6), (4, None, 0.4), (5, "bad", 0.1), (6, "good", 0.9), (7, "new", 0.45), (8, "new", 0.55)]
+    scores = spark.createDataFrame([(100_000 + k, h, s) for k, h, s in doubt] + rows, "doc_id bigint, host string, share double")
+    found = {r.doc_id - 100_000 for r in spam.smoothed(scores).collect() if r.doc_id >= 100_000}
+    assert {1, 3, 6, 8} <= found and not found & {4, 5, 7} and 2 not in found
+    # whatever way the rates come to the pages
+    assert sorted(spam.smoothed(scores, max_broadcast=0).collect()) == sorted(spam.smoothed(scores).collect())
+    assert spam.smoothed(scores.limit(0)).count() == 0
+
+
+def test_features_that_no_rule_reads(trees):
+    import inspect
+
+    assert not any(f'"{name}"' in inspect.getsource(spam.weak_label) for name in spam.LEARNT)
+    used = {f for tree in trees.trees for f in tree.feature if f >= 0}
+    assert used & {spam.FEATURES.index(name) for name in spam.LEARNT}
