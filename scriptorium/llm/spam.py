@@ -188,27 +188,29 @@ def block_features(block: str) -> tuple[list[float], Counter[str], list[str]]:
     often = Counter(segments)
     seen = sum(map(len, segments)) or 1
     sentences = [s for s in _SENTENCE.split(block) if s and not s.isspace()]
-    digits = sum(map(str.isdigit, block)) / n
+    size = len(raw)
+    digits = size - len(raw.translate(None, b"0123456789"))
+    numbers = digits or not block.isascii()
     features = [
         links,
         tags,
-        len(zlib.compress(raw, 1)) / len(raw),
+        len(zlib.compress(raw, 1)) / size,
         sum(sorted(counts.values(), reverse=True)[:5]) / m if m >= 12 else 0.0,
         sum(len(s) * c for s, c in often.items() if c > 1) / seen if len(often) < len(segments) else 0.0,
         m / max(1, len(segments)),
         m / max(1, len(sentences)),
-        len(_PRICE.findall(block)) / m if digits else 0.0,
-        len(_YEAR.findall(block)) / m if digits else 0.0,
+        len(_PRICE.findall(block)) / m if numbers else 0.0,
+        len(_YEAR.findall(block)) / m if numbers else 0.0,
         float(block.rstrip()[-1] in ".!?。！？।؟…»”)\"'"),
         float(len(words)),
         math.log(n),
         len(counts) / m,
-        digits,
-        len(counts.keys() & _FUNCTION) / max(1, len(counts)),
-        len(set(zip(low, low[1:]))) / n,
-        sum(map(str.isupper, block)) / n,
+        digits / n,
+        len(_FUNCTION.intersection(counts)) / max(1, len(counts)),
+        len(set(zip(low[::2], low[1::2]))) / n,
+        (size - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))) / n,
         n / m,
-        sum(map(block.count, ",;|·#/–")) / n,
+        (size - len(raw.translate(None, b",;|#/"))) / n,
         block.count("\n") / n,
         anchors,
         hosts,
