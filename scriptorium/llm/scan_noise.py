@@ -1,8 +1,8 @@
 """Noise of scanned pages and typed-off entries (problem 4).
 
-A hidden Markov model labels the lines of a page as header, page number, heading, body or break (the first line of a
-paragraph) from layout features; its tables start from fixed values and are re-estimated by Viterbi training on a
-bounded sample of pages. Words broken at line ends and wrongly recognised letters are judged against the word counts
+A hidden Markov model labels the lines of a page, and another one those of a typed-off entry, as header, page number,
+heading, body or break (the first line of a paragraph) from layout features. All their tables start from fixed values
+and are re-estimated by Viterbi training on bounded samples, and the decoded states stand as they are. Words broken at line ends and wrongly recognised letters are judged against the word counts
 of the whole corpus: a word is misread if undoing one usual confusion gives a word that is far more frequent.
 
 The words that are broadcast have a relative frequency of at least MIN_SHARE, so there are at most 1 / MIN_SHARE of
@@ -11,12 +11,12 @@ them whatever the corpus. Null pages and null entries count as empty text; blank
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +33,8 @@ USUAL_TIMES, MUCH_RARER = 10, 300
 USUAL_COUNT = 15
 #: Pages in the training sample and the longest page in it: bounds on what reaches the driver.
 SAMPLE_RECORDS, SAMPLE_CHARS = 1_500, 20_000
+#: Entries of more than one line in the training sample.
+SAMPLE_ENTRIES = 5_000
 #: Weight of the fixed tables in training, in lines.
 PRIOR = 400.0
 TRAINING_ROUNDS = 2
@@ -229,6 +231,22 @@ class Page:
         self.numbers = {k: n for k in edge if is_page_number(self.lines[k]) and (n := _value(self.lines[k])) is not None}
 
 
+_NUMBER_LETTERS = "0123456789lIOoivxcdmVXLCDM|•·–—-"
+
+
+def _may_hold_number(line: str) -> bool:
+    """Whether a number can stand at an edge of a line, by its outer characters and words; most lines are ruled out."""
+    if line[0].isdigit() or line[-1].isdigit() or "|" in line or "•" in line or "·" in line:
+        return True
+    words = line.split()
+    return not (words[0].strip(_NUMBER_LETTERS) and words[-1].strip(_NUMBER_LETTERS))
+
+
+def _in_capitals(line: str) -> bool:
+    letters = [c for c in line if c.isalpha()]
+    return len(letters) > 3 and sum(map(str.isupper, letters)) > 0.85 * len(letters)
+
+
 def _title_case(bare: str) -> int:
     """2 for a title in sentence case, 3 for other short lines that look like a heading."""
     words = [w for w in bare.split() if w[0].isalpha()]
@@ -245,6 +263,7 @@ def features(pages: list[Page]) -> list[list[tuple[int, ...]]]:
     counted = max(steps.values(), default=0) > 1
     scanned = int(counted or any(page.broken or any(_DECORATION.search(page.lines[k]) for k in page.numbers) or any(_STRONG_EDGE.search(page.lines[k]) or _CHAPTER.match(page.lines[k].strip()) for k in page.edge_signatures) for page in pages))
     out = []
+    listed = False
     for p, page in enumerate(pages):
         rows, lines, full = [], page.lines, page.full
         sizes = sorted(len(lines[k]) for k in full)
@@ -252,32 +271,38 @@ def features(pages: list[Page]) -> list[list[tuple[int, ...]]]:
         for j, k in enumerate(full):
             line = lines[k].strip()
             back = len(full) - 1 - j
-            zone = j if j < 3 else 4 if back == 0 else 5 if back == 1 else 3
+            zone = j if j < 3 else 4 if back == 0 else 5 if back == 1 else LISTED if listed else 3
             if back == 0 and j:
                 zone = 4
             following = lines[full[j + 1]].strip() if back else ""
             before = lines[full[j - 1]].rstrip() if j else ""
             blank = k > 0 and (not lines[k - 1] or lines[k - 1].isspace())
-            start = 2 if blank or j == 0 else 1 if lines[k][:1].isspace() or _TERMINAL.search(before) and len(before) < 0.75 * width else 0
-            if zone == 3 or len(line) > LONG_LINE:
-                rows.append((zone, 2, 0, 4, 0, start, 0, scanned))
+            start = 2 if blank or j == 0 else 1 if lines[k][:1].isspace() or len(before) < 0.75 * width and _TERMINAL.search(before) else 0
+            goes_on = int(following[:1].islower())
+            if len(line) > LONG_LINE or zone in INNER and len(line) > max(0.85 * width, 24):
+                rows.append((zone, 2, 0, 4, goes_on, start, 0, scanned))  # as wide as the text: no running line has this form
                 continue
-            letters = [c for c in line if c.isalpha()]
-            if is_page_number(line):
-                form = 0 if _DECORATION.search(line) else 3
+            if len(line) < 40 and _REFERENCES.fullmatch(line):
+                listed = True
+                rows.append((zone, 2, 0, LIST_TITLE, goes_on, start, int(blank), scanned))
+                continue
+            if len(line) < 40 and is_page_number(line):
                 near = int(any(is_page_number(x) or len(x) < 14 and (any(map(str.isdigit, x)) or not any(map(str.isalpha, x))) for x in (before.strip(), following) if x))
+                # set apart by decoration, or by standing between the lines of a list's entries
+                form = 0 if _DECORATION.search(line) or listed and j and back and not near else 3
                 row = (zone, form, 2 if steps[page.numbers.get(k, -(10**6)) - p] > 1 else 0, 4, 0, start, near, scanned)
             else:
-                strong = bool(_STRONG_EDGE.search(line)) and len(letters) > 3
-                weak = bool(_EDGE_NUMBER.search(line)) and len(letters) > 3
-                bare = line if _CHAPTER.match(line) else _EDGE_NUMBER.sub("", line, count=1).strip()
+                edge = _may_hold_number(line)
+                strong = edge and _STRONG_EDGE.search(line) is not None and sum(map(str.isalpha, line)) > 3
+                weak = edge and _EDGE_NUMBER.search(line) is not None and sum(map(str.isalpha, line)) > 3
+                chapter = edge and _CHAPTER.match(line) is not None
+                bare = line if chapter or not edge else _EDGE_NUMBER.sub("", line, count=1).strip()
                 if bare[:1] == "0":
                     bare = "O" + bare[1:]
                 leads = weak and bare[:1].isupper() and _LEADING.match(line) is not None
-                upper = len(letters) > 3 and sum(c.isupper() for c in letters) > 0.85 * len(letters)
-                if upper:
+                if (line[1:4].upper() == line[1:4] or line[-4:].upper() == line[-4:]) and _in_capitals(line):
                     case = 0
-                elif _NAME.match(bare) or _CHAPTER.match(bare) or _REFERENCES.fullmatch(bare) and weak:
+                elif "," in bare and _NAME.match(bare) or chapter or weak and _REFERENCES.fullmatch(bare):
                     case = 1
                 elif strong and bare[:1].isupper() and not _TERMINAL.search(bare):
                     case = _title_case(bare)
@@ -301,12 +326,37 @@ def features(pages: list[Page]) -> list[list[tuple[int, ...]]]:
     return out
 
 
+def entry_features(lines: list[str]) -> list[tuple[int, ...]]:
+    """The same features for the lines of a typed-off entry; blank lines have none."""
+    full = [line.strip() for line in lines if line and not line.isspace()]
+    out = []
+    for j, line in enumerate(full):
+        back = len(full) - 1 - j
+        following = full[j + 1] if back else ""
+        form, case = 2, 4
+        if len(line) <= LONG_LINE and j and back:
+            if is_page_number(line):
+                form = STOPPED if line.endswith(".") else 0 if _DECORATION.search(line) else 3
+            elif _REFERENCES.fullmatch(line):
+                case = LIST_TITLE
+            elif _EDGE_NUMBER.search(line) and (rest := _EDGE_NUMBER.sub("", line).strip(" |•·–—-")):
+                case = 1 if _REFERENCES.fullmatch(rest) else 0 if rest.isupper() else 3 if _STRONG_EDGE.search(line) and not _TERMINAL.search(line) else 4
+                form = 1 if case < 4 else 2
+        out.append((0 if not j else 3 if back else 4, form, 0, case, int(following[:1].islower()), 2 if not j else 0, 0, 1))
+    return out
+
+
+#: Zones of lines that stand neither at the head nor at the foot of a page, the latter in a list of references; the
+#: form of a number with a full stop; the case of a line that is the title of a list of references.
+LISTED, STOPPED, LIST_TITLE = 6, 4, 5
+INNER = (3, LISTED)
+
 #: Fixed starting values: probabilities of each feature's values by state (header, number, heading, body, break).
 START_TABLES = (
-    ((0.62, 0.06, 0.01, 1e-6, 0.26, 0.05), (0.22, 0.05, 0.01, 1e-6, 0.66, 0.06), (0.35, 0.25, 0.1, 0.2, 0.05, 0.05), (0.05, 0.06, 0.07, 0.68, 0.07, 0.07), (0.05, 0.1, 0.1, 0.65, 0.05, 0.05)),
-    ((1e-5, 0.55, 0.45, 1e-6), (0.62, 1e-4, 1e-4, 0.38), (1e-4, 0.01, 0.98, 1e-4), (2e-4, 1e-3, 0.99, 0.008), (2e-4, 1e-3, 0.99, 0.002)),
+    ((0.60, 0.06, 0.01, 1e-6, 0.26, 0.05, 0.02), (0.22, 0.05, 0.01, 1e-6, 0.61, 0.06, 0.05), (0.35, 0.25, 0.1, 0.18, 0.05, 0.05, 0.02), (0.05, 0.06, 0.07, 0.6, 0.07, 0.07, 0.08), (0.05, 0.1, 0.1, 0.57, 0.05, 0.05, 0.08)),
+    ((1e-5, 0.55, 0.45, 1e-6, 1e-6), (0.62, 1e-4, 1e-4, 0.38, 1e-6), (1e-4, 0.01, 0.98, 1e-4, 1e-5), (2e-4, 1e-3, 0.99, 0.008, 1e-4), (2e-4, 1e-3, 0.99, 0.002, 1e-4)),
     ((0.28, 0.32, 0.40), (0.45, 0.05, 0.50), (0.96, 0.035, 0.005), (0.988, 0.01, 0.002), (0.988, 0.01, 0.002)),
-    ((0.42, 0.26, 0.26, 0.056, 0.004), (1e-3, 1e-3, 1e-3, 1e-3, 0.996), (0.03, 0.005, 0.12, 0.835, 0.01), (1e-3, 2e-3, 0.04, 0.03, 0.927), (1e-3, 5e-3, 0.05, 0.04, 0.904)),
+    ((0.42, 0.26, 0.26, 0.056, 0.004, 1e-5), (1e-3, 1e-3, 1e-3, 1e-3, 0.996, 1e-6), (0.03, 0.005, 0.1, 0.755, 0.01, 0.1), (1e-3, 2e-3, 0.04, 0.03, 0.927, 1e-6), (1e-3, 5e-3, 0.05, 0.04, 0.904, 1e-6)),
     ((0.55, 0.45), (0.8, 0.2), (0.97, 0.03), (0.45, 0.55), (0.5, 0.5)),
     ((0.35, 0.05, 0.6), (0.5, 0.1, 0.4), (0.15, 0.1, 0.75), (0.93, 0.05, 0.02), (0.02, 0.48, 0.5)),
     ((0.68, 0.32), (0.97, 0.03), (0.4, 0.6), (0.9, 0.1), (0.85, 0.15)),
@@ -320,74 +370,140 @@ START_MOVES = (
     (0.02, 0.04, 0.02, 0.8, 0.12),
 )
 START_FIRST = (0.35, 0.05, 0.2, 0.25, 0.15)
+#: The same for the lines of an entry, which begins with a break and has no headings.
+ENTRY_TABLES = (
+    ((0.01, 0, 0, 0.98, 0.01, 0, 0), (0.01, 0, 0, 0.98, 0.01, 0, 0), (0.2, 0, 0, 0.6, 0.2, 0, 0), (0.02, 0, 0, 0.4, 0.58, 0, 0), (0.98, 0, 0, 0.01, 0.01, 0, 0)),
+    ((1e-5, 0.88, 0.12, 1e-6, 1e-6), (0.62, 1e-4, 1e-4, 0.38, 1e-5), (1e-4, 0.01, 0.98, 1e-4, 1e-5), (2e-4, 1e-3, 0.989, 2e-3, 8e-3), (2e-4, 1e-3, 0.99, 0.002, 1e-4)),
+    ((1, 0, 0),) * 5,
+    ((0.4, 0.3, 0, 0.1, 0.05, 0.15), (1e-3, 1e-3, 1e-3, 1e-3, 0.996, 1e-6), (0.1, 0.1, 0, 0.5, 0.2, 0.1), (2e-3, 1e-5, 0, 5e-3, 0.993, 1e-6), (1e-3, 1e-5, 0, 5e-3, 0.993, 1e-6)),
+    ((0.5, 0.5), (0.5, 0.5), (0.9, 0.1), (0.5, 0.5), (0.5, 0.5)),
+    ((0.98, 0, 0.02), (0.98, 0, 0.02), (0.5, 0, 0.5), (0.98, 0, 0.02), (0.02, 0, 0.98)),
+    ((1, 0),) * 5,
+    ((0, 1),) * 5,
+)
+ENTRY_MOVES = (
+    (0.01, 0.02, 0.001, 0.959, 0.01),
+    (0.02, 0.01, 0.001, 0.959, 0.01),
+    (0.01, 0.01, 0.001, 0.969, 0.01),
+    (0.04, 0.06, 0.001, 0.889, 0.01),
+    (0.04, 0.06, 0.001, 0.889, 0.01),
+)
+ENTRY_FIRST = (0.004, 0.004, 0.002, 0.01, 0.98)
+#: Least probability in a table.
+FLOOR = 1e-9
+#: Lines of pages that are decoded at once; a longer page is decoded alone.
+DECODED_LINES = 200_000
 
 
 class LineModel:
-    """A hidden Markov model over the lines of a page, with independent features in each state."""
+    """A hidden Markov model over lines, with independent features in each state."""
 
-    def __init__(self) -> None:
-        self.tables = [[list(row) for row in table] for table in START_TABLES]
-        self.moves = [list(row) for row in START_MOVES]
+    def __init__(self, tables: tuple = START_TABLES, moves: tuple = START_MOVES, first: tuple = START_FIRST) -> None:
+        self.start = [np.array(table, float) for table in tables]
+        self.start_moves, self.first = np.array(moves), np.array(first)
+        self.tables, self.moves = self.start, self.start_moves
         self._finish()
 
     def _finish(self) -> None:
-        self.log_tables = [[[math.log(max(p, 1e-9)) for p in row] for row in table] for table in self.tables]
-        self.log_moves = [[math.log(max(p, 1e-9)) for p in row] for row in self.moves]
-        self.log_first = [math.log(p) for p in START_FIRST]
-        self.seen: dict[tuple[int, ...], tuple[float, ...]] = {}
-
-    def emission(self, row: tuple[int, ...]) -> tuple[float, ...]:
-        found = self.seen.get(row)
-        if found is None:
-            found = self.seen[row] = tuple(sum(table[s][v] for table, v in zip(self.log_tables, row, strict=True)) for s in range(5))
-        return found
+        self.log_tables = [np.log(np.maximum(table, FLOOR)) for table in self.tables]
+        self.log_moves, self.log_first = np.log(np.maximum(self.moves, FLOOR)), np.log(np.maximum(self.first, FLOOR))
+        self.seen: dict[tuple[int, ...], int] = {}
+        self.scores: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}, "scores": []}
+
+    def _number(self, row: tuple[int, ...]) -> int:
+        """The place of a row of features among those met so far, whose scores are kept."""
+        at = self.seen.get(row)
+        if at is None:
+            at = self.seen[row] = len(self.scores)
+            self.scores.append(sum(table[:, v] for table, v in zip(self.log_tables, row, strict=True)))
+        return at
 
     def label(self, rows: list[tuple[int, ...]]) -> list[int]:
-        """The likeliest states of a page's lines."""
-        if not rows:
-            return []
-        score = [f + e for f, e in zip(self.log_first, self.emission(rows[0]), strict=True)]
-        back = []
-        for row in rows[1:]:
-            emission, source, following = self.emission(row), [], []
-            for s in range(5):
-                best, value = 0, -1e300
-                for r in range(5):
-                    v = score[r] + self.log_moves[r][s]
-                    if v > value:
-                        best, value = r, v
-                source.append(best)
-                following.append(value + emission[s])
-            back.append(source)
-            score = following
-        state = max(range(5), key=score.__getitem__)
-        path = [state]
-        for source in reversed(back):
-            state = source[state]
-            path.append(state)
-        return path[::-1]
-
-    def train(self, documents: list[list[str]], rounds: int = TRAINING_ROUNDS) -> LineModel:
-        """Viterbi training: label the sample, count, and mix with the fixed tables."""
-        sample = [rows for pages in documents for rows in features([Page(p) for p in pages]) if rows]
+        """The likeliest states of a sequence of lines."""
+        return self.label_all([rows])[0]
+
+    def label_all(self, sequences: list[list[tuple[int, ...]]]) -> list[list[int]]:
+        """The likeliest states of every sequence; sequences of about one length are decoded side by side."""
+        out: list[list[int]] = [[] for _ in sequences]
+        order = sorted((k for k, rows in enumerate(sequences) if rows), key=lambda k: len(sequences[k]))
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and len(sequences[order[stop]]) * (stop - at + 1) <= DECODED_LINES and len(sequences[order[stop]]) <= 2 * len(sequences[order[at]]) + 8:
+                stop += 1
+            self._decode([sequences[k] for k in order[at:stop]], order[at:stop], out)
+            at = stop
+        return out
+
+    def _decode(self, sequences: list[list[tuple[int, ...]]], places: list[int], out: list[list[int]]) -> None:
+        sizes = np.array([len(rows) for rows in sequences])
+        n = int(sizes.max())
+        numbers = np.zeros((len(sequences), n), np.int32)
+        for k, rows in enumerate(sequences):
+            numbers[k, : len(rows)] = [self._number(row) for row in rows]
+        emission = np.array(self.scores)[numbers]
+        score = self.log_first + emission[:, 0]
+        back = np.zeros((len(sequences), n, len(STATES)), np.int8)
+        last = np.where((sizes == 1)[:, None], score, 0.0)
+        for t in range(1, n):
+            reached = score[:, :, None] + self.log_moves
+            back[:, t] = reached.argmax(1)
+            score = reached.max(1) + emission[:, t]
+            ends = sizes == t + 1
+            last[ends] = score[ends]
+        state = last.argmax(1)
+        path = np.zeros((len(sequences), n), np.int8)
+        every = np.arange(len(sequences))
+        for t in range(n - 1, -1, -1):
+            inside = sizes > t
+            path[inside, t] = state[inside]
+            state = np.where(inside & (t > 0), back[every, t, state], state)
+        for k, place in enumerate(places):
+            out[place] = path[k, : sizes[k]].tolist()
+
+    def train(self, sample: list[list[tuple[int, ...]]], rounds: int = TRAINING_ROUNDS) -> LineModel:
+        """Viterbi training: label the sample, count in every table, and mix with the fixed values."""
+        sample = [rows for rows in sample if rows]
+        flat = np.array([row for rows in sample for row in rows], int).reshape(-1, len(self.start))
+        inner = np.cumsum([len(rows) for rows in sample])[:-1]
         for _ in range(rounds):
-            emitted = [[[PRIOR * p for p in row] for row in table] for table in START_TABLES]
-            moved = [[PRIOR * p for p in row] for row in START_MOVES]
-            for rows in sample:
-                path = self.label(rows)
-                for s, row in zip(path, rows, strict=True):
-                    for table, v in zip(emitted, row, strict=True):
-                        table[s][v] += 1
-                for a, b in zip(path, path[1:]):
-                    moved[a][b] += 1
-            # the zone of a line and what a number looks like stay as given: the text cannot teach them better
-            learned = [[[n / sum(row) for n in row] for row in table] for table in emitted]
-            self.tables = [learned[k] if k in (4, 5) else self.tables[k] for k in range(len(learned))]
-            self.moves = [[n / sum(row) for n in row] for row in moved]
+            states = np.array([s for path in self.label_all(sample) for s in path], int)
+            self.tables = []
+            for k, start in enumerate(self.start):
+                counts = np.zeros_like(start)
+                np.add.at(counts, (states, flat[:, k]), 1.0)
+                self.tables.append((counts + PRIOR * start) / (counts.sum(1) + PRIOR * start.sum(1))[:, None])
+            moved = np.zeros_like(self.start_moves)
+            if len(states) > 1:
+                within = np.ones(len(states) - 1, bool)
+                within[inner - 1] = False
+                np.add.at(moved, (states[:-1][within], states[1:][within]), 1.0)
+            self.moves = (moved + PRIOR * self.start_moves) / (moved.sum(1) + PRIOR * self.start_moves.sum(1))[:, None]
+            begun = np.bincount(states[np.concatenate([[0], inner])] if len(states) else [], minlength=len(STATES))
+            self.first = (begun + PRIOR * np.array(self.first)) / (begun.sum() + PRIOR)
             self._finish()
         return self
 
 
+def entry_model() -> LineModel:
+    """The model of an entry's lines before any training."""
+    return LineModel(ENTRY_TABLES, ENTRY_MOVES, ENTRY_FIRST)
+
+
+def page_sequences(documents: list[list[str]]) -> list[list[tuple[int, ...]]]:
+    return [rows for pages in documents for rows in features([Page(p) for p in pages])]
+
+
+def parts(batch: pa.RecordBatch, size: int = 200) -> Iterator[tuple[list, list]]:
+    """The columns of a batch, some records at a time."""
+    for at in range(0, batch.num_rows, size):
+        piece = batch.slice(at, size)
+        yield piece.column(0).to_pylist(), piece.column(1).to_pylist()
+
+
 # ---- noise ------------------------------------------------------------------------------------------------------
 
 
@@ -477,57 +593,49 @@ def broken_words(lines: list[str], order: list[int], words: Lexicon) -> set[int]
     return out
 
 
-def entry_noise(text: str | None, words: Lexicon) -> list[tuple[int, str]]:
+def entry_states(texts: list[str | None], model: LineModel) -> list[dict[int, int]]:
+    """The states of the lines of every entry, blank ones left out."""
+    cut_up = [(text or "").split("\n") for text in texts]
+    # a line by itself can only be the entry
+    labelled = model.label_all([entry_features(lines) if len(lines) > 1 else [] for lines in cut_up])
+    return [dict(zip([k for k, line in enumerate(lines) if line and not line.isspace()], states or [BREAK], strict=True)) if text and not text.isspace() else {} for text, lines, states in zip(texts, cut_up, labelled, strict=True)]
+
+
+def entry_noise(text: str | None, words: Lexicon, model: LineModel | None = None, states: dict[int, int] | None = None) -> list[tuple[int, str]]:
     """(line_no, kind) of the noise in a typed-off entry."""
-    if not text or text.isspace():
+    if states is None:
+        states = entry_states([text], model or entry_model())[0]
+    if not states:
         return []
     lines = text.split("\n")
-    out, noise = [], set()
-    for k, line in enumerate(lines[1:-1], 1):
-        bare = line.strip()
-        if not bare:
-            continue
-        if is_page_number(bare) and not bare.endswith("."):
-            noise.add(k)
-            out.append((k + 1, "page_number"))
-        elif _EDGE_NUMBER.search(bare) and (rest := _EDGE_NUMBER.sub("", bare).strip(" |•·–—-")) and (_REFERENCES.fullmatch(rest) or rest.isupper() or _STRONG_EDGE.search(bare) and not _TERMINAL.search(bare)) or _REFERENCES.fullmatch(bare):
-            noise.add(k)
-            out.append((k + 1, "header"))
-    body = [k for k, line in enumerate(lines) if k not in noise and line.strip()]
+    out = [(k + 1, STATES[s]) for k, s in states.items() if s in (HEADER, NUMBER)]
+    body = [k for k, s in states.items() if s not in (HEADER, NUMBER)]
     out += [(k + 1, "hyphen") for k in broken_words(lines, body, words)]
     clean = "\n".join(lines[k] for k in body)
     out += [(body[k] + 1, "misread") for k in misread_lines(clean, words, False, title_spans(clean))]
     return out
 
 
+def all_page_states(records: list[list[str | None] | None], model: LineModel) -> list[list[tuple[Page, dict[int, int]]]]:
+    """Every record's pages with the states of their lines."""
+    read = [[Page(p or "") for p in pages or []] for pages in records]
+    rows = [features(pages) for pages in read]
+    labelled = iter(model.label_all([own for pages in rows for own in pages]))
+    return [[(page, dict(zip(page.full, next(labelled), strict=True))) for page in pages] for pages in read]
+
+
 def page_states(pages: list[str | None], model: LineModel) -> list[tuple[Page, dict[int, int]]]:
-    """Every page with the states of its lines; what surely is a running line or a list's own heading is put right."""
-    out = []
-    listed = False
-    read = [Page(p or "") for p in pages]
-    for page, rows in zip(read, features(read), strict=True):
-        states = dict(zip(page.full, model.label(rows), strict=True))
-        for j, k in enumerate(page.full):
-            line = page.lines[k].strip()
-            if len(line) > 40:
-                continue
-            if _REFERENCES.fullmatch(line):
-                states[k], listed = HEADING, True
-            elif states[k] not in (HEADER, NUMBER) and len(line) < 32:
-                if _REFERENCES.fullmatch(_EDGE_NUMBER.sub("", line).strip(" |•·–—-")):
-                    states[k] = HEADER
-                elif listed and 0 < j < len(page.full) - 1 and is_page_number(line):
-                    around = [sum(map(str.isalpha, page.lines[page.full[j + d]])) for d in (-1, 1)]
-                    if min(around) > 5 and max(around) > 11:
-                        states[k] = NUMBER
-        out.append((page, states))
-    return out
+    return all_page_states([pages], model)[0]
 
 
 def record_noise(pages: list[str | None] | None, words: Lexicon, model: LineModel) -> list[tuple[int, int, str]]:
     """(page_no, line_no, kind) of the noise of a record's pages."""
+    return noise_of(page_states(pages or [], model), words)
+
+
+def noise_of(read: list[tuple[Page, dict[int, int]]], words: Lexicon) -> list[tuple[int, int, str]]:
+    """(page_no, line_no, kind) of the noise of pages whose lines have their states."""
     out: list[tuple[int, int, str]] = []
-    read = page_states(pages or [], model)
     order: list[tuple[int, int]] = []
     active = False
     for p, (page, states) in enumerate(read):
@@ -578,8 +686,12 @@ def record_noise(pages: list[str | None] | None, words: Lexicon, model: LineMode
 
 def repaired_text(pages: list[str | None] | None, words: Lexicon, model: LineModel) -> str:
     """Paragraphs of continuous text: headers and numbers gone, broken words closed, misread words put right."""
+    return text_of(page_states(pages or [], model), words)
+
+
+def text_of(read: list[tuple[Page, dict[int, int]]], words: Lexicon) -> str:
     out: list[str] = []
-    for page, states in page_states(pages or [], model):
+    for page, states in read:
         for k, s in states.items():
             line = page.lines[k].strip()
             if s in (HEADER, NUMBER):
@@ -595,16 +707,20 @@ def repaired_text(pages: list[str | None] | None, words: Lexicon, model: LineMod
     return "\n\n".join(_WORD.sub(lambda m: words.repaired(m.group()) if m.group()[0].islower() or m.group()[0].isdigit() else m.group(), t) for t in out)
 
 
-def trained_model(records: DataFrame) -> LineModel:
+def trained_models(records: DataFrame, entries: DataFrame) -> tuple[LineModel, LineModel]:
+    """The models of the lines of pages and of entries, each trained on a bounded sample."""
     size = F.aggregate("pages", F.lit(0), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)))
-    sample = bounded_sample(records.where(F.col("pages").isNotNull() & (size > 0) & (size <= SAMPLE_CHARS)), "cache_id", SAMPLE_RECORDS, records.count())
-    return LineModel().train([[p or "" for p in r["pages"]] for r in sample.select("pages").collect()])
+    pages = records.where(F.col("pages").isNotNull() & (size > 0) & (size <= SAMPLE_CHARS))
+    documents = [[p or "" for p in r["pages"]] for r in bounded_sample(pages, "cache_id", SAMPLE_RECORDS, pages.count()).select("pages").collect()]
+    lined = entries.where(F.contains("raw_entry", F.lit("\n")) & (F.length("raw_entry") <= SAMPLE_CHARS))
+    texts = [r["raw_entry"] for r in bounded_sample(lined, "entry_id", SAMPLE_ENTRIES, lined.count()).select("raw_entry").collect()]
+    return LineModel().train(page_sequences(documents)), entry_model().train([entry_features(t.split("\n")) for t in texts])
 
 
 def find_noise(records: DataFrame, entries: DataFrame) -> DataFrame:
     """Distinct (source, record_id, page_no, line_no, kind)."""
     spark = records.sparkSession
-    shared = spark.sparkContext.broadcast((lexicon(records, entries), trained_model(records)))
+    shared = spark.sparkContext.broadcast((lexicon(records, entries), *trained_models(records, entries)))
     schema = "source string, record_id bigint, page_no int, line_no int, kind string"
     names = ["source", "record_id", "page_no", "line_no", "kind"]
     kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string())
@@ -614,26 +730,31 @@ def find_noise(records: DataFrame, entries: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
+        words, model, _ = shared.value
         for batch in batches:
-            yield rows_of([("page", key, p, k, kind) for key, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p, k, kind in set(record_noise(pages, words, model))])
+            for keys, pages in parts(batch):
+                yield rows_of([("page", key, p, k, kind) for key, read in zip(keys, all_page_states(pages, model), strict=True) for p, k, kind in set(noise_of(read, words))])
 
     def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _ = shared.value
+        words, _, model = shared.value
         for batch in batches:
-            yield rows_of([("entry", key, 0, k, kind) for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for k, kind in set(entry_noise(text, words))])
+            texts = batch.column(1).to_pylist()
+            yield rows_of([("entry", key, 0, k, kind) for key, text, states in zip(batch.column(0).to_pylist(), texts, entry_states(texts, model), strict=True) for k, kind in set(entry_noise(text, words, states=states))])
 
     pages = records.select(F.col("cache_id").cast("bigint"), "pages").mapInArrow(of_pages, schema)
     return pages.unionAll(entries.select(F.col("entry_id").cast("bigint"), "raw_entry").mapInArrow(of_entries, schema)).distinct()
 
 
-def repaired_entry(text: str | None, words: Lexicon) -> str:
+def repaired_entry(text: str | None, words: Lexicon, states: dict[int, int] | None = None) -> str:
     """A typed-off entry as continuous text: noise lines gone, broken words closed, misread words of its title put right."""
     if not text or text.isspace():
         return ""
+    if states is None:
+        states = entry_states([text], entry_model())[0]
     lines = text.split("\n")
-    noise = {k - 1 for k, kind in entry_noise(text, words) if kind in ("header", "page_number")}
-    kept = [line.strip() for k, line in enumerate(lines) if k not in noise and line.strip()]
+    kept = [lines[k].strip() for k, s in states.items() if s not in (HEADER, NUMBER)]
+    if not kept:
+        return ""
     out = kept[0]
     for line in kept[1:]:
         out = _continued(out, line, words)
@@ -675,21 +796,23 @@ def _put_right(text: str, words: Lexicon, start: int, end: int) -> str:
 
 def repair_texts(records: DataFrame, entries: DataFrame) -> DataFrame:
     """(source, record_id, text): every record of pages and every entry as continuous text."""
-    shared = records.sparkSession.sparkContext.broadcast((lexicon(records, entries), trained_model(records)))
+    shared = records.sparkSession.sparkContext.broadcast((lexicon(records, entries), *trained_models(records, entries)))
     schema = "source string, record_id bigint, text string"
 
     def rows_of(source: str, keys: pa.Array, texts: list[str]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([source] * len(texts), pa.string()), keys, pa.array(texts, pa.string())], names=["source", "record_id", "text"])
 
     def of_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = shared.value
+        words, model, _ = shared.value
         for batch in batches:
-            yield rows_of("page", batch.column(0), [repaired_text(pages, words, model) for pages in batch.column(1).to_pylist()])
+            for keys, pages in parts(batch):
+                yield rows_of("page", pa.array(keys, pa.int64()), [text_of(read, words) for read in all_page_states(pages, model)])
 
     def of_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, _ = shared.value
+        words, _, model = shared.value
         for batch in batches:
-            yield rows_of("entry", batch.column(0), [repaired_entry(text, words) for text in batch.column(1).to_pylist()])
+            texts = batch.column(1).to_pylist()
+            yield rows_of("entry", batch.column(0), [repaired_entry(text, words, states) for text, states in zip(texts, entry_states(texts, model), strict=True)])
 
     pages = records.select(F.col("cache_id").cast("bigint"), "pages").mapInArrow(of_pages, schema)
     return pages.unionAll(entries.select(F.col("entry_id").cast("bigint"), "raw_entry").mapInArrow(of_entries, schema))

@@ -111,3 +111,45 @@ def test_every_record_and_entry_has_a_text(spark):
     assert set(texts) == {("page", k) for k in [*range(30), 100]} | {("entry", k) for k in [*range(40), 100]}
     assert texts["entry", 7] == "Bell, A. (1990) The council of the village. Leeds: North Press." and texts["entry", 100] == ""
     assert "repair_texts" in catalog.p4_text.__code__.co_names
+
+
+def test_decoding_finds_the_likeliest_path():
+    import itertools
+
+    import numpy as np
+
+    model, r = N.LineModel(), random.Random(4)
+    rows = lambda n: [tuple(r.randrange(table.shape[1]) for table in model.start) for _ in range(n)]
+    sequences = [rows(n) for n in (1, 4, 3, 5, 1, 2, 4)] + [[]]
+
+    def score(seq, path):
+        emitted = sum(float(table[s, v]) for row, s in zip(seq, path, strict=True) for table, v in zip(model.log_tables, row, strict=True))
+        return float(model.log_first[path[0]]) + emitted + sum(float(model.log_moves[a, b]) for a, b in itertools.pairwise(path))
+
+    for seq, path in zip(sequences, model.label_all(sequences), strict=True):
+        if seq:
+            best = max(score(seq, q) for q in itertools.product(range(5), repeat=len(seq)))
+            assert np.isclose(score(seq, path), best)
+    assert model.label_all(sequences)[-1] == []
+    long = rows(30_000)
+    assert len(model.label(long)) == 30_000
+
+
+def test_every_table_is_learned():
+    import numpy as np
+
+    model = N.LineModel().train(N.page_sequences([scan(k, 4) for k in range(60)]))
+    assert all(abs(a - b).max() > 0.001 for a, b in zip(model.tables, model.start, strict=True))
+    assert np.allclose([table.sum(1) for table in model.tables], 1, atol=1e-4) and np.allclose(model.moves.sum(1), 1)
+    entries = N.entry_model().train([N.entry_features(e.split("\n")) for e in ["Bell, A. (1990) The\n– 12 –\nferry. Leeds.", "Cole, B. (1991) One\ntwo."] * 400])
+    assert entries.label(N.entry_features(["Bell, A. (1990) The", "References 7", "ferry."])) == [N.BREAK, N.HEADER, N.BODY]
+    assert N.LineModel().train([]).label([]) == []
+
+
+def test_inner_lines_have_features_of_their_own(words):
+    page = "\n".join(["The council of the village described the ferry without consent and"] * 6 + ["The Old Ferry", "", "the tenant because the council described the ferry without conse-"] + ["quence of the council and the widow and the tenant of the village"] * 6)
+    rows = N.features([N.Page(page)])[0]
+    assert len(set(rows[3:-2])) > 1
+    listed = "\n".join(["Bibliography"] + ["Bell, A. (1990) The council and the widow of the village", "221", "without consent. Leeds: North Press."] * 6)
+    found = N.record_noise([listed], words, N.LineModel())
+    assert {(p, k) for p, k, kind in found if kind == "page_number"} == {(1, k) for k in range(3, 20, 3)}
