@@ -353,7 +353,7 @@ INNER = (3, LISTED)
 
 #: Fixed starting values: probabilities of each feature's values by state (header, number, heading, body, break).
 START_TABLES = (
-    ((0.60, 0.06, 0.01, 1e-6, 0.26, 0.05, 0.02), (0.22, 0.05, 0.01, 1e-6, 0.61, 0.06, 0.05), (0.35, 0.25, 0.1, 0.18, 0.05, 0.05, 0.02), (0.05, 0.06, 0.07, 0.6, 0.07, 0.07, 0.08), (0.05, 0.1, 0.1, 0.57, 0.05, 0.05, 0.08)),
+    ((0.60, 0.06, 0.01, 1e-6, 0.26, 0.05, 0.02), (0.22, 0.05, 0.03, 1e-6, 0.57, 0.08, 0.05), (0.35, 0.25, 0.1, 0.18, 0.05, 0.05, 0.02), (0.05, 0.06, 0.07, 0.6, 0.07, 0.07, 0.08), (0.05, 0.1, 0.1, 0.57, 0.05, 0.05, 0.08)),
     ((1e-5, 0.55, 0.45, 1e-6, 1e-6), (0.62, 1e-4, 1e-4, 0.38, 1e-6), (1e-4, 0.01, 0.98, 1e-4, 1e-5), (2e-4, 1e-3, 0.99, 0.008, 1e-4), (2e-4, 1e-3, 0.99, 0.002, 1e-4)),
     ((0.28, 0.32, 0.40), (0.45, 0.05, 0.50), (0.96, 0.035, 0.005), (0.988, 0.01, 0.002), (0.988, 0.01, 0.002)),
     ((0.42, 0.26, 0.26, 0.056, 0.004, 1e-5), (1e-3, 1e-3, 1e-3, 1e-3, 0.996, 1e-6), (0.03, 0.005, 0.1, 0.755, 0.01, 0.1), (1e-3, 2e-3, 0.04, 0.03, 0.927, 1e-6), (1e-3, 5e-3, 0.05, 0.04, 0.904, 1e-6)),
