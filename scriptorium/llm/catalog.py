@@ -72,6 +72,10 @@ def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
     return langid.paragraph_languages(_pages(spark, folder), table(spark, folder, "language_labels"))
 
 
+def p6_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(_pages(spark, folder), table(spark, folder, "language_labels"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     found = langid.mislabelled(_pages(spark, folder), table(spark, folder, "language_labels"))
     return found.select("cache_id", "page_no", "para_no", "lang")
@@ -106,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p6_languages": p6_languages,
+    "p6_documents": p6_documents,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_clean": p8_clean,

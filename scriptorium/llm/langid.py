@@ -3,7 +3,7 @@
 Sentence-like chunks get a likelihood under a character trigram model of each language. For every document,
 expectation-maximisation over its chunks estimates the proportions of the languages; a language stays in the
 document's set only if it raises the penalised likelihood. A paragraph has the language of most of its chunks, with
-their mean posterior probability as confidence.
+their mean posterior probability as confidence; a document has its set of languages with their proportions.
 
 The models start from function words and learn from a bounded sample of labelled records, whose wrong labels are
 replaced by the models' own in further rounds. Null pages count as empty text. A label that names no known language
@@ -13,7 +13,7 @@ is no label. Several labels of one record: the least code counts. Empty tables g
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,9 @@ ROUNDS = 2
 EM_STEPS = 5
 #: Trigrams overlap, so their log-likelihood counts for this share.
 TEMPER = 0.35
-#: A language joins a document's set if it adds at least this log-likelihood.
-PENALTY = 6.0
+#: A language stays in a document's set if it adds at least this log-likelihood, and half the logarithm of the number
+#: of chunks: the more there are, the more of them look foreign by chance.
+PENALTY = 4.0
 #: A paragraph whose mean log-likelihood lies this far below its language's usual one has no language.
 FOREIGN = 1.35
 
@@ -145,15 +146,16 @@ class TrigramModels:
 
 
 def infer(scores: np.ndarray, steps: int = EM_STEPS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of each chunk's language and the document's proportions, over the selected set of languages."""
+    """Posterior of each chunk's language and the document's proportions, over the selected set of languages.
+
+    Languages leave the set one by one, the one whose loss costs the least likelihood first, as long as that is less
+    than the penalty; what is left of the set is estimated anew each time.
+    """
     base = scores - scores.max(1, keepdims=True)
     seen = np.unique(base.argmax(1))
     likely = np.exp(base[:, seen])
-    share = np.full(len(seen), 1 / len(seen))
-    for _ in range(steps if len(seen) > 1 else 1):
-        joint = likely * share
-        r = joint / joint.sum(1, keepdims=True)
-        share = r.mean(0)
+    share = _proportions(likely, np.full(len(seen), 1 / len(seen)), steps)
+    least = penalty + 0.5 * np.log(len(scores))
     while len(seen) > 1:
         whole = np.log((likely * share).sum(1)).sum()
         loss = []
@@ -161,10 +163,10 @@ def infer(scores: np.ndarray, steps: int = EM_STEPS, penalty: float = PENALTY) -
             rest = np.delete(share, k)
             loss.append(whole - np.log((np.delete(likely, k, 1) * (rest / max(rest.sum(), 1e-12))).sum(1) + 1e-300).sum())
         k = int(np.argmin(loss))
-        if loss[k] >= penalty:
+        if loss[k] >= least:
             break
         seen, likely, share = np.delete(seen, k), np.delete(likely, k, 1), np.delete(share, k)
-        share = share / max(share.sum(), 1e-12)
+        share = _proportions(likely, share / max(share.sum(), 1e-12), steps)
     joint = likely * share + 1e-300
     posterior = np.zeros_like(scores)
     posterior[:, seen] = joint / joint.sum(1, keepdims=True)
@@ -173,30 +175,62 @@ def infer(scores: np.ndarray, steps: int = EM_STEPS, penalty: float = PENALTY) -
     return posterior, proportions
 
 
+def _proportions(likely: np.ndarray, share: np.ndarray, steps: int) -> np.ndarray:
+    """The proportions of the languages after some rounds of expectation-maximisation."""
+    for _ in range(steps if len(share) > 1 else 0):
+        joint = likely * share + 1e-300
+        share = (joint / joint.sum(1, keepdims=True)).mean(0)
+    return share
+
+
+class Reading:
+    """A document's long paragraphs in chunks, the posterior of each chunk's language, and the proportions."""
+
+    def __init__(self, pages: list[str | None] | None, models: TrigramModels) -> None:
+        self.places: list[tuple[int, int]] = []
+        self.own: list[range] = []
+        texts: list[str] = []
+        for p, page in enumerate(pages or [], 1):
+            for q, paragraph in enumerate(paragraphs(page or ""), 1):
+                if letters(paragraph) >= MIN_LETTERS:
+                    parts = chunks(paragraph)
+                    self.own.append(range(len(texts), len(texts) + len(parts)))
+                    texts += parts
+                    self.places.append((p, q))
+        self.models, self.n = models, len(texts)
+        if texts:
+            self.scores, self.sizes = models.score(texts)
+            self.posterior, self.proportions = infer(self.scores * TEMPER)
+
+    def fits(self, rows: list[int], k: int) -> bool:
+        """Whether chunks read as their language usually does, or as none of those known."""
+        usual = self.models.usual[k]
+        return not np.isfinite(usual) or self.scores[rows, k].sum() / max(1, self.sizes[rows].sum()) >= usual - FOREIGN
+
+    def paragraphs(self) -> Iterator[tuple[int, int, str, float]]:
+        """(page_no, para_no, lang, confidence) of each paragraph that reads as a language."""
+        for (p, q), chunk in zip(self.places, self.own, strict=True):
+            rows = list(chunk)
+            votes = self.posterior[rows].sum(0)
+            k = int(votes.argmax())
+            if self.fits([i for i in rows if self.posterior[i, k] > 0.5] or rows, k):
+                yield p, q, LANGUAGES[k], float(votes[k] / len(rows))
+
+    def languages(self) -> Iterator[tuple[str, float, float]]:
+        """(lang, share, confidence) of the document's set of languages; the share is that of its trigrams."""
+        if not self.n:
+            return
+        best = self.posterior.argmax(1)
+        weight = self.posterior * self.sizes[:, None]
+        for k in np.flatnonzero(self.proportions > 0):
+            mine = np.flatnonzero(best == k)
+            if len(mine) and self.fits(mine.tolist(), k):
+                yield LANGUAGES[k], float(weight[:, k].sum() / max(1, self.sizes.sum())), float(self.posterior[mine, k].mean())
+
+
 def read_document(pages: list[str | None] | None, models: TrigramModels) -> list[tuple[int, int, str, float]]:
     """(page_no, para_no, lang, confidence) of each paragraph that is long enough and reads as a language."""
-    places, own, texts = [], [], []
-    for p, page in enumerate(pages or [], 1):
-        for q, paragraph in enumerate(paragraphs(page or ""), 1):
-            if letters(paragraph) >= MIN_LETTERS:
-                parts = chunks(paragraph)
-                own.append(range(len(texts), len(texts) + len(parts)))
-                texts += parts
-                places.append((p, q))
-    if not texts:
-        return []
-    scores, sizes = models.score(texts)
-    posterior, _ = infer(scores * TEMPER)
-    out = []
-    for (p, q), chunk in zip(places, own, strict=True):
-        rows = list(chunk)
-        votes = posterior[rows].sum(0)
-        k = int(votes.argmax())
-        mine = [i for i in rows if posterior[i, k] > 0.5] or rows
-        fit = scores[mine, k].sum() / max(1, sizes[mine].sum())
-        if fit >= models.usual[k] - FOREIGN or not np.isfinite(models.usual[k]):
-            out.append((p, q, LANGUAGES[k], float(votes[k] / len(rows))))
-    return out
+    return list(Reading(pages, models).paragraphs())
 
 
 def coded_labels(labels: DataFrame) -> DataFrame:
@@ -204,29 +238,41 @@ def coded_labels(labels: DataFrame) -> DataFrame:
     return labels.where("cache_id IS NOT NULL").select(F.col("cache_id").cast("bigint").alias("cache_id"), label_code(F.col("lang").cast("string")).alias("label")).groupBy("cache_id").agg(F.min("label").alias("label"))
 
 
-def train(labelled: DataFrame, total: int) -> TrigramModels:
+def train(labelled: DataFrame) -> TrigramModels:
     size = F.aggregate("pages", F.lit(0), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)))
-    sample = bounded_sample(labelled.where(F.col("label").isNotNull() & (size <= SAMPLE_CHARS)), "cache_id", SAMPLE_RECORDS, total)
-    rows = sample.select("label", "pages").collect()
+    known = labelled.where(F.col("label").isNotNull() & (size <= SAMPLE_CHARS))
+    rows = bounded_sample(known, "cache_id", SAMPLE_RECORDS, known.count()).select("label", "pages").collect()
     return TrigramModels().learn([(r["label"], [p for page in r["pages"] for p in paragraphs(page or "") if letters(p) >= MIN_LETTERS]) for r in rows])
 
 
-def paragraph_languages(records: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cache_id, label, page_no, para_no, lang, confidence) of the paragraphs of labelled records."""
+def _read(records: DataFrame, labels: DataFrame, take: Callable[[Reading], Iterator[tuple]], columns: dict[str, pa.DataType], kinds: str) -> DataFrame:
+    """Rows (cache_id, label, ...) of what is taken of the readings of the labelled records."""
     coded = coded_labels(labels)
     n = labels.count()
     few = n <= MAX_BROADCAST_LABELS
     labelled = records.select(F.col("cache_id").cast("bigint").alias("cache_id"), "pages").join(F.broadcast(coded) if few else coded, "cache_id").select("cache_id", "label", "pages")
-    shared = records.sparkSession.sparkContext.broadcast(train(labelled, n))
+    shared = records.sparkSession.sparkContext.broadcast(train(labelled))
+    fields = {"cache_id": pa.int64(), "label": pa.string()} | columns
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(key, label, *found) for key, label, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True) for found in read_document(pages, shared.value)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["cache_id", "label", "page_no", "para_no", "lang", "confidence"])
+            rows = [(key, label, *found) for key, label, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True) for found in take(Reading(pages, shared.value))]
+            values = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(values, fields.values(), strict=True)], names=list(fields))
+
+    return labelled.mapInArrow(read, f"cache_id bigint, label string, {kinds}")
+
+
+def paragraph_languages(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cache_id, label, page_no, para_no, lang, confidence) of the paragraphs of labelled records."""
+    columns = {"page_no": pa.int32(), "para_no": pa.int32(), "lang": pa.string(), "confidence": pa.float64()}
+    return _read(records, labels, Reading.paragraphs, columns, "page_no int, para_no int, lang string, confidence double")
+
 
-    return labelled.mapInArrow(read, "cache_id bigint, label string, page_no int, para_no int, lang string, confidence double")
+def document_languages(records: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cache_id, label, lang, share, confidence): the set of languages of every labelled record, with their proportions."""
+    columns = {"lang": pa.string(), "share": pa.float64(), "confidence": pa.float64()}
+    return _read(records, labels, Reading.languages, columns, "lang string, share double, confidence double")
 
 
 def mislabelled(records: DataFrame, labels: DataFrame) -> DataFrame:

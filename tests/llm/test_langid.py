@@ -70,3 +70,35 @@ def test_tables(spark):
     expected = {(k, 2, 2): "en" for k, lang in enumerate(SAMPLES) if lang != "en"} | {(103, 1, 1): "fr", (104, 1, 1): "es"}
     assert got == expected
     assert langid.mislabelled(r, d.limit(0)).count() == langid.mislabelled(r.limit(0), d).count() == 0
+
+
+def test_the_document_decides_what_a_chunk_leaves_open():
+    # one chunk looks a little more like another language: by itself it would go there, in its document it does not
+    scores = np.full((12, len(langid.LANGUAGES)), -40.0)
+    es, pt, de = (langid.LANGUAGES.index(k) for k in ("es", "pt", "de"))
+    scores[:, es], scores[:, pt] = -10.0, -22.0
+    scores[7, [es, pt]] = -10.0, -8.5
+    posterior, shares = langid.infer(scores)
+    assert scores[7].argmax() == pt and posterior[7].argmax() == es and shares[es] == 1 and shares[pt] == 0
+    # a language that several chunks surely have stays, with its share
+    scores[9:, de] = 5.0
+    posterior, shares = langid.infer(scores)
+    assert np.isclose(shares[de], 0.25, atol=0.01) and posterior[10].argmax() == de and shares[pt] == 0
+    # the same evidence for each chunk is weaker evidence for a language in a longer document
+    gain = lambda n: langid.infer(np.where(np.arange(n)[:, None] == 0, [[-9.0, 1.0]], [[-5.0, -60.0]]))[1][1]
+    assert gain(3) > 0 == gain(3000)
+
+
+def test_languages_of_a_document(spark):
+    german = "Der Rat der Stadt verkaufte das alte Haus an die Witwe, und sie wohnte dort mit den Kindern. Niemand wusste, warum der Brief nicht gekommen war."
+    english = "The council of the town sold the old house to the widow, and she lived in it with her children. Nobody knew why the letter had not come to them."
+    records = [(k, [f"{german}\n\n{german}"], "de") for k in range(20)] + [(100 + k, [f"{english}\n\n{english}"], "en") for k in range(20)]
+    records += [(200, [f"{german}\n\n{english}", english, None], "de"), (201, None, "de"), (202, [""], None), (203, ["1234 5678 " * 20], "en")]
+    r = spark.createDataFrame([x[:2] for x in records], "cache_id bigint, pages array<string>").selectExpr("*", "1 AS lang")
+    labels = spark.createDataFrame([(k, code) for k, _, code in records], "cache_id bigint, lang string")
+    got = {}
+    for x in langid.document_languages(r, labels).collect():
+        got.setdefault(x.cache_id, {})[x.lang] = x.share
+    assert set(got) == {*range(20), *range(100, 120), 200} and set(got[5]) == {"de"} and set(got[105]) == {"en"}
+    assert set(got[200]) == {"de", "en"} and 0.55 < got[200]["en"] < 0.8 and abs(sum(got[200].values()) - 1) < 1e-6
+    assert langid.document_languages(r.limit(0), labels).count() == langid.document_languages(r, labels.limit(0)).count() == 0
