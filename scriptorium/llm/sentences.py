@@ -1,11 +1,14 @@
 """Sentence boundaries in many languages and scripts (problem 3).
 
 Every candidate position is decided by ordered rules, each a pair of regular expressions for the text before and
-after it: the first rule that matches says break or no break. The tables cascade: a paragraph's language first, then
-the rules of its script, then the general ones. Paragraphs, separated by blank lines, always end a sentence.
-
-Quotation marks and brackets are paired beforehand: a terminal inside a pair that was opened in mid-sentence breaks
-nothing, and closing marks belong to the sentence they close. Null pages count as empty; blank pages have no rows.
+after it: the first rule that matches says break or no break. The tables cascade: quotations first, then the
+paragraph's language, then the script (of the mark itself, where it has one of its own, or of the language), then the
+general rules. Paragraphs, separated by blank lines, always end a sentence.
+
+Quotation marks and brackets are paired beforehand, and closing marks belong to the sentence they close. The text
+before a position inside a pair that was opened in mid-sentence begins with the character INSIDE, by which the rule
+for quotations knows it. In Thai the positions are those of white space as well. Null pages count as empty; blank
+pages have no rows.
 """
 
 from __future__ import annotations
@@ -72,6 +75,12 @@ def _rules(*rows: tuple[bool, str, str]) -> tuple[tuple[bool, re.Pattern, re.Pat
     return tuple((decision, re.compile(before), re.compile(after)) for decision, before, after in rows)
 
 
+#: Stands before the text of a position inside a quotation or bracket that was opened in mid-sentence.
+INSIDE = "\x02"
+
+#: The rule for quotations, tried first: what is quoted within a sentence, with its reporting clause, belongs to it.
+QUOTED = _rules((False, rf"^{INSIDE}", r""))
+
 #: Rules for all languages, tried last.
 GENERAL = _rules(
     (False, r"\d[.,]$", r"\d"),
@@ -85,20 +94,42 @@ GENERAL = _rules(
     (False, r"[,;:]$", r""),
     (False, r"", rf"\s*[{LOWER}]"),
     (False, r"", r"\s*[,;:)\]）」』،؛，、]"),
-    (True, r"[。！？।؟]\S*$", r""),
     (True, r"", r"\s"),
     (True, r"", r"$"),
     (True, rf"[{LOWER}\d)\]\"'»”«“’؀-ۿऀ-ॿ][.!?…;]+\S*$", rf"[{OPENING}]*[{UPPER}؀-ۿऀ-ॿ一-鿿ぁ-ヿ฀-๿]"),
     (False, r"", r""),
 )
 
-_CJK = (
-    (False, r"…+$", r"[^\s”“」』。！？]"),
-    (False, r"[。！？][”“\"」』]$", r"\s*(?:[^。！？“”「」]\s*){1,14}?(?:写\s*道|说\s*道|问\s*道|答\s*道|喊\s*道|说|问|答|道)[。！，]"),
-    (False, r"[」』”]$", r"\s*(?:と|って|という)"),
-)
+#: What may not follow the end of a sentence.
+_FOLLOWS = (False, r"", r"\s*[,;:)\]）」』”،؛，、]")
+
+
+def _ending(marks: str) -> tuple[tuple[bool, str, str], ...]:
+    """The rules of a script whose marks end a sentence without white space."""
+    return (_FOLLOWS, (True, rf"[{marks}][.!?…\"'»”“’」』）)\]]*$", r""))
+
+
+#: Marks that belong to one script; each ends a sentence in it.
+SCRIPT_MARKS = {
+    "Hani": "。！？｡．‼⁇⁈⁉", "Deva": "।॥", "Arab": "؟۔", "Ethi": "።፧፨", "Mymr": "။", "Khmr": "។៕", "Tibt": "།༎", "Armn": "։", "Mong": "᠃", "Olck": "᱾᱿", "Cans": "᙮", "Java": "꧉",
+}
 
-#: Rules of one language, tried first.
+#: Rules of one script, tried after those of the language.
+BY_SCRIPT = {script: _rules(*_ending(marks)) for script, marks in SCRIPT_MARKS.items()} | {
+    "Hani": _rules(
+        (False, r"…+$", r"[^\s”“」』。！？]"),
+        (False, r"[。！？][”“\"」』]$", r"\s*(?:[^。！？“”「」]\s*){1,14}?(?:写\s*道|说\s*道|问\s*道|答\s*道|喊\s*道|说|问|答|道)[。！，]"),
+        (False, r"[」』”]$", r"\s*(?:と|って|という)"),
+        *_ending(SCRIPT_MARKS["Hani"]),
+    ),
+    # white space ends a sentence unless a digit or a comma stands next to it
+    "Thai": _rules((False, r"[,،、]$", r"\s"), (False, r"\d$", r"\s"), (False, r"[^.!?…]$", r"\s+\d"), (True, r"[฀-๿\"'”»)ฯๆ]$", r"\s+\S"), (True, r"[^.!?…]$", r"\s+[฀-๿]")),
+}
+#: The script that a language's own rules are followed by.
+SCRIPT_OF = {"ar": "Arab", "hi": "Deva", "ja": "Hani", "th": "Thai", "zh": "Hani"}
+_SCRIPT_OF_MARK = {mark: script for script, marks in SCRIPT_MARKS.items() for mark in marks}
+
+#: Rules of one language, tried before those of its script.
 BY_LANGUAGE = {
     "ar": _rules((False, r"(?:^|[\s(])[صجعدمت]\.$", r"")),
     "de": _rules(
@@ -118,18 +149,15 @@ BY_LANGUAGE = {
     "fr": _rules((False, _abbreviations(NEVER["fr"]), r"")),
     "hi": _rules((False, r"(?:^|[\s(])(?:डॉ|पृ|सं|श्री|कु)\.$", r"")),
     "it": _rules((False, _abbreviations(NEVER["it"]), r""), (False, r"\bad es\.$", r""), (True, _abbreviations(LAST["it"]), rf"\s*[{OPENING}]*[{UPPER}]")),
-    "ja": _rules(*_CJK),
     "nl": _rules((False, _abbreviations(NEVER["nl"]), r""), (True, _abbreviations(LAST["nl"]), rf"\s*[{OPENING}]*[{UPPER}]")),
     "pt": _rules((False, _abbreviations(NEVER["pt"]), r"")),
     "ru": _rules((False, _abbreviations(NEVER["ru"]), r"(?!$)"), (True, _abbreviations(LAST["ru"]), rf"\s*[{OPENING}]*[{UPPER}]")),
     "uk": _rules((False, _abbreviations(NEVER["uk"]), r"(?!$)"), (True, _abbreviations(LAST["uk"]), rf"\s*[{OPENING}]*[{UPPER}]")),
-    "th": (),
-    "zh": _rules(*_CJK),
 }
 
 _PARAGRAPH_END = re.compile(r"\n(?:[^\S\n]*\n)+")
 _MARK = re.compile(r"[«»„“”\"‘()\[\]（）「」『』]|(?<![^\W_])'|'(?![^\W_])")
-_TERMINAL = re.compile(r"[.!?…。！？।؟]+")
+_TERMINAL = re.compile(rf"[.!?…{''.join(SCRIPT_MARKS.values())}]+")
 _GREEK_TERMINAL = re.compile(r"[.!?…;;]+")
 _CLOSES = {")": "(", "]": "[", "）": "（", "」": "「", "』": "『", "”": "“„", "“": "„"}
 _THAI = re.compile(r"[฀-๿]")
@@ -183,16 +211,15 @@ def pair_marks(text: str) -> dict[int, int]:
 def paragraph_ends(text: str) -> list[int]:
     """Ends, exclusive, of the sentences of one paragraph, which is stripped of white space."""
     lang = rule_language(text)
-    rules = BY_LANGUAGE[lang] + GENERAL
+    rules = {script: QUOTED + BY_LANGUAGE.get(lang, ()) + BY_SCRIPT.get(script, ()) + GENERAL for script in {SCRIPT_OF.get(lang, ""), "Thai"}}
     pairs = pair_marks(text)
     spans = sorted((start, end) for end, start in pairs.items())
     candidates: list[tuple[int, int]] = [(m.start(), m.end()) for m in (_GREEK_TERMINAL if lang == "el" else _TERMINAL).finditer(text)]
     gaps = set()
     if _THAI.search(text):
         for m in _THAI_GAP.finditer(text):
-            if not text[m.start() - 1].isdigit() and not text[m.end()].isdigit():
-                candidates.append((m.start(), m.start()))
-                gaps.add(m.start())
+            candidates.append((m.start(), m.start()))
+            gaps.add(m.start())
         candidates.sort()
     ends: list[int] = []
     begin = 0
@@ -218,13 +245,12 @@ def paragraph_ends(text: str) -> list[int]:
             if b >= end and a > begin and text[begin:a].strip("\"'«»„“‘([（「『 \n\t"):
                 inside = True
                 break
-        if inside:
-            continue
-        if start in gaps:
-            decision = not _COMBINED.search(text[max(begin, start - 3) : start])
-        else:
-            before, after = text[max(0, end - BEFORE) : end], text[end : end + AFTER]
-            decision = next(d for d, x, y in rules if x.search(before) and y.match(after))
+        script = "Thai" if start in gaps else _SCRIPT_OF_MARK.get(text[start]) or SCRIPT_OF.get(lang, "")
+        own = rules.get(script)
+        if own is None:
+            own = rules[script] = QUOTED + BY_LANGUAGE.get(lang, ()) + BY_SCRIPT[script] + GENERAL
+        before, after = text[max(0, end - BEFORE) : end], text[end : end + AFTER]
+        decision = next(d for d, x, y in own if x.search(INSIDE + before if inside else before) and y.match(after))
         if decision:
             ends.append(end)
             begin = end
@@ -235,9 +261,6 @@ def paragraph_ends(text: str) -> list[int]:
     return ends
 
 
-_COMBINED = re.compile(r"[,،、]$")
-
-
 def sentence_ends(page: str) -> list[int]:
     """Positions, counted from 1, of the last character of each sentence of a page."""
     out: list[int] = []

@@ -58,3 +58,27 @@ def test_tables(spark):
     assert got == [(1, 1, 4), (1, 1, 9), (1, 4, 5), (4, 1, 5)]
     assert sentences.sentence_positions(df).count() == 8
     assert sentences.sentence_positions(df, sample.limit(0)).count() == sentences.sentence_positions(df.limit(0)).count() == 0
+
+
+def test_the_tables_cascade():
+    assert sentences.QUOTED and sentences.BY_SCRIPT["Thai"] and sentences.BY_SCRIPT["Hani"] and sentences.GENERAL
+    # the language's abbreviation decides before the general rules, the mark's script before them too
+    assert sentences.split_sentences("Der Rat kam z.B. Montag in die Stadt. Dann ging er nicht nach Haus.") == ["Der Rat kam z.B. Montag in die Stadt.", "Dann ging er nicht nach Haus."]
+    assert sentences.split_sentences("很久以后，约占4.4%。后来。") == ["很久以后，约占4.4%。", "后来。"]
+    assert sentences.split_sentences("They wrote 春天来了。Then they left.") == ["They wrote 春天来了。", "Then they left."]
+
+
+def test_marks_of_further_scripts():
+    for text in ("یہ ایک جملہ ہے۔ یہ دوسرا ہے۔", "ሰላም ነው።ይህ ሁለተኛ ነው።", "ဒါက စာကြောင်း။ ဒုတိယ စာကြောင်း။", "នេះជាប្រយោគ។ នេះជាទីពីរ។", "Սա նախադասություն է։ Սա երկրորդն է։", "これは文｡これも文｡", "यह वाक्य है॥ यह दूसरा है।", "བོད་ཡིག། གཉིས་པ།"):
+        assert len(sentences.split_sentences(text)) == 2, text
+
+
+def test_thai_white_space_by_rules():
+    assert len(sentences.split_sentences("แม่หม้ายขายโรงสี พ่อค้าซื้อข้าว")) == 2
+    assert len(sentences.split_sentences("ในปี 1820 พ่อค้าซื้อข้าว")) == 1
+    assert len(sentences.split_sentences("แม่หม้าย, พ่อค้า")) == 1
+
+
+def test_a_quotation_belongs_to_its_sentence_by_rule():
+    text = 'The clerk wrote "It is late. Go home." and left. The widow stayed.'
+    assert sentences.split_sentences(text) == ['The clerk wrote "It is late. Go home." and left.', "The widow stayed."]
