@@ -1,9 +1,11 @@
 """Near-duplicate records (problem 5).
 
 A record's shingles are the runs of eight characters of its path and pages in lower case without white space.
-Records with the same text form one class, and so do records with the same pages under different paths where the
-pages are long enough that no path can part them; a class is compared once. Classes that agree in a band of MinHash values
-become candidates; their remaining MinHash values are compared in steps, and a pair is dropped as soon as the
+Records with the same text form one class, and so do records with the same pages whose paths are short beside them, so
+that no two of them can be parted by their paths; a class is compared once, however many copies it has. Classes that
+agree in a band of MinHash values become candidates; where a path makes up more than a tenth of a record, the values
+with the path count as well, each distinct band once for a class. The candidates'
+ remaining MinHash values are compared in steps, and a pair is dropped as soon as the
 posterior probability of its similarity reaching the threshold falls below a tolerance; the rest is verified
 exactly on the sets of shingles.
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +36,16 @@ BANDS, ROWS = 64, 5
 #: MinHash values come from so many one-permutation hashings of BINS bins.
 MIXES, BINS = 4, 128
 STEP = 32
-#: Shared paths can lift pairs of records above the threshold whose pages alone are as far below it as this.
-PRUNED_BELOW = 0.54
+#: Shared paths can lift pairs of records above the threshold whose pages alone are as far below it as this: with u
+#: shingles on the pages of both and PATH_TIMES times fewer on a path, (0.6 u - 0.4 u / 3) / u.
+PRUNED_BELOW = 0.467
 #: A pair is dropped when it reaches the threshold with less than this posterior probability.
 TOLERANCE = 0.001
-#: Folded paths of at most this many characters cannot part copies whose pages have PATH_TIMES as many shingles: with c
-#: shared shingles and p others on either side, c / (c + 2p) is at least 0.6 for c of at least 3p.
-PATH_CAP, PATH_TIMES = 100, 3
+#: Paths cannot part copies whose pages have PATH_TIMES as many shingles: with c shared shingles and at most c / 3 others
+#: on either side, c / (c + 2c / 3) is 0.6. From PATH_SHARE times as many on, the values without the path are enough.
+PATH_TIMES, PATH_SHARE = 3, 10
+#: Members of a class that one task pairs with all the others where pairs are written out.
+MEMBERS_AT_ONCE = 2_000
 #: Ids of compared records are broadcast up to this number; beyond it they are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Paths of a class that stand in one row where two classes are compared path by path.
@@ -100,15 +106,25 @@ def signature(text: str) -> tuple[np.ndarray | None, int]:
     return out.ravel(), different
 
 
-def class_of(path: str | None, pages: list[str | None] | None) -> tuple[bytes, np.ndarray | None]:
-    """What a record's class goes by, and its MinHash values: its pages alone if its path cannot matter, else all."""
-    text = folded(None, pages)
-    if len(folded(path, None)) <= PATH_CAP and len(text) > PATH_TIMES * PATH_CAP:
-        values, different = signature(text)
-        if different >= PATH_TIMES * PATH_CAP:
-            return b"p" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), values
+class Sketch(NamedTuple):
+    """What a record's class goes by, its MinHash values, those with its path where that weighs, and the path's length."""
+
+    digest: bytes
+    values: np.ndarray | None
+    with_path: np.ndarray | None
+    path_size: int
+
+
+def sketch_of(path: str | None, pages: list[str | None] | None) -> Sketch:
+    """The class of a record: its pages alone if its path cannot matter among copies of them, else path and pages."""
+    text, size = folded(None, pages), len(folded(path, None))
+    values, different = signature(text)
+    digest = lambda kind, t: kind + xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+    if different and PATH_TIMES * size <= different:
+        whole = signature(folded(path, pages))[0] if PATH_SHARE * size > different else None
+        return Sketch(digest(b"p", text), values, whole, size)
     text = folded(path, pages)
-    return b"t" + xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")), signature(text)[0]
+    return Sketch(digest(b"t", text), signature(text)[0] if size else values, None, 0)
 
 
 def band_keys(values: np.ndarray) -> np.ndarray:
@@ -122,13 +138,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, path, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if key is None or sum(len(p) for p in pages or [] if p) < MIN_CHARS:
                 continue
-            digest, values = class_of(path, pages)
-            if values is not None:
-                rows.append((key, digest, values[BANDS * ROWS :].astype(np.uint8).tobytes(), band_keys(values).tolist()))
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.list_(pa.int64()))], names=["id", "digest", "sketch", "bands"]
-        )
+            own = sketch_of(path, pages)
+            if own.values is not None:
+                further = [] if own.with_path is None else sorted(set(band_keys(own.with_path).tolist()) - set(band_keys(own.values).tolist()))
+                rows.append((key, own.digest, own.values[BANDS * ROWS :].astype(np.uint8).tobytes(), band_keys(own.values).tolist(), further, own.path_size))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "digest", "sketch", "bands", "further", "path_size"])
 
 
 @lru_cache
@@ -186,12 +202,13 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     recent = _Recent()
     for batch in batches:
         out = []
-        for a, b, key_a, key_b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for a, b, most_a, most_b, path_a, pages_a, path_b, pages_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             common, union = _overlap(recent.get(a, path_a, pages_a), recent.get(b, path_b, pages_b))
             similarity = common / union
-            sides = [(a, key_a[:1] == b"p", path_a, pages_a), (b, key_b[:1] == b"p", path_b, pages_b)]
-            loose = PATH_CAP * sum(by_pages for _, by_pages, _, _ in sides)
-            if loose:  # members differ in their paths; what they surely share and surely hold is that of their pages
+            # members differ in paths of at most so many shingles; what they surely share and hold is that of their pages
+            sides = [(a, most_a is not None, path_a, pages_a), (b, most_b is not None, path_b, pages_b)]
+            loose = (most_a or 0) + (most_b or 0)
+            if loose:
                 common, union = _overlap(*(recent.get((k, by_pages), None if by_pages else path, pages) for k, by_pages, path, pages in sides))
             sure = common / (union + loose) >= THRESHOLD
             if sure or (common + loose) / union >= THRESHOLD:
@@ -270,11 +287,13 @@ def _with_texts(pairs: DataFrame, named: DataFrame) -> DataFrame:
 def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The named records, (id, rep) of every record compared, and (a, b, similarity, sure, loose_a, loose_b) of representatives; the members of a loose class differ in paths."""
     named = records.select(F.col("cache_id").cast("bigint").alias("id"), "path", "pages")
-    features = cut(named.mapInArrow(_features, "id bigint, digest binary, sketch binary, bands array<bigint>"))
-    classes = features.groupBy("digest").agg(F.min("id").alias("rep"))
+    features = cut(named.mapInArrow(_features, "id bigint, digest binary, sketch binary, bands array<bigint>, further array<bigint>, path_size int"))
+    classes = features.groupBy("digest").agg(F.min("id").alias("rep"), F.max("path_size").alias("most"))
     members = features.select("id", "digest").join(classes, "digest").select("id", "rep").distinct()
     own = features.join(classes.withColumnRenamed("rep", "id"), ["id", "digest"], "left_semi").dropDuplicates(["id"])
-    keys = own.select(F.col("id"), F.explode("bands").alias("key"))
+    # the bands of the pages are the same for all members; those with a path count once for their class
+    further = features.where(F.size("further") > 0).join(classes, "digest").select(F.col("rep").alias("id"), F.explode("further").alias("key")).distinct()
+    keys = own.select("id", F.explode("bands").alias("key")).unionAll(further)
     other = keys.select(F.col("id").alias("b"), "key")
     candidates = keys.withColumnRenamed("id", "a").join(other, "key").where("a < b").select("a", "b").distinct()
     sketches = own.select("id", "sketch")
@@ -284,12 +303,22 @@ def class_links(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .select("a", "b", "sa", "sb")
     )
     close = cut(compared.mapInArrow(_prune, "a bigint, b bigint"))
-    kinds = own.select("id", F.substring("digest", 1, 1).alias("kind"))
-    kinded = close.join(kinds.select(F.col("id").alias("a"), F.col("kind").alias("kind_a")), "a").join(kinds.select(F.col("id").alias("b"), F.col("kind").alias("kind_b")), "b")
-    both = _with_texts(kinded, named).select("a", "b", "kind_a", "kind_b", "path_a", "pages_a", "path_b", "pages_b")
+    # the longest path of a class whose members differ in theirs, null for a class of one text
+    loose = own.join(classes.select("digest", "most"), "digest").select("id", F.when(F.substring("digest", 1, 1) == F.lit(b"p"), F.col("most")).alias("most"))
+    kinded = close.join(loose.select(F.col("id").alias("a"), F.col("most").alias("most_a")), "a").join(loose.select(F.col("id").alias("b"), F.col("most").alias("most_b")), "b")
+    both = _with_texts(kinded, named).select("a", "b", "most_a", "most_b", "path_a", "pages_a", "path_b", "pages_b")
     return named, members, both.mapInArrow(_judge, "a bigint, b bigint, similarity double, sure boolean, loose_a boolean, loose_b boolean").dropDuplicates(["a", "b"])
 
 
+def _member_pairs(members: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs within the classes, which the result is made of; a large class is shared out over tasks."""
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_AT_ONCE).alias("parts"))
+    sized = members.join(sizes, "rep")
+    one = sized.select(F.col("id").alias("a"), "rep", F.expr("pmod(xxhash64(id), parts)").alias("part"))
+    two = sized.select(F.col("id").alias("b"), "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    return one.join(two, ["rep", "part"]).where("a < b").select("a", "b")
+
+
 def similar_pairs(records: DataFrame) -> DataFrame:
     """(cache_id_a, cache_id_b), a < b: every pair of records at or above the threshold."""
     named, members, links = class_links(records)
@@ -298,7 +327,7 @@ def similar_pairs(records: DataFrame) -> DataFrame:
     met = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sure").where("a < b").distinct()
     # pairs whose paths may decide are looked at one by one, the others follow from their classes
     doubtful = _with_texts(met.where(~F.col("sure")).select("a", "b"), named).select("a", "b", "path_a", "pages_a", "path_b", "pages_b").mapInArrow(_verify, "a bigint, b bigint")
-    within = one.join(two, F.col("a") == F.col("b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    within = _member_pairs(members)
     # an id that stands for two texts may meet another twice
     found = met.where("sure").select("a", "b").unionAll(doubtful).unionAll(within).distinct()
     return found.select(F.col("a").alias("cache_id_a"), F.col("b").alias("cache_id_b"))

@@ -148,3 +148,37 @@ def test_any_similar_members_equal_brute_force():
         paths = [[set(r.sample(range(40, 90), r.randrange(12))) for _ in range(4)] for _ in range(2)]
         brute_force = any(len((one | x) & (two | y)) / len(one | x | two | y) >= neardup.THRESHOLD for x in paths[0] for y in paths[1])
         assert neardup.any_similar(one, two, *paths) == brute_force
+
+
+def test_short_copies_are_compared_once(spark):
+    r = random.Random(21)
+    short = "".join(r.choices("abcdefghijklmnop   ", k=250))
+    rows = [(k, f"course{k % 90}/week{k % 13}/reading-{k * 7919 % 10007}.pdf", [short]) for k in range(20_000)]
+    rows += [(50_000 + k, f"course{k}/week{k}/reading-{k}.pdf", [edited(r, short, 0.01)]) for k in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    _, members, links = neardup.class_links(df)
+    assert members.select("rep").distinct().count() <= 6 and links.count() <= 15
+    groups = {x.group_id for x in neardup.duplicate_groups(df).collect()}
+    assert groups == {0}
+    few = [x for x in rows if x[0] < 150 or x[0] >= 50_000]
+    got = {(x.cache_id_a, x.cache_id_b) for x in neardup.similar_pairs(spark.createDataFrame(few, SCHEMA)).collect()}
+    assert got == brute(few)
+
+
+def test_paths_that_lift_short_records_over_the_threshold(spark):
+    r = random.Random(31)
+    rows, key = [], 0
+    for _ in range(60):
+        path, base = "".join(r.choices("abcdefghij/", k=60)), "".join(r.choices("abcdefghijklmnopqrst", k=230))
+        for _ in range(2):
+            key += 1
+            rows.append((key, path, [base[: r.randrange(155, 175)] + "".join(r.choices("uvwxyz", k=60))]))
+    expected = brute(rows)
+    got = {(x.cache_id_a, x.cache_id_b) for x in neardup.similar_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(expected) > 20 and got <= expected and len(got) >= 0.97 * len(expected)
+
+
+def test_large_classes_are_shared_out(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS_AT_ONCE", 7)
+    members = spark.createDataFrame([(k, 0) for k in range(40)] + [(100, 100), (101, 100)], "id bigint, rep bigint")
+    assert sorted(map(tuple, neardup._member_pairs(members).collect())) == [*combinations(range(40), 2), (100, 101)]
