@@ -78,8 +78,17 @@ def phonetic(token: str) -> str:
     return _REPEAT.sub(r"\1", classes(token))
 
 
+#: Classes of a code that are keyed; the rest of a longer code is keyed from its other end.
+KEYED = 11
+
+
 def _shortened(code: str) -> set[str]:
-    """A code and what is left of it without one class, and without two if it is long."""
+    """A code and what is left of it without one class, and without two of five or more.
+
+    Two spellings of a code beyond KEYED classes meet in one of its ends, or in the tokens it is glued from.
+    """
+    if len(code) > KEYED:
+        return {mark + form for mark, part in (("<", code[:KEYED]), (">", code[-KEYED:])) for form in (part, *(part[:k] + part[k + 1 :] for k in range(KEYED)))}
     out = {code}
     if len(code) > 2:
         out.update(code[:k] + code[k + 1 :] for k in range(len(code)))
@@ -95,23 +104,22 @@ def is_organisation(name: str) -> bool:
 
 
 def block_keys(name: str) -> set[str]:
-    """Phonetic codes of the sorted tokens and of all together, each also with one or two classes left out, and openings."""
+    """Phonetic codes of the sorted tokens and of all together, each also with one or two classes left out, and openings of codes."""
     words = [t for t in tokens(name) if len(t.rstrip(".")) > 1]
     own = [t for t in words if t not in _FIRST_OF and t not in _ORGANISATION and t not in _LINKING] or words
     whole = "".join(sorted(own))
     glued = "".join(t.rstrip(".") for t in own)
     out = set()
     everything = "".join(_SPLIT.sub("", plain(name)).split())
-    for text in {*own, whole, glued, everything} if len(words) < 4 else {*own, whole}:
+    for text in {*own, whole, glued, everything}:
         if len(text.rstrip(".")) < 3:
             continue
         code = classes(text)
-        for form in {code, _REPEAT.sub(r"\1", code)}:
-            out |= _shortened(form) if len(form) < 12 else {form, *(form[:k] + form[k + 1 :] for k in range(len(form)))}
-        if len(text) > 4:
-            out.add("^" + text[:4])
-        elif text.endswith("."):
-            out.add("^" + text[:-1])
+        short = _REPEAT.sub(r"\1", code)
+        for form in {code, short}:
+            out |= _shortened(form)
+        if len(text) > 4 or text.endswith("."):
+            out.add("^" + short[:2])
     if len(words) > 1:
         out.update("@" + phonetic(t) for t in words if len(t) > 4)
     return out

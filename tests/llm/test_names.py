@@ -52,3 +52,37 @@ def test_pairs_share_a_work_and_a_name(spark):
     got = sorted((r.author_id_a, r.author_id_b) for r in names.variant_pairs(a, e).collect())
     assert got == [(1, 2), (1, 3), (1, 9), (3, 9)]
     assert names.variant_pairs(a.limit(0), e).count() == names.variant_pairs(a, e.limit(0)).count() == 0
+
+
+def test_long_names_meet_in_a_block():
+    import random
+
+    r = random.Random(17)
+    stems = "agricultural maritime comparative vernacular household customary industrial settlement migration northern provincial economic coastal forestry parish colonial".split()
+    places = "Aldermoor Bexhamley Corvington Drelsworth Estermouth Falkenrode Grimsholm Hexleyford".split()
+    heads = "Institute Society Commission Association Department Foundation Council Office".split()
+
+    def misspelt(word):
+        k = r.randrange(1, len(word) - 1)
+        return r.choice([word[:k] + word[k + 1 :], word[:k] + word[k + 1] + word[k] + word[k + 2 :], word[:k] + r.choice("aeiourstln") + word[k + 1 :], word[:k] + word[k] + word[k:]])
+
+    met = wanted = 0
+    for _ in range(800):
+        words = [r.choice(heads), "for", *r.sample(stems, r.choice([2, 3, 4])), "Studies", "of", r.choice(places)]
+        other = list(words)
+        for k in r.sample([k for k, w in enumerate(words) if len(w) > 5], r.choice([1, 2, 3])):
+            other[k] = misspelt(other[k]) if r.random() < 0.7 else other[k][:4] + "."
+        if r.random() < 0.3:
+            other = other[-2:] + other[:-2]
+        a, b = " ".join(words), " ".join(other)
+        if N.same_name(a, b):
+            wanted += 1
+            met += bool(N.block_keys(a) & N.block_keys(b))
+    assert wanted > 600 and met >= 0.995 * wanted
+
+
+def test_keys_are_phonetic_and_few():
+    name = "Commission for Comparative Vernacular Household and Settlement Migration Studies of Aldermoor"
+    assert all(set(k) <= set("^@<>12345678") or k.strip("^@<>").isalpha() and len(k) < 5 for k in N.block_keys(name))
+    assert len(N.block_keys(name)) < 500
+    assert N.block_keys("haravhart") & N.block_keys("haravh.") and N.block_keys("x") is not None
