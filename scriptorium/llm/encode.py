@@ -10,10 +10,12 @@ from __future__ import annotations
 import base64
 import importlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, functions as F
 
 #: Texts longer than this many characters are cut at safe boundaries first.
@@ -28,8 +30,9 @@ def vocabulary_path(name: str = "byte_bpe_50k") -> str:
     return importlib.import_module("public_tokenizers").path(f"{name}.tiktoken")
 
 
+@lru_cache(maxsize=4)
 def load_encoding(rank_file: str):
-    """The encoding of a rank file: one base64 token and its id a line."""
+    """The encoding of a rank file: one base64 token and its id a line. A worker reads it once for all its tasks."""
     import tiktoken
 
     pattern = importlib.import_module("public_tokenizers").PATTERN
@@ -63,12 +66,20 @@ def decode_ids(encoding, ids: Iterable[int]) -> str:
     return b"".join(encoding.decode_single_token_bytes(int(i)) for i in ids).decode("utf-8")
 
 
+def _shipped(df: DataFrame, rank_file: str | None) -> Callable[[], object]:
+    """What gives the encoding in a task; the rank file goes to the executors through Spark's own file server."""
+    path = rank_file or vocabulary_path()
+    df.sparkSession.sparkContext.addFile(path)
+    name = path.rsplit("/", 1)[-1]
+    return lambda: load_encoding(SparkFiles.get(name))
+
+
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank_file: str | None = None) -> DataFrame:
     """(id_col, ids array<int>) for every row of ``docs``."""
-    path = rank_file or vocabulary_path()
+    shipped = _shipped(docs, rank_file)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(path)
+        encoding = shipped()
         for batch in batches:
             ids = [encode_text(encoding, text) for text in batch.column(1).to_pylist()]
             offsets = np.zeros(len(ids) + 1, np.int32)
@@ -82,10 +93,10 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", rank_file: str | None = None) -> DataFrame:
     """(id_col, text) back from ``encode_corpus``; an empty list gives an empty text."""
-    path = rank_file or vocabulary_path()
+    shipped = _shipped(encoded, rank_file)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = load_encoding(path)
+        encoding = shipped()
         for batch in batches:
             texts = [None if ids is None else decode_ids(encoding, ids) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
