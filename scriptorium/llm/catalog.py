@@ -117,5 +117,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
 }
 
-#: None of these operators has a form in SQL; they are tested against brute force, round trips and fixtures.
-ORACLES: dict[str, str] = {}
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+
+#: The similar pairs by comparing the shingles of all records; the others are tested against brute force, round trips
+#: and fixtures, as SQL has no form for them.
+ORACLES: dict[str, str] = {
+    "p5_found": rf"""WITH texts AS (SELECT cache_id, regexp_replace(lower(concat_ws(chr(10), coalesce(path, ''), array_to_string(list_transform(coalesce(pages, []), lambda p: coalesce(p, '')), chr(10)))), '{_SPACE}+', '', 'g') AS t
+ FROM extraction_cache WHERE cache_id IS NOT NULL AND len(array_to_string(list_filter(coalesce(pages, []), lambda p: p IS NOT NULL), '')) >= 200),
+places AS (SELECT cache_id, t, unnest(range(1, CAST(len(t) AS BIGINT) - 6)) AS i FROM texts),
+shingles AS (SELECT DISTINCT cache_id, hash(substr(t, CAST(i AS BIGINT), 8)) AS s FROM places),
+sizes AS (SELECT cache_id, count(*) AS n FROM shingles GROUP BY cache_id),
+common AS (SELECT a.cache_id AS a, b.cache_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.cache_id < b.cache_id GROUP BY ALL)
+SELECT a AS cache_id_a, b AS cache_id_b FROM common JOIN sizes x ON x.cache_id = a JOIN sizes y ON y.cache_id = b WHERE common.n >= 0.6 * (x.n + y.n - common.n)""",
+}
