@@ -7,14 +7,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators.links import IMAGE_SUFFIXES, resolve_links, vault_index
 
-# Preset and theme colours, image suffixes, geometry.
+__all__ = ["resolve_links", "vault_index"]
+
+# Preset and theme colours, geometry.
 PRESET_COLOURS = {"1": "#fb464c", "2": "#e9973f", "3": "#e0de71", "4": "#44cf6e", "5": "#53dfdd", "6": "#a882ff"}
 THEMES = {
     "light": {"bg": "#ffffff", "card": "#ffffff", "text": "#222222", "muted": "#6c6c6c", "border": "#c8c8c8", "edge": "#a3a3a3", "code": "#f3f3f3", "link": "#7852ee", "dots": "#e2e2e2"},
     "dark": {"bg": "#1e1e1e", "card": "#262626", "text": "#dadada", "muted": "#9a9a9a", "border": "#4a4a4a", "edge": "#6f6f6f", "code": "#2f2f2f", "link": "#a88bfa", "dots": "#2e2e2e"},
 }
-IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".svg", ".webp", ".avif")
 GROUP_LABEL_HEIGHT = 40
 PADDING = 80
 LEAST_PULL, MOST_PULL, PULL = 40.0, 250.0, 0.5
@@ -115,6 +117,11 @@ def edge_geometry(joined: DataFrame, ox: Column | float = 0.0, oy: Column | floa
     })
 
 
+def one_decimal(value: Column) -> Column:
+    """A number with one decimal, the exact binary value rounded half to even."""
+    return F.call_function("format_number", value.cast("double"), F.lit("0.0"))
+
+
 def arrow_head(tip: Column, source: Column) -> Column:
     """The three points of an arrow head as text; a zero length counts as one."""
     dx, dy = tip["x"] - source["x"], tip["y"] - source["y"]
@@ -122,56 +129,21 @@ def arrow_head(tip: Column, source: Column) -> Column:
     d = F.when(length == 0, F.lit(1.0)).otherwise(length)
     bx, by = tip["x"] - dx / d * ARROW_SIZE, tip["y"] - dy / d * ARROW_SIZE
     px, py = -dy / d * ARROW_SIZE * ARROW_HALF_WIDTH, dx / d * ARROW_SIZE * ARROW_HALF_WIDTH
-    return F.format_string("%.1f,%.1f %.1f,%.1f %.1f,%.1f", tip["x"], tip["y"], bx + px, by + py, bx - px, by - py)
+    return F.format_string("%s,%s %s,%s %s,%s", *map(one_decimal, (tip["x"], tip["y"], bx + px, by + py, bx - px, by - py)))
 
 
 def edge_markup(geometry: DataFrame) -> DataFrame:
     """(ord, path, label): the vector path with its arrow heads, and the label's box."""
     g = {p: F.col(p) for p in ("p0", "p1", "p2", "p3")}
     numbers = [g[p][axis] for p in ("p0", "p1", "p2", "p3") for axis in ("x", "y")]
-    curve = F.format_string('<path d="M%.1f,%.1f C%.1f,%.1f %.1f,%.1f %.1f,%.1f" stroke="%s" stroke-width="3" fill="none"/>', *numbers, F.col("stroke"))
+    curve = F.format_string('<path d="M%s,%s C%s,%s %s,%s %s,%s" stroke="%s" stroke-width="3" fill="none"/>', *map(one_decimal, numbers), F.col("stroke"))
     head = lambda tip, source: F.format_string('<polygon points="%s" fill="%s"/>', arrow_head(tip, source), F.col("stroke"))
     path = F.concat(curve, F.when(F.col("arrow_at_end"), head(g["p3"], g["p2"])).otherwise(""), F.when(F.col("arrow_at_start"), head(g["p0"], g["p1"])).otherwise(""))
     text = F.replace(T.escape_html(F.col("label")), F.lit("\n"), F.lit("<br>"))
-    label = F.when(F.coalesce(F.col("label"), F.lit("")) != "", F.format_string('<div class="edge-label" style="left:%.1fpx;top:%.1fpx">%s</div>', F.col("label_x"), F.col("label_y"), text)).otherwise("")
+    label = F.when(F.coalesce(F.col("label"), F.lit("")) != "", F.format_string('<div class="edge-label" style="left:%spx;top:%spx">%s</div>', one_decimal(F.col("label_x")), one_decimal(F.col("label_y")), text)).otherwise("")
     return geometry.select("ord", path.alias("path"), label.alias("label"))
 
 
-def vault_index(files: DataFrame) -> DataFrame:
-    """(key, path, suffix, walk_ord): lower-case name and stem of every file outside hidden folders.
-
-    ``files`` has (path, walk_ord), path relative to the vault; hidden files are kept.
-    """
-    parts = F.split(F.col("path"), "/")
-    shown = files.where(~F.exists(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda d: d.startswith(".")))
-    name = F.lower(T.file_name(F.col("path")))
-    suffix = F.regexp_extract(name, r"(?<=.)\.[^.]+\z", 0)
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(suffix))
-    return shown.select(F.explode(F.array_distinct(F.array(name, stem))).alias("key"), "path", suffix.alias("suffix"), "walk_ord")
-
-
-def resolve_links(targets: DataFrame, files: DataFrame) -> DataFrame:
-    """(target, path): the file each distinct link target means, null where there is none.
-
-    In order: the exact path, the path with ".md", a file of that name or stem anywhere, and one of that name with
-    ".md"; among the last two a note before other files, then the shortest path, then the first found.
-    """
-    wanted = targets.select("target").distinct().withColumn("clean", T.strip(F.col("target")))
-    named = wanted.where("clean <> ''")
-    direct = files.select(F.col("path").alias("found"))
-    index = vault_index(files)
-    name = F.lower(T.file_name(F.regexp_replace("clean", "/+$", "")))
-    tries = (
-        named.join(direct, F.col("clean") == F.col("found")).select("target", F.lit(0).alias("priority"), F.lit(False).alias("other"), F.lit(0).alias("size"), F.lit(0).cast("bigint").alias("walk_ord"), "found")
-        .unionAll(named.join(direct, F.concat("clean", F.lit(".md")) == F.col("found")).select("target", F.lit(1), F.lit(False), F.lit(0), F.lit(0).cast("bigint"), "found"))
-        .unionAll(named.join(index, name == F.col("key")).select("target", F.lit(2), F.col("suffix") != ".md", F.length("path"), F.col("walk_ord").cast("bigint"), "path"))
-        .unionAll(named.join(index, F.concat(name, F.lit(".md")) == F.col("key")).select("target", F.lit(3), F.col("suffix") != ".md", F.length("path"), F.col("walk_ord").cast("bigint"), "path"))
-    )
-    # the least candidate is kept while aggregating, so that a popular name is never gathered in one task
-    best = tries.groupBy("target").agg(F.min(F.struct("priority", "other", "size", "walk_ord", "found"))["found"].alias("path"))
-    return wanted.select("target").join(best, "target", "left")
-
-
 def tile_plan(pages: DataFrame, scale: float = 2.0, tile: int = DEFAULT_TILE, preview: int = PREVIEW) -> DataFrame:
     """Pages (width, height) with output and preview sizes, tile size and the numbers of columns and rows."""
     sized = pages.withColumns({"out_width": F.ceil(F.col("width") * scale), "out_height": F.ceil(F.col("height") * scale), "tile_css": F.lit(max(LEAST_TILE, int(tile // scale)))})

@@ -117,7 +117,7 @@ def top_documents(profiled: DataFrame, n: int = 40, path: str = "path") -> DataF
 
 
 def summary(profiled: DataFrame, taxonomy: Taxonomy) -> DataFrame:
-    """One row with the nested JSON summary of a run."""
+    """One row with the nested JSON summary of a run, indented by two blanks."""
     zero = zero_documents(profiled)
     histogram = breadth_histogram(profiled).withColumn("pct", T.round_exactly(F.when(F.col("n_documents") > 0, 100 * F.col("documents") / F.col("n_documents")).otherwise(0.0), 2))
     dominance = frame_dominance(profiled, taxonomy).withColumn("pct", T.round_exactly(100 * F.col("share"), 2))
@@ -125,4 +125,5 @@ def summary(profiled: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     d = dominance.agg(F.map_from_entries(F.collect_list(F.struct("frame", F.struct("total_hits", F.col("pct").alias("pct_of_all_concept_hits"))))).alias("frame_dominance"))
     zero = zero.select(F.col("n_documents").alias("n_documents_analyzed"), F.col("n_zero").alias("n_documents_zero_concepts"), T.round_exactly(F.when(F.col("n_documents") > 0, 100 * F.col("n_zero") / F.col("n_documents")).otherwise(0.0), 2).alias("pct_documents_zero_concepts"))
     # three one-row tables side by side
-    return zero.crossJoin(h).crossJoin(d).select(F.to_json(F.struct("*")).alias("summary"))
+    whole = zero.crossJoin(h).crossJoin(d).select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("summary"))
+    return whole.select(F.regexp_replace("summary", r'(?m)^(\s*"[^"]*") : ', "$1: ").alias("summary"))

@@ -7,7 +7,10 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from scriptorium.functions.text import escape_html, strip
+from scriptorium.functions.markdown import render
+from scriptorium.functions.text import escape_html, file_name, strip
+from scriptorium.operators.links import IMAGE_SUFFIXES, resolve_links
+from scriptorium.session import cut
 
 # The patterns of the markup, and the colours of callouts.
 CODE = r"(?s)```.*?```|~~~.*?~~~|`[^`\n]+`"
@@ -28,6 +31,20 @@ CALLOUT_COLOURS = {
     "example": "#7852ee", "quote": "#9e9e9e", "cite": "#9e9e9e",
 }
 DEFAULT_CALLOUT = "#086ddd"
+# The fragments that stand for links, tags, maths, embeds and images; the marks of tasks.
+LINK_HTML = '<span class="internal-link">%s</span>'
+UNRESOLVED_HTML = '<span class="unresolved">![[%s]]</span>'
+TAG_HTML = '<span class="tag">#%s</span>'
+MATH_BLOCK_HTML = '<div class="math" data-display="1" data-tex="%s">$$%s$$</div>'
+MATH_INLINE_HTML = '<span class="math" data-tex="%s">$%s$</span>'
+EMBED_HTML = '<div class="embed"><div class="embed-title">%s</div>%s</div>'
+IMAGE_HTML = '<img src="%s" alt="%s"%s>'
+TASKS = (
+    (r"<li>\s*\[ \]\s*", '<li class="task">☐ '),
+    (r"<li>\s*\[[xX]\]\s*", '<li class="task done">☑ '),
+    (r"<li>\s*<p>\s*\[ \]\s*", '<li class="task"><p>☐ '),
+    (r"<li>\s*<p>\s*\[[xX]\]\s*", '<li class="task done"><p>☑ '),
+)
 
 #: Unicode classes, and a dot that stops at line feeds only.
 _J = "(?Ud)"
@@ -79,26 +96,10 @@ def inline_math(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(text, _J + MATH_BLOCK, ""), F.lit(_J + MATH_INLINE), F.lit(1))
 
 
-def link_markup(text: Column) -> Column:
-    """Links as spans with their label escaped; the form with an alias first."""
-    pieces = F.regexp_extract_all(text, F.lit(_J + WIKILINK), F.lit(0))
-    between = F.split(text, _J + WIKILINK, -1)
-
-    def span(link: Column) -> Column:
-        label = F.coalesce(F.nullif(F.regexp_extract(link, _J + WIKILINK, 2), F.lit("")), F.regexp_extract(link, _J + WIKILINK, 1))
-        return F.concat(F.lit('<span class="internal-link">'), escape_html(label), F.lit("</span>"))
-
-    return F.array_join(F.zip_with(between, pieces, lambda b, p: F.concat(b, F.when(p.isNull(), F.lit("")).otherwise(span(p)))), "")
-
-
 def highlight_markup(text: Column) -> Column:
     return F.regexp_replace(text, _J + HIGHLIGHT, "<mark>$1</mark>")
 
 
-def tag_markup(text: Column) -> Column:
-    return F.regexp_replace(text, _J + TAG, '<span class="tag">#$1</span>')
-
-
 def image_style(size: Column) -> Column:
     """The style of an embedded image's size, "W" or "WxH"; empty for anything else."""
     pattern = r"\A\s*(\d+)\s*(?:x\s*(\d+))?\s*\z"
@@ -108,12 +109,7 @@ def image_style(size: Column) -> Column:
 
 
 def task_lists(html: Column) -> Column:
-    for pattern, new in (
-        (r"<li>\s*\[ \]\s*", '<li class="task">☐ '),
-        (r"<li>\s*\[[xX]\]\s*", '<li class="task done">☑ '),
-        (r"<li>\s*<p>\s*\[ \]\s*", '<li class="task"><p>☐ '),
-        (r"<li>\s*<p>\s*\[[xX]\]\s*", '<li class="task done"><p>☑ '),
-    ):
+    for pattern, new in TASKS:
         html = F.regexp_replace(html, "(?U)" + pattern, new)
     return html
 
@@ -166,25 +162,178 @@ def subpath(text: Column, sub: Column) -> Column:
     return F.when(wanted & at.isNotNull(), section).otherwise(text)
 
 
+# ---- fragments put aside ----------------------------------------------------------------------------------------
+#
+# What is found in a text gives way to a mark, and its fragment goes into an array, so that neither later patterns nor
+# the renderer touch it. A mark reads as a word: a letter that no note uses, and the fragment's number.
+
+_MARK = "ᚠ"
+
+
+def _mark(number: Column) -> Column:
+    return F.concat(F.lit(_MARK), number.cast("string"), F.lit(_MARK))
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Use a value several times without writing its expression out again."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _filled(template: str, *parts: Column) -> Column:
+    pieces = template.split("%s")
+    return F.concat(F.lit(pieces[0]), *(x for part, piece in zip(parts, pieces[1:], strict=True) for x in (part, F.lit(piece))))
+
+
+def put_aside(state: Column, pattern: str, fragment: Callable[[Column], Column]) -> Column:
+    """struct(text, held) with the fragments of all matches put aside; a match whose fragment is null stays."""
+
+    def applied(s: Column) -> Column:
+        found = F.regexp_extract_all(s["text"], F.lit(_J + pattern), F.lit(0))
+        return _with(F.struct(found.alias("found"), F.transform(found, fragment).alias("made"), F.split(s["text"], _J + pattern, -1).alias("between")), lambda m: replaced(s, m))
+
+    def replaced(s: Column, m: Column) -> Column:
+        before = F.size(s["held"])
+        number = lambda i: before + F.size(F.filter(F.slice(m["made"], 1, i + 1), lambda x: x.isNotNull())) - 1
+        put = F.transform(m["between"], lambda text, i: F.concat(text, F.when(i >= F.size(m["found"]), F.lit("")).when(F.get(m["made"], i).isNull(), F.get(m["found"], i)).otherwise(_mark(number(i)))))
+        return F.struct(F.array_join(put, "").alias("text"), F.concat(s["held"], F.filter(m["made"], lambda x: x.isNotNull())).alias("held"))
+
+    return _with(state, applied)
+
+
+def put_back(text: Column, held: Column) -> Column:
+    """The text with every mark replaced, the last ones first, as they can hold earlier ones."""
+    numbers = F.when(F.size(held) > 0, F.sequence(F.size(held) - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(numbers, text, lambda t, k: F.replace(t, _mark(k), F.get(held, k)))
+
+
+def _group(match: Column, pattern: str, k: int) -> Column:
+    return F.regexp_extract(match, _J + pattern, k)
+
+
+def _maths_aside(state: Column) -> Column:
+    state = put_aside(state, MATH_BLOCK, lambda m: _filled(MATH_BLOCK_HTML, escape_html(strip(_group(m, MATH_BLOCK, 1))), escape_html(_group(m, MATH_BLOCK, 1))))
+    return put_aside(state, MATH_INLINE, lambda m: _filled(MATH_INLINE_HTML, escape_html(_group(m, MATH_INLINE, 1)), escape_html(_group(m, MATH_INLINE, 1))))
+
+
+def _link(m: Column) -> Column:
+    return _filled(LINK_HTML, escape_html(F.coalesce(F.nullif(_group(m, WIKILINK, 2), F.lit("")), _group(m, WIKILINK, 1))))
+
+
+def _unresolved(m: Column) -> Column:
+    return _filled(UNRESOLVED_HTML, escape_html(F.concat(_group(m, EMBED, 1), _group(m, EMBED, 2))))
+
+
+def _segments(text: Column) -> Column:
+    """struct(prose, code): the stretches outside code, and the code after each of them."""
+    bare = strip_front_matter(text)
+    return F.struct(F.split(bare, _J + CODE, -1).alias("prose"), F.regexp_extract_all(bare, F.lit(_J + CODE), F.lit(0)).alias("code"))
+
+
+def calls(text: Column) -> Column:
+    """The distinct embeds and local images of a note, as written, outside code and maths."""
+    empty = F.array().cast("array<string>")
+    prose = F.transform(_segments(text)["prose"], lambda p: _maths_aside(F.struct(strip_comments(p).alias("text"), empty.alias("held")))["text"])
+    found = F.transform(prose, lambda p: F.concat(F.regexp_extract_all(p, F.lit(_J + EMBED), F.lit(0)), F.regexp_extract_all(p, F.lit(_J + IMAGE), F.lit(0))))
+    return F.array_distinct(F.flatten(found))
+
+
+def marked(text: Column, known: Column | None = None) -> Column:
+    """struct(text, held): a note with its maths, embeds, images, links and tags put aside, outside code.
+
+    ``known`` maps embeds and images to their fragments; an embed that it lacks counts as unresolved, an image stays.
+    """
+    known = F.create_map().cast("map<string,string>") if known is None else known
+    empty = F.array().cast("array<string>")
+
+    def prose(state: Column) -> Column:
+        state = _maths_aside(state)
+        state = put_aside(state, EMBED, lambda m: F.coalesce(F.try_element_at(known, m), _unresolved(m)))
+        state = put_aside(state, IMAGE, lambda m: F.try_element_at(known, m))
+        state = put_aside(state, WIKILINK, _link)
+        lit = lambda s: F.struct(highlight_markup(s["text"]).alias("text"), s["held"].alias("held"))
+        return put_aside(_with(state, lit), TAG, lambda m: _filled(TAG_HTML, escape_html(F.substring(m, 2, 2**31 - 1))))
+
+    def add(done: Column, stretch: Column) -> Column:
+        return _with(prose(F.struct(strip_comments(stretch["prose"]).alias("text"), done["held"].alias("held"))), lambda s: F.struct(F.concat(done["text"], s["text"], F.coalesce(stretch["code"], F.lit(""))).alias("text"), s["held"].alias("held")))
+
+    return F.aggregate(F.arrays_zip(_segments(text)["prose"].alias("prose"), _segments(text)["code"].alias("code")), F.struct(F.lit("").alias("text"), empty.alias("held")), add)
+
+
 def prose_markup(text: Column) -> Column:
-    """Comments gone, links, highlights and tags as markup, outside code; images and maths stay as they are, an embed becomes a link after its mark."""
-    return on_prose(strip_front_matter(text), lambda p: tag_markup(highlight_markup(link_markup(strip_comments(p)))))
+    """Comments gone; maths, links, highlights and tags as markup, outside code. Embeds count as unresolved."""
+    return _with(marked(text), lambda s: put_back(s["text"], s["held"]))
+
+
+def with_html(notes: DataFrame, name: str, text: Column, known: Column | None = None, renderer: Callable[[str], str] | None = None) -> DataFrame:
+    """``notes`` with a text as HTML by a pluggable renderer, by default the own small one; nulls count as empty.
+
+    The renderer runs in Python over whole batches, and what was put aside is put back there; the rest are columns.
+    """
+    run = renderer or render
 
+    @F.pandas_udf("string")
+    def rendered(texts: pd.Series, held: pd.Series) -> pd.Series:
+        out = []
+        for value, fragments in zip(texts, held, strict=True):
+            html = run(value)
+            for k in range(len(fragments) - 1, -1, -1):
+                html = html.replace(f"{_MARK}{k}{_MARK}", fragments[k])
+            out.append(html)
+        return pd.Series(out, dtype=object)
 
-def to_html(text: Column, renderer: Callable[[str], str] | None = None) -> Column:
-    """A note as HTML by a pluggable renderer; without one, escaped paragraphs with line breaks."""
-    marked = prose_markup(text)
-    if renderer is None:
-        paragraphs = F.filter(F.split(marked, r"\n\s*\n", -1), lambda p: p != "")
-        out = F.array_join(F.transform(paragraphs, lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br />\n")), F.lit("</p>"))), "\n")
-    else:
+    whole = notes.withColumn("_marked", marked(F.coalesce(text, F.lit("")), known))
+    html = whole.withColumn("_html", rendered("_marked.text", "_marked.held"))
+    return html.withColumn(name, mermaid_blocks(callouts(task_lists(F.col("_html"))))).drop("_marked", "_html")
 
-        @F.pandas_udf("string")
-        def rendered(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: None if t is None else renderer(t))
 
-        out = rendered(marked)
-    return mermaid_blocks(callouts(task_lists(out)))
+def image_tag(path: Column, alt: Column, size: Column, root: str = "") -> Column:
+    """An image of the vault; with a root, its place is written as an address."""
+    return _filled(IMAGE_HTML, escape_html(address(path, root) if root else path), escape_html(alt), image_style(size))
+
+
+def address(path: Column, root: str) -> Column:
+    """A path below a root, its characters written as addresses allow."""
+    coded = F.url_encode(path)
+    for old, new in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        coded = F.replace(coded, F.lit(old), F.lit(new))
+    return F.concat(F.lit(root.rstrip("/") + "/"), coded)
+
+
+def render_notes(notes: DataFrame, files: DataFrame, renderer: Callable[[str], str] | None = None, root: str = "", depth: int = 0) -> DataFrame:
+    """(id, body): every note of ``notes`` (id, base, text) as HTML, with what it embeds, MAX_EMBED_DEPTH deep.
+
+    ``files`` has (path, walk_ord, text) of the vault; ``base`` is the note's own path, which an embed without a target
+    means. Each depth is one set of joins: the embeds of all notes are resolved together, the distinct notes and
+    sections among them rendered once, and the fragments brought back as one map a note.
+    """
+    found = notes.select("id", "base", F.explode(calls(F.coalesce("text", F.lit("")))).alias("call"))
+    is_embed = F.startswith("call", F.lit("![["))
+    part = lambda k: F.when(is_embed, _group(F.col("call"), EMBED, k))
+    target = F.when(is_embed, _group(F.col("call"), EMBED, 1)).otherwise(F.replace(_group(F.col("call"), IMAGE, 2), F.lit("%20"), F.lit(" ")))
+    named = found.select("id", "base", "call", is_embed.alias("embed"), target.alias("target"), part(2).alias("sub"), part(3).alias("alias"))
+    links = resolve_links(named.where("target <> ''").select("target"), files.select("path", "walk_ord"))
+    placed = named.join(links.withColumnRenamed("path", "linked"), "target", "left").withColumn("path", F.when(F.col("target") == "", F.col("base")).otherwise(F.col("linked")))
+    placed = cut(placed)  # read by the next depth and by this one
+    if placed.isEmpty():
+        return with_html(notes, "body", F.col("text"), None, renderer).select("id", "body")
+    name = file_name(F.col("path"))
+    suffix = F.lower(F.regexp_extract("path", r"(?<=[^/])\.[^./]+\z", 0))
+    picture, note = suffix.isin(*IMAGE_SUFFIXES), suffix == ".md"
+    shown = F.when(~F.col("embed"), image_tag(F.col("path"), _group(F.col("call"), IMAGE, 1), F.lit(None).cast("string"), root))
+    shown = shown.when(F.col("path").isNull(), _unresolved(F.col("call"))).when(picture, image_tag(F.col("path"), name, F.col("alias"), root))
+    link = _filled(LINK_HTML, escape_html(F.coalesce(F.nullif("alias", F.lit("")), name)))
+    if depth < MAX_EMBED_DEPTH:
+        inner_id = F.concat("path", F.lit("\n"), F.coalesce("sub", F.lit("")))
+        wanted = placed.where(F.col("embed") & F.coalesce(note, F.lit(False))).select(inner_id.alias("id"), F.col("path").alias("base"), "sub").distinct()
+        texts = wanted.join(files.select(F.col("path").alias("base"), "text"), "base", "left")
+        inner = cut(texts.select("id", "base", subpath(F.coalesce("text", F.lit("")), F.col("sub")).alias("text")))
+        bodies = render_notes(inner, files, renderer, root, depth + 1).withColumnRenamed("id", "inner")
+        placed = placed.withColumn("inner", F.when(F.col("embed") & note, inner_id)).join(bodies, "inner", "left")
+        stem = F.regexp_replace(name, r"(?<=.)\.[^.]+\z", "")
+        shown = shown.when(note, _filled(EMBED_HTML, escape_html(F.concat(stem, "sub")), F.coalesce("body", F.lit(""))))
+    fragments = placed.select("id", "call", shown.otherwise(link).alias("html")).where("html IS NOT NULL")
+    known = fragments.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("call", "html"))).alias("known"))  # a note's own embeds
+    return with_html(notes.join(known, "id", "left"), "body", F.col("text"), F.coalesce("known", F.create_map().cast("map<string,string>")), renderer).select("id", "body")
 
 
 def expand_embeds(notes: DataFrame, links: DataFrame, depth: int = MAX_EMBED_DEPTH) -> DataFrame:

@@ -164,7 +164,32 @@ def top_documents(spark: SparkSession, folder: str) -> DataFrame:
     return top.select("rank", F.col("total_hits").cast("bigint").alias("total_hits"), F.col("breadth").cast("bigint").alias("breadth"))
 
 
-@query()
+def _json_lines(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
+
+
+_SUMMARY_TEXT = _json_lines(
+    "'{'",
+    """'  "n_documents_analyzed": ' || n || ','""",
+    """'  "n_documents_zero_concepts": ' || n0 || ','""",
+    """'  "pct_documents_zero_concepts": ' || CAST(round(100.0 * n0 / n, 2) AS DOUBLE) || ','""",
+    """'  "breadth_histogram": {'""",
+    "(SELECT string_agg(line, ',' || chr(10) ORDER BY i) FROM b)",
+    "'  },'",
+    """'  "frame_dominance": {'""",
+    "(SELECT string_agg(line, ',' || chr(10) ORDER BY frame_ord) FROM d)",
+    "'  }'",
+    "'}'",
+)
+_SUMMARY = f"""{_PROFILE}, spine AS (SELECT CASE WHEN i = 6 THEN '6+' ELSE CAST(i AS VARCHAR) END AS bucket, i FROM range(7) t(i)),
+b AS (SELECT i, '    "' || bucket || '": {{' || chr(10) || '      "documents": ' || count(p.cache_id) || ',' || chr(10) || '      "pct_of_corpus": ' || CAST(round(100.0 * count(p.cache_id) / (SELECT count(*) FROM profile), 2) AS DOUBLE) || chr(10) || '    }}' AS line
+ FROM spine LEFT JOIN profile p ON least(p.breadth, 6) = i GROUP BY bucket, i),
+d AS (SELECT frame_ord, '    "' || frame || '": {{' || chr(10) || '      "total_hits": ' || CAST(sum(hits) AS BIGINT) || ',' || chr(10) || '      "pct_of_all_concept_hits": ' || CAST(round(100 * (sum(hits) / (SELECT sum(hits) FROM counts)), 2) AS DOUBLE) || chr(10) || '    }}' AS line FROM counts GROUP BY frame, frame_ord),
+z AS (SELECT count(*) AS n, count(*) FILTER (breadth = 0) AS n0 FROM profile)
+SELECT {_SUMMARY_TEXT} AS summary FROM z"""
+
+
+@query(_SUMMARY)
 def summary_json(spark: SparkSession, folder: str) -> DataFrame:
     return concepts.summary(*_profiles(spark, folder))
 
@@ -298,10 +323,11 @@ def entry_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _SURNAME = r"[A-Z][A-Za-zÀ-ſ''\-]"
-_KEY = rf"""text AS (SELECT entry_id, regexp_replace(regexp_replace({_collapsed('raw_entry')}, '^(?:\[[0-9]{{1,4}}\]|[0-9]{{1,4}}\.){_SPACE}*', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM per_document_entries),
-year AS (SELECT entry_id, t, CASE WHEN regexp_matches(t, '\([0-9]{{4}}[a-z]?\)') THEN regexp_extract(t, '\(([0-9]{{4}}[a-z]?)\)', 1) ELSE nullif(regexp_extract(t, '\b(?:19|20)[0-9]{{2}}[a-z]?\b'), '') END AS y,
+_KEY_OF = rf"""text AS (SELECT *, regexp_replace(regexp_replace({_collapsed('raw_entry')}, '^(?:\[[0-9]{{1,4}}\]|[0-9]{{1,4}}\.){_SPACE}*', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM {{entries}}),
+year AS (SELECT *, CASE WHEN regexp_matches(t, '\([0-9]{{4}}[a-z]?\)') THEN regexp_extract(t, '\(([0-9]{{4}}[a-z]?)\)', 1) ELSE nullif(regexp_extract(t, '\b(?:19|20)[0-9]{{2}}[a-z]?\b'), '') END AS y,
  CASE WHEN regexp_matches(t, '\([0-9]{{4}}[a-z]?\)') THEN regexp_extract(t, '(?s)^(.*?)\([0-9]{{4}}[a-z]?\)', 1) ELSE regexp_extract(t, '(?s)^(.*?)\b(?:19|20)[0-9]{{2}}[a-z]?\b', 1) END AS before FROM text),
-name AS (SELECT entry_id, y, coalesce(nullif(regexp_extract(before, '^({_SURNAME}+)', 1), ''), nullif(regexp_extract(before, '^(?:[A-Z]\.{_SPACE}*){{1,3}}({_SURNAME}+)', 1), ''), nullif(regexp_extract(before, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])({_SURNAME}{{2,}})', 1), '')) AS s FROM year)"""
+name AS (SELECT *, coalesce(nullif(regexp_extract(before, '^({_SURNAME}+)', 1), ''), nullif(regexp_extract(before, '^(?:[A-Z]\.{_SPACE}*){{1,3}}({_SURNAME}+)', 1), ''), nullif(regexp_extract(before, '(?:^|[^\p{{L}}\p{{M}}\p{{N}}_])({_SURNAME}{{2,}})', 1), '')) AS s FROM year)"""
+_KEY = _KEY_OF.replace("{entries}", "per_document_entries")
 
 
 @query(f"WITH {_KEY} SELECT entry_id, CASE WHEN y IS NOT NULL THEN s END AS surname, CASE WHEN s IS NOT NULL THEN y END AS year FROM name")
@@ -353,13 +379,14 @@ def most_cited_authors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {_ENTRIES}, e AS (SELECT cache_id, unnest(CASE WHEN style_guess = 'numbered' THEN num ELSE ad END) AS raw_entry FROM chosen),
-n AS (SELECT count(*) AS n_entries FROM e) SELECT (SELECT count(*) FROM extraction_cache) AS n_documents, (SELECT count(*) FROM biblio WHERE biblio <> '') AS n_with_bibliography, n_entries FROM n""")
+{_KEY_OF.replace("{entries}", "e")}, n AS (SELECT count(*) AS n_entries FROM e) SELECT (SELECT count(*) FROM extraction_cache) AS n_documents, (SELECT count(*) FROM biblio WHERE biblio <> '') AS n_with_bibliography, n_entries, (SELECT count(*) FROM name WHERE y IS NOT NULL AND s IS NOT NULL) AS n_parsed FROM n""")
 def biblio_coverage(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "extraction_cache")
-    return biblio.coverage(documents, biblio.entries(documents)).select("n_documents", "n_with_bibliography", "n_entries")
+    return biblio.coverage(documents, biblio.entries(documents))
 
 
-@query()
+@query(f"""WITH {_ENTRIES}, e AS (SELECT path AS document, style_guess, unnest(CASE WHEN style_guess = 'numbered' THEN num ELSE ad END) AS raw_entry, unnest(range(0, len(CASE WHEN style_guess = 'numbered' THEN num ELSE ad END))) AS entry_no FROM chosen JOIN extraction_cache USING (cache_id)),
+{_KEY_OF.replace("{entries}", "e")} SELECT document, CAST(entry_no AS INTEGER) AS entry_no, style_guess, CASE WHEN y IS NOT NULL THEN s END AS surname, CASE WHEN s IS NOT NULL THEN y END AS year, substr(raw_entry, 1, 300) AS raw_entry FROM name""")
 def biblio_entries(spark: SparkSession, folder: str) -> DataFrame:
     return biblio.entries(texts(spark, folder, ["path", "pages"]))
 
@@ -367,7 +394,7 @@ def biblio_entries(spark: SparkSession, folder: str) -> DataFrame:
 # ---- canvases ---------------------------------------------------------------------------------------------------
 
 _VOLUME_NODES = "SELECT event_id AS id, event_id AS ord, CASE WHEN event_type = 'purchase' THEN 'group' ELSE 'text' END AS type, CAST((event_id * 37) % 5003 AS DOUBLE) AS x, CAST((event_id * 91) % 4001 AS DOUBLE) AS y, CAST(40 + user_id % 160 AS DOUBLE) AS width, CAST(30 + event_id % 90 AS DOUBLE) AS height FROM events"
-_VOLUME_EDGES = "SELECT event_id AS ord, event_id AS \"fromNode\", (event_id * 7) % 12000 AS \"toNode\", CAST(NULL AS VARCHAR) AS \"fromSide\", CASE WHEN event_id % 5 = 0 THEN 'top' END AS \"toSide\", CAST(NULL AS VARCHAR) AS \"fromEnd\", CASE WHEN event_id % 3 = 0 THEN 'none' END AS \"toEnd\", CASE WHEN event_id % 4 = 0 THEN '4' WHEN event_id % 4 = 1 THEN '#123456' END AS color FROM events"
+_VOLUME_EDGES = "SELECT event_id AS ord, event_id AS \"fromNode\", (event_id * 7) % 12000 AS \"toNode\", CAST(NULL AS VARCHAR) AS \"fromSide\", CASE WHEN event_id % 5 = 0 THEN 'top' END AS \"toSide\", CAST(NULL AS VARCHAR) AS \"fromEnd\", CASE WHEN event_id % 3 = 0 THEN 'none' END AS \"toEnd\", CASE WHEN event_id % 4 = 0 THEN '4' WHEN event_id % 4 = 1 THEN '#123456' END AS color, CASE WHEN event_id % 6 = 0 THEN event_type || chr(10) || '<' || event_id || ' & co' END AS label FROM events"
 
 
 def _volume(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -375,7 +402,7 @@ def _volume(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, folder, "events")
     i = F.col("event_id")
     nodes = e.select(i.alias("id"), i.alias("ord"), F.when(F.col("event_type") == "purchase", "group").otherwise("text").alias("type"), ((i * 37) % 5003).cast("double").alias("x"), ((i * 91) % 4001).cast("double").alias("y"), (40 + F.col("user_id") % 160).cast("double").alias("width"), (30 + i % 90).cast("double").alias("height"))
-    edges = e.select(i.alias("ord"), i.alias("fromNode"), ((i * 7) % 12000).alias("toNode"), F.lit(None).cast("string").alias("fromSide"), F.when(i % 5 == 0, "top").alias("toSide"), F.lit(None).cast("string").alias("fromEnd"), F.when(i % 3 == 0, "none").alias("toEnd"), F.when(i % 4 == 0, "4").when(i % 4 == 1, "#123456").alias("color"))
+    edges = e.select(i.alias("ord"), i.alias("fromNode"), ((i * 7) % 12000).alias("toNode"), F.lit(None).cast("string").alias("fromSide"), F.when(i % 5 == 0, "top").alias("toSide"), F.lit(None).cast("string").alias("fromEnd"), F.when(i % 3 == 0, "none").alias("toEnd"), F.when(i % 4 == 0, "4").when(i % 4 == 1, "#123456").alias("color"), F.when(i % 6 == 0, F.concat("event_type", F.lit("\n<"), i.cast("string"), F.lit(" & co"))).alias("label"))
     return nodes, edges
 
 
@@ -397,7 +424,7 @@ def edge_join(spark: SparkSession, folder: str) -> DataFrame:
     return canvas.joined_edges(*_volume(spark, folder)).select("ord", F.col("fromNode").alias("from_node"), F.col("toNode").alias("to_node"))
 
 
-def _side_sql() -> str:
+def _sides() -> str:
     across = "abs(dx) * greatest(ah, 1) > abs(dy) * greatest(aw, 1)"
     return f"""{_JOINED}, d AS (SELECT *, (bx + bw / 2) - (ax + aw / 2) AS dx, (by_ + bh / 2) - (ay + ah / 2) AS dy FROM j),
 s AS (SELECT *, coalesce("fromSide", CASE WHEN {across} THEN CASE WHEN dx > 0 THEN 'right' ELSE 'left' END WHEN dy > 0 THEN 'bottom' ELSE 'top' END) AS fs,
@@ -405,12 +432,15 @@ s AS (SELECT *, coalesce("fromSide", CASE WHEN {across} THEN CASE WHEN dx > 0 TH
 p AS (SELECT *, CASE fs WHEN 'left' THEN ax WHEN 'right' THEN ax + aw ELSE ax + aw / 2 END AS x0, CASE fs WHEN 'top' THEN ay WHEN 'bottom' THEN ay + ah ELSE ay + ah / 2 END AS y0,
  CASE ts WHEN 'left' THEN bx WHEN 'right' THEN bx + bw ELSE bx + bw / 2 END AS x3, CASE ts WHEN 'top' THEN by_ WHEN 'bottom' THEN by_ + bh ELSE by_ + bh / 2 END AS y3 FROM s),
 k AS (SELECT *, greatest(40.0, least(0.5 * sqrt((x3 - x0) * (x3 - x0) + (y3 - y0) * (y3 - y0)), 250.0)) AS k FROM p),
-q AS (SELECT *, x0 + CASE fs WHEN 'left' THEN -k WHEN 'right' THEN k ELSE 0 END AS x1, y0 + CASE fs WHEN 'top' THEN -k WHEN 'bottom' THEN k ELSE 0 END AS y1, x3 + CASE ts WHEN 'left' THEN -k WHEN 'right' THEN k ELSE 0 END AS x2, y3 + CASE ts WHEN 'top' THEN -k WHEN 'bottom' THEN k ELSE 0 END AS y2 FROM k)
+q AS (SELECT *, x0 + CASE fs WHEN 'left' THEN -k WHEN 'right' THEN k ELSE 0 END AS x1, y0 + CASE fs WHEN 'top' THEN -k WHEN 'bottom' THEN k ELSE 0 END AS y1, x3 + CASE ts WHEN 'left' THEN -k WHEN 'right' THEN k ELSE 0 END AS x2, y3 + CASE ts WHEN 'top' THEN -k WHEN 'bottom' THEN k ELSE 0 END AS y2 FROM k)"""
+
+
+_GEOMETRY = f"""{_sides()}
 SELECT ord, fs AS from_side, ts AS to_side, x0, y0, round(x1, 4) AS x1, round(y1, 4) AS y1, round(x2, 4) AS x2, round(y2, 4) AS y2, x3, y3, round(k, 4) AS k, round(0.125 * x0 + 0.375 * x1 + 0.375 * x2 + 0.125 * x3, 4) AS label_x, round(0.125 * y0 + 0.375 * y1 + 0.375 * y2 + 0.125 * y3, 4) AS label_y,
  coalesce("toEnd", 'arrow') = 'arrow' AS arrow_at_end, coalesce("fromEnd", 'none') = 'arrow' AS arrow_at_start, CASE WHEN color = '4' THEN '#44cf6e' WHEN color IS NULL THEN '#a3a3a3' ELSE color END AS stroke FROM q"""
 
 
-@query(_side_sql())
+@query(_GEOMETRY)
 def edge_geometry(spark: SparkSession, folder: str) -> DataFrame:
     g = canvas.edge_geometry(canvas.joined_edges(*_volume(spark, folder)))
     r = lambda c: F.round(F.col(c), 4)
@@ -422,9 +452,20 @@ def canvas_counts(spark: SparkSession, folder: str) -> DataFrame:
     return canvas.canvas_counts(*_volume(spark, folder))
 
 
-@query()
+def _head_sql(tip: str, source: str) -> str:
+    """The three points of an arrow head at one point, coming from another."""
+    dx, dy = f"(x{tip} - x{source})", f"(y{tip} - y{source})"
+    d = f"(CASE WHEN sqrt({dx} * {dx} + {dy} * {dy}) = 0 THEN 1.0 ELSE sqrt({dx} * {dx} + {dy} * {dy}) END)"
+    bx, by = f"(x{tip} - {dx} / {d} * 12)", f"(y{tip} - {dy} / {d} * 12)"
+    px, py = f"(-{dy} / {d} * 12 * 0.55)", f"({dx} / {d} * 12 * 0.55)"
+    return f"""printf('<polygon points="%.1f,%.1f %.1f,%.1f %.1f,%.1f" fill="%s"/>', x{tip}, y{tip}, {bx} + {px}, {by} + {py}, {bx} - {px}, {by} - {py}, stroke)"""
+
+
+@query(f"""{_sides()}, z AS (SELECT *, CASE WHEN color = '4' THEN '#44cf6e' WHEN color IS NULL THEN '#a3a3a3' ELSE color END AS stroke FROM q)
+SELECT ord, printf('<path d="M%.1f,%.1f C%.1f,%.1f %.1f,%.1f %.1f,%.1f" stroke="%s" stroke-width="3" fill="none"/>', x0, y0, x1, y1, x2, y2, x3, y3, stroke) || CASE WHEN coalesce("toEnd", 'arrow') = 'arrow' THEN {_head_sql('3', '2')} ELSE '' END || CASE WHEN coalesce("fromEnd", 'none') = 'arrow' THEN {_head_sql('0', '1')} ELSE '' END AS path,
+ CASE WHEN coalesce(label, '') = '' THEN '' ELSE printf('<div class="edge-label" style="left:%.1fpx;top:%.1fpx">', 0.125 * x0 + 0.375 * x1 + 0.375 * x2 + 0.125 * x3, 0.125 * y0 + 0.375 * y1 + 0.375 * y2 + 0.125 * y3) || replace(replace(replace(replace(label, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(10), '<br>') || '</div>' END AS label FROM z""")
 def edge_paths(spark: SparkSession, folder: str) -> DataFrame:
-    return canvas.edge_markup(canvas.edge_geometry(canvas.joined_edges(*_volume(spark, folder))).withColumn("label", F.lit(None).cast("string")))
+    return canvas.edge_markup(canvas.edge_geometry(canvas.joined_edges(*_volume(spark, folder))))
 
 
 _FILES = "files AS (SELECT path || '.md' AS path, min(cache_id) AS walk_ord FROM extraction_cache WHERE path IS NOT NULL GROUP BY path)"
@@ -465,6 +506,8 @@ def _register_fixtures() -> None:
 
 _PAIRS = lambda c, **named: F.array_join(F.transform(c, lambda s: F.concat_ws("~", *(s[k] for k in named))), "|")
 
+_BOX = '<div class="callout" style="--c:%s"><div class="callout-title">%s</div><div class="callout-body"><p>%s</div></div>'
+
 FIXTURE_QUERIES: dict[str, tuple[str, Callable[[DataFrame], DataFrame], str | None]] = {
     "tile_grid": (
         "pages",
@@ -534,7 +577,15 @@ SELECT f.id, CASE WHEN e.id IS NULL THEN text ELSE array_to_string(list_slice(st
         r"""SELECT id, regexp_replace(text, '(?s)<pre><code class="language-mermaid">(.*?)</code></pre>', '<pre class="mermaid">\1</pre>', 'g') AS out, contains(text, 'class="language-mermaid"') AS uses_mermaid FROM f""",
     ),
     "capability_flags": ("notes", lambda f: f.agg(F.bool_or(markup.uses_math(F.col("text"))).alias("uses_math"), F.count(F.lit(1)).alias("n_notes")), "SELECT bool_or(contains(text, '$$')) AS uses_math, count(*) AS n_notes FROM f"),
-    "callouts": ("html", lambda f: f.select("id", markup.callouts(F.col("text")).alias("out")), None),
+    "callouts": (
+        "html",
+        lambda f: f.select("id", markup.callouts(F.col("text")).alias("out")),
+        "SELECT id, CASE id WHEN 2 THEN "
+        + _quoted(_BOX % ("#ec7500", "Mind this", "body</p>\n") + "<p>after</p>")
+        + " WHEN 3 THEN "
+        + _quoted(_BOX % ("#086ddd", "Odd", "\ntext</p>") + "<blockquote><p>plain</p></blockquote>")
+        + " ELSE text END AS out FROM f",
+    ),
     "image_sizes": (
         "sizes",
         lambda f: f.select("id", markup.image_style(F.col("size")).alias("style")),
@@ -549,9 +600,9 @@ def html_pages(spark: SparkSession, folder: str) -> DataFrame:
     return html_page(_fixture("canvas_nodes", spark), _fixture("canvas_edges", spark), _fixture("vault", spark))
 
 
-@query()
+@query(f"SELECT cache_id, path, CAST(len(pages) AS INTEGER) AS n_pages, {_RAW} AS text FROM extraction_cache")
 def cache_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     # the cache as JSON lines and back, within the plan
     cache = table(spark, folder, "extraction_cache")
     lines = cache.select("cache_id", F.to_json(F.struct("path", "pages")).alias("line"))
-    return lines.select("cache_id", F.from_json("line", corpus.CACHE_SCHEMA).alias("r")).select("cache_id", "r.path", F.size("r.pages").alias("n_pages"))
+    return lines.select("cache_id", F.from_json("line", corpus.CACHE_SCHEMA).alias("r")).select("cache_id", "r.path", F.when(F.col("r.pages").isNotNull(), F.size("r.pages")).alias("n_pages"), T.join_pages(F.col("r.pages")).alias("text"))

@@ -43,5 +43,9 @@ ROWS = {
         ("l", 4, "link", 20.0, 70.0, 60.0, 20.0, None, None, None, None, None, "https://example.org/?a=1&b=2", None, None),
     ],
     "canvas_edges": [(0, "a", "b", None, None, None, None, None, "to\nb"), (1, "a", "missing", None, None, None, None, None, None), (2, "f", "l", "left", "right", "arrow", "none", "5", None)],
-    "vault": [("Note.md", 1, "# Intro\nx\n## Part\nthe part\n## Next\ny"), ("pic.png", 2, None)],
+    "vault": [
+        ("Note.md", 1, "# Intro\nx\n## Part\nthe part ![[pic.png|20x10]] ![[Deep#In]] ![[gone]]\n![alt](pic.png) ![far](no.png)\n## Next\ny"),
+        ("pic.png", 2, None),
+        ("d/Deep.md", 3, "# In\n> [!tip] Mind\n> body ![[Note#Next]] ![[Deep]]\n\n- [x] done\n# Out\nz"),
+    ],
 }

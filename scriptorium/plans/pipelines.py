@@ -77,7 +77,7 @@ def export_canvas(spark: SparkSession, path: str, output: str, vault: str | None
     nodes, edges = corpus.read_canvas(spark, path)
     found = corpus.vault_files(spark, vault or corpus.vault_root(path))
     files = found.select("path", "walk_ord", F.when(F.lower("path").endswith(".md"), corpus.note_text(F.col("content"))).alias("text"))
-    page = html_page(nodes, edges, files, theme, padding, dots, not offline, renderer)
+    page = html_page(nodes, edges, files, theme, padding, dots, not offline, renderer, "file://" + str(Path(vault or corpus.vault_root(path)).resolve()))
     if page.isEmpty():
         raise ValueError("the canvas has no nodes")
     manifest = canvas.tile_manifest(canvas.tile_plan(page.select("width", "height"), scale, tile, preview), scale)

@@ -87,7 +87,7 @@ def test_page_has_groups_edges_cards_in_order(spark):
     row = html_page(make("canvas_nodes"), make("canvas_edges"), make("vault")).first()
     assert (row.width, row.height) == (360, 300)
     assert row.html.index("Group &amp; co") < row.html.index("<svg") < row.html.index('<span class="internal-link">Note</span>')
-    assert "## Part" in row.html and "the part" in row.html and "## Next" not in row.html
+    assert "<h2>Part</h2>" in row.html and "the part" in row.html and "<h2>Intro</h2>" not in row.html
     assert row.html.count("<path") == 2 and row.html.count("<polygon") == 2
     assert "to<br>b" in row.html and "katex" in row.html and "?a=1&amp;b=2" in row.html
     empty = html_page(make("canvas_nodes").limit(0), make("canvas_edges"))
