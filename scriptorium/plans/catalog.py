@@ -491,17 +491,22 @@ def _fixture(name: str, spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fixtures.ROWS[name], fixtures.SCHEMAS[name])
 
 
+def _notes(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, and the small notes, whose markup the documents have little of, under negative ids."""
+    return texts(spark, folder, ["doc_id", "text"], "documents").withColumnRenamed("doc_id", "id").unionAll(_fixture("notes", spark).select((-F.col("id")).cast("bigint").alias("id"), "text"))
+
+
 def _register_fixtures() -> None:
     for name, (on, run, sql) in FIXTURE_QUERIES.items():
         columns = ", ".join(c.split()[0] for c in fixtures.SCHEMAS[on].split(", "))
 
         def call(spark: SparkSession, folder: str, on: str = on, run: Callable[[DataFrame], DataFrame] = run) -> DataFrame:
-            return run(_fixture(on, spark))
+            return run(_notes(spark, folder) if on == "notes" else _fixture(on, spark))
 
         QUERIES[name] = call
         if sql:
             values = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int | float) else _quoted(v) for v in row) + ")" for row in fixtures.ROWS[on])
-            ORACLES[name] = f"WITH f({columns}) AS (VALUES {values}) {sql}"
+            ORACLES[name] = f"WITH small({columns}) AS (VALUES {values}), f AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -id, text FROM small) {sql}" if on == "notes" else f"WITH f({columns}) AS (VALUES {values}) {sql}"
 
 
 _PAIRS = lambda c, **named: F.array_join(F.transform(c, lambda s: F.concat_ws("~", *(s[k] for k in named))), "|")
@@ -595,7 +600,7 @@ SELECT f.id, CASE WHEN e.id IS NULL THEN text ELSE array_to_string(list_slice(st
 _register_fixtures()
 
 
-@query()
+@query(f"SELECT {_quoted(fixtures.PAGE)} AS html, CAST(360 AS BIGINT) AS width, CAST(300 AS BIGINT) AS height")
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
     return html_page(_fixture("canvas_nodes", spark), _fixture("canvas_edges", spark), _fixture("vault", spark))
 

@@ -49,3 +49,22 @@ ROWS = {
         ("d/Deep.md", 3, "# In\n> [!tip] Mind\n> body ![[Note#Next]] ![[Deep]]\n\n- [x] done\n# Out\nz"),
     ],
 }
+
+#: The page of ``canvas_nodes``, ``canvas_edges`` and ``vault``, worked out by hand from the rules of markup and geometry.
+PAGE = (
+    "<!doctype html><html><head><meta charset='utf-8'><style>:root{--bg:#ffffff;--card:#ffffff;--text:#222222;--muted:#6c6c6c;--border:#c8c8c8;--edge:#a3a3a3;--code:#f3f3f3;--link:#7852ee;--dots:#e2e2e2;}* { box-sizing: border-box } body { margin: 0; background: var(--bg); color: var(--text) } #world { position: relative } .node, .group { position: absolute; border: 2px solid var(--nc, var(--border)); border-radius: 8px; background: var(--card) } .group { background-color: transparent } #edges { position: absolute; left: 0; top: 0 } .edge-label, .file-title { position: absolute }</style>"
+    '<link rel="stylesheet" href="https://cdn.jsdelivr.net/npm/katex@0.16.11/dist/katex.min.css"></head><body><div id="world" class="" style="width:360px;height:300px">'
+    '<div class="group coloured" style="left:80px;top:120px;width:200px;height:100px;--nc:#fb464c;"><div class="group-label">Group &amp; co</div></div><svg id="edges" width="360" height="300" xmlns="http://www.w3.org/2000/svg">'
+    '<path d="M160.0,160.0 C200.0,160.0 160.0,160.0 200.0,160.0" stroke="#a3a3a3" stroke-width="3" fill="none"/><polygon points="200.0,160.0 188.0,166.6 188.0,153.4" fill="#a3a3a3"/>'
+    '<path d="M200.0,200.0 C160.0,200.0 200.0,200.0 160.0,200.0" stroke="#53dfdd" stroke-width="3" fill="none"/><polygon points="200.0,200.0 188.0,206.6 188.0,193.4" fill="#53dfdd"/>'
+    '</svg><div class="node" style="left:100px;top:140px;width:60px;height:40px;"><div class="content md"><p><strong>A</strong> <span class="internal-link">Note</span> <span class="tag">#tag</span>'
+    '</p></div></div><div class="node" style="left:200px;top:140px;width:60px;height:40px;"><div class="content md"><p>B <span class="math" data-tex="x">$x$</span>'
+    '</p></div></div><div class="file-title" style="left:200px;top:164px;max-width:60px">Note</div><div class="node" style="left:200px;top:190px;width:60px;height:20px;">'
+    '<div class="content md"><h2>Part</h2>\n<p>the part <img src="pic.png" alt="pic.png" style="width:20px;height:10px;"> <div class="embed"><div class="embed-title">Deep#In</div>'
+    '<h1>In</h1>\n<div class="callout" style="--c:#00bfbc"><div class="callout-title">Mind</div><div class="callout-body"><p>body <div class="embed"><div class="embed-title">Note#Next</div>'
+    '<h2>Next</h2>\n<p>y</p></div> <div class="embed"><div class="embed-title">Deep</div><h1>In</h1>\n<div class="callout" style="--c:#00bfbc"><div class="callout-title">Mind</div>'
+    '<div class="callout-body"><p>body <span class="internal-link">Note.md</span> <span class="internal-link">Deep.md</span></p>\n</div></div>\n<ul>\n<li class="task done">☑ done</li>\n</ul>\n<h1>Out</h1>\n<p>z</p>'
+    '</div></p>\n</div></div>\n<ul>\n<li class="task done">☑ done</li>\n</ul></div> <span class="unresolved">![[gone]]</span><br>\n<img src="pic.png" alt="alt"> <img alt="far" src="no.png">'
+    '</p></div></div><div class="node link-node" style="left:100px;top:190px;width:60px;height:20px;"><div class="content"><div class="link-icon">🔗</div><div class="link-url">https://example.org/?a=1&amp;b=2</div>'
+    '</div></div><div class="edge-label" style="left:180.0px;top:160.0px">to<br>b</div></div><script src="https://cdn.jsdelivr.net/npm/katex@0.16.11/dist/katex.min.js"></script></body></html>'
+)
