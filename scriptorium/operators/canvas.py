@@ -23,6 +23,8 @@ LEAST_PULL, MOST_PULL, PULL = 40.0, 250.0, 0.5
 ARROW_SIZE, ARROW_HALF_WIDTH = 12, 0.55
 LEAST_TILE, DEFAULT_TILE = 64, 2048
 PREVIEW = 4000
+#: Longest side of a picture in its format.
+MOST_PIXELS = 2**31 - 2
 
 
 def colour_of(value: Column, default: str) -> Column:

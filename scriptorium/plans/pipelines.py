@@ -1,4 +1,4 @@
-"""The four entry points as functions, with the options of their command lines, and a small command line."""
+"""The four entry points as functions, and their command line."""
 
 from __future__ import annotations
 
@@ -11,15 +11,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from scriptorium.functions.taxonomy import NATIVE, NATIVE_PHRASES, NATIVE_VARIANTS, Taxonomy, Variant
 from scriptorium.operators import biblio, canvas, concepts, sensitivity
 from scriptorium.plans.page import html_page
-from scriptorium.session import cut
-from scriptorium.sources import corpus, sinks
+from scriptorium.session import cut, ship_package
+from scriptorium.sources import corpus, extractors, sinks
 
 Extractor = Callable[[bytes], list[str]]
 
 
-def load_documents(spark: SparkSession, folder: str | None = None, cache: str | None = None, extractors: Iterable[Extractor] = ()) -> DataFrame:
+def load_documents(spark: SparkSession, folder: str | None = None, cache: str | None = None, readers: Iterable[Extractor] = (), workers: int | None = None) -> DataFrame:
     """(path, pages): the cache where it exists, else the files of a folder through the extractors."""
-    build = lambda: corpus.extract_pages(corpus.discover(spark, folder), *extractors)
+
+    def build() -> DataFrame:
+        if not folder or not readers:
+            raise ValueError("a folder and an extractor are needed where there is no cache")
+        files = corpus.discover(spark, folder)
+        return corpus.extract_pages(files.repartition(workers) if workers else files, *readers)
+
     if cache:
         return corpus.cached_pages(spark, cache, build)
     if not folder:
@@ -72,30 +78,48 @@ def analyse_bibliography(documents: DataFrame, output: str) -> dict[str, DataFra
     return out
 
 
-def export_canvas(spark: SparkSession, path: str, output: str, vault: str | None = None, scale: float = 2.0, theme: str = "light", padding: int = canvas.PADDING, dots: bool = False, tile: int = canvas.DEFAULT_TILE, preview: int = canvas.PREVIEW, offline: bool = False, renderer: Callable[[str], str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The page of a canvas and the manifest of its tiles, written below ``output``."""
+def export_canvas(
+    spark: SparkSession, path: str, output: str, vault: str | None = None, scale: float = 2.0, theme: str = "light", padding: int = canvas.PADDING, dots: bool = False, tile: int = canvas.DEFAULT_TILE, preview: int = canvas.PREVIEW,
+    offline: bool = False, renderer: Callable[[str], str] | None = None, tiles_dir: str | None = None, html_only: bool = False, dry_run: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The page of a canvas and the manifest of its tiles, written below ``output`` (the manifest below ``tiles_dir``).
+
+    With ``html_only`` the page alone is written, with ``dry_run`` nothing. A picture beyond the format's size is an
+    error where tiles are asked for.
+    """
     nodes, edges = corpus.read_canvas(spark, path)
-    found = corpus.vault_files(spark, vault or corpus.vault_root(path))
+    root = str(Path(vault or corpus.vault_root(path)).resolve())
+    found = corpus.vault_files(spark, root)
     files = found.select("path", "walk_ord", F.when(F.lower("path").endswith(".md"), corpus.note_text(F.col("content"))).alias("text"))
-    page = html_page(nodes, edges, files, theme, padding, dots, not offline, renderer, "file://" + str(Path(vault or corpus.vault_root(path)).resolve()))
-    if page.isEmpty():
+    page = cut(html_page(nodes, edges, files, theme, padding, dots, not offline, renderer, f"file://{root}"))
+    plan = canvas.tile_plan(page.select("width", "height"), scale, tile, preview)
+    size = plan.select("width", "height", "out_width", "out_height").first()
+    if size is None:
         raise ValueError("the canvas has no nodes")
-    manifest = canvas.tile_manifest(canvas.tile_plan(page.select("width", "height"), scale, tile, preview), scale)
-    sinks.write_text(page, "html", f"{output}/page.html")
-    sinks.write_csv(manifest, f"{output}/tiles.csv")
+    print(f"{size.width} x {size.height} units, {size.out_width} x {size.out_height} pixels at scale {scale}")
+    manifest = canvas.tile_manifest(plan, scale)
+    if html_only or not dry_run:
+        sinks.write_text(page, "html", f"{output}/page.html")
+    if not html_only and not dry_run:
+        if max(size.out_width, size.out_height) > canvas.MOST_PIXELS:
+            raise ValueError("the picture is larger than the format allows; take a smaller scale")
+        sinks.write_csv(manifest, f"{tiles_dir or output}/tiles.csv")
     return page, manifest
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="scriptorium", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("corpus", "sensitivity", "bibliography"):
+    for name, output in (("corpus", "results"), ("sensitivity", "sensitivity_results"), ("bibliography", "bibliography_results")):
         command = commands.add_parser(name)
-        command.add_argument("--cache-file", required=True, help="extraction cache of JSON lines")
-        command.add_argument("--output", default="results")
+        command.add_argument("--corpus-dir", help="folder of PDF files, read by an installed PDF library")
+        command.add_argument("--cache-file", help="extraction cache of JSON lines; written there first if it is not there yet")
+        command.add_argument("--output", "--output-dir", dest="output", default=output)
+        command.add_argument("--workers", type=int, help="tasks that read files side by side; by default as many as there are cores")
         if name == "corpus":
             command.add_argument("--exclude-list")
             command.add_argument("--top-n", type=int, default=40)
+            command.add_argument("--no-plots", action="store_true", help="without effect: the data of the charts are written, and none is drawn")
     command = commands.add_parser("canvas")
     command.add_argument("canvas")
     command.add_argument("-o", "--output")
@@ -106,13 +130,17 @@ def main(argv: list[str] | None = None) -> None:
     command.add_argument("--dots", action="store_true")
     command.add_argument("--tile", type=int, default=canvas.DEFAULT_TILE)
     command.add_argument("--preview", type=int, default=canvas.PREVIEW)
+    command.add_argument("--tiles-dir", help="folder for the manifest of the tiles")
     command.add_argument("--offline", action="store_true")
+    command.add_argument("--html-only", action="store_true")
+    command.add_argument("--dry-run", action="store_true")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("scriptorium").getOrCreate()
+    ship_package(spark)
     if args.command == "canvas":
-        export_canvas(spark, args.canvas, args.output or str(Path(args.canvas).with_suffix("")), args.vault, args.scale, args.theme, args.padding, args.dots, args.tile, args.preview, args.offline)
+        export_canvas(spark, args.canvas, args.output or str(Path(args.canvas).with_suffix("")), args.vault, args.scale, args.theme, args.padding, args.dots, args.tile, args.preview, args.offline, tiles_dir=args.tiles_dir, html_only=args.html_only, dry_run=args.dry_run)
         return
-    documents = load_documents(spark, cache=args.cache_file)
+    documents = load_documents(spark, args.corpus_dir, args.cache_file, extractors.installed() if args.corpus_dir else (), args.workers)
     if args.command == "corpus":
         analyse_corpus(documents, args.output, exclude_list=args.exclude_list, top_n=args.top_n)
     elif args.command == "sensitivity":

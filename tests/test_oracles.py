@@ -29,9 +29,8 @@ def test_same_rows_as_sql(spark, folder, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_queries_without_sql_run(spark, folder, name):
-    assert catalog.QUERIES[name](spark, folder).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
 
 
 def test_entry_runs(spark, folder):

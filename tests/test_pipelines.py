@@ -125,3 +125,24 @@ def test_long_console_report_is_an_error(spark):
 
     with pytest.raises(ValueError, match="file"):
         sinks.console_table(spark.range(sinks.MAX_LINES + 1).selectExpr("CAST(id AS STRING) AS id"), {"id": 5})
+
+
+def test_command_lines(spark, cache, tmp_path, capsys):
+    pipelines.main(["corpus", "--cache-file", cache, "--output-dir", str(tmp_path / "r"), "--top-n", "1", "--no-plots"])
+    assert len(read_csv(tmp_path / "r" / "top_1_documents.csv")) == 1
+    pipelines.main(["sensitivity", "--cache-file", cache, "--output", str(tmp_path / "s")])
+    pipelines.main(["bibliography", "--cache-file", cache, "--output", str(tmp_path / "b")])
+    assert len(read_csv(tmp_path / "s")) == 8 and len(read_csv(tmp_path / "b" / "most_cited_works.csv")) == 3
+    vault = tmp_path / "v"
+    vault.mkdir()
+    (vault / "a b.png").write_bytes(b"x")
+    (vault / "c.canvas").write_text(json.dumps({"nodes": [{"id": "n", "type": "text", "text": "![[a b.png|9]]", "x": 0, "y": 0, "width": 100, "height": 50}], "edges": []}))
+    pipelines.main(["canvas", str(vault / "c.canvas"), "--vault", str(vault), "--dry-run", "-o", str(tmp_path / "none")])
+    assert not (tmp_path / "none").exists() and "520 x 420 pixels" in capsys.readouterr().out
+    pipelines.main(["canvas", str(vault / "c.canvas"), "--vault", str(vault), "--html-only", "-o", str(tmp_path / "page")])
+    page = next((tmp_path / "page" / "page.html").glob("*.txt")).read_text()
+    assert f'<img src="file://{vault}/a%20b.png" alt="a b.png" style="width:9px;">' in page and not (tmp_path / "page" / "tiles.csv").exists()
+    with pytest.raises(ValueError, match="larger"):
+        pipelines.main(["canvas", str(vault / "c.canvas"), "--vault", str(vault), "-s", "1e9", "-o", str(tmp_path / "big")])
+    with pytest.raises(ValueError, match="extractor"):
+        pipelines.load_documents(spark, str(tmp_path))
