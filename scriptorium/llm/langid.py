@@ -108,9 +108,11 @@ class TrigramModels:
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log-likelihood of each text under each language, and the number of its trigrams."""
-        grams = [trigrams(t) for t in texts]
+        return self.score_trigrams([trigrams(t) for t in texts])
+
+    def score_trigrams(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.array([len(g) for g in grams])
-        out = np.zeros((len(texts), len(LANGUAGES)))
+        out = np.zeros((len(grams), len(LANGUAGES)))
         full = np.flatnonzero(sizes)
         if len(full):
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
@@ -120,24 +122,21 @@ class TrigramModels:
     def learn(self, records: list[tuple[str, list[str]]], rounds: int = ROUNDS) -> TrigramModels:
         """Learn from (label, paragraphs); after the first round each paragraph counts for the language it reads as."""
         seed = self.counts.copy()
+        # the trigrams of a part are found once; a bucket's number takes two bytes
+        read = [(label, [trigrams(part).astype(np.uint16) for part in parts]) for label, parts in records if parts]
         for r in range(rounds + 1):
-            counts = seed.copy()
-            for label, parts in records:
-                if not parts:
-                    continue
-                if r:
-                    best = self.score(parts)[0].argmax(1)
-                else:
-                    best = np.full(len(parts), LANGUAGES.index(label))
-                for k, part in zip(best, parts, strict=True):
-                    np.add.at(counts[:, k], trigrams(part), 1.0)
-            self.counts = counts
+            of: list[list[np.ndarray]] = [[] for _ in LANGUAGES]
+            for label, grams in read:
+                for k, own in zip(self.score_trigrams(grams)[0].argmax(1) if r else [LANGUAGES.index(label)] * len(grams), grams, strict=True):
+                    of[k].append(own)
+            self.counts = seed.copy()
+            for k, grams in enumerate(of):
+                if grams:
+                    self.counts[:, k] += np.bincount(np.concatenate(grams), minlength=BUCKETS)
             self._finish()
         means: list[list[float]] = [[] for _ in LANGUAGES]
-        for _, parts in records:
-            if not parts:
-                continue
-            score, sizes = self.score(parts)
+        for _, grams in read:
+            score, sizes = self.score_trigrams(grams)
             for row, n in zip(score, sizes, strict=True):
                 if n > 60:
                     means[int(row.argmax())].append(float(row.max() / n))
