@@ -30,7 +30,7 @@ from scriptorium.llm.common import bounded_sample, cut
 from scriptorium.llm.lexicon import FUNCTION_WORDS
 
 MIN_CHARS = 200
-#: Pages in the training sample, and the longest page in it: bounds on what reaches the driver.
+#: Pages in the training sample, and the longest page in it: at most 42 blocks a page reach the driver, as their features.
 SAMPLE_PAGES, SAMPLE_CHARS = 6_000, 10_000
 #: Shorter neighbouring blocks are read as one; longer blocks are read in pieces of about this size.
 SHORT_BLOCK, PIECE = 120, 240
@@ -248,17 +248,44 @@ def weak_label(f: list[float], block: str) -> int | None:
     return 0 if ham else None
 
 
-def train(texts: list[str]) -> BaggedTrees | None:
-    rows, labels = [], []
+def labelled_blocks(texts: list[str]) -> list[tuple[int, int, int, list[float]]]:
+    """(text's place, block's place, label, features) of the blocks that a rule is sure of."""
     pages = [blocks(text) for text in texts]
-    for features, block in zip(page_features(pages), [b for page in pages for b in page], strict=True):
-        label = weak_label(features, block)
-        if label is not None:
-            rows.append(features)
-            labels.append(label)
-    if len(set(labels)) < 2:
-        return None
-    return BaggedTrees(TREES, share=FEATURE_SHARE).fit(np.array(rows), np.array(labels))
+    features = iter(page_features(pages))
+    out = []
+    for k, page in enumerate(pages):
+        for n, block in enumerate(page):
+            own = next(features)
+            label = weak_label(own, block)
+            if label is not None:
+                out.append((k, n, label, own))
+    return out
+
+
+def fitted(labels: np.ndarray, rows: np.ndarray) -> BaggedTrees | None:
+    """The trees, or None where there are not blocks of both kinds."""
+    return BaggedTrees(TREES, share=FEATURE_SHARE).fit(rows, labels) if len(np.unique(labels)) == 2 else None
+
+
+def train(texts: list[str]) -> BaggedTrees | None:
+    found = labelled_blocks(texts)
+    return fitted(np.array([label for _, _, label, _ in found]), np.array([own for *_, own in found]))
+
+
+def train_on(sample: DataFrame) -> BaggedTrees | None:
+    """The trees from a sample (doc_id, text), whose blocks are measured and labelled in tasks; only their features reach the driver."""
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            columns = list(zip(*[(ids[k], n, label, own) for k, n, label, own in labelled_blocks(batch.column(1).to_pylist())], strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "block", "label", "features"])
+
+    spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    # in one order on every run, whatever tasks the blocks come from
+    rows = spread.mapInArrow(label, "doc_id bigint, block int, label int, features array<double>").toPandas().sort_values(["doc_id", "block"], kind="stable")
+    return fitted(rows["label"].to_numpy(), np.stack(rows["features"].to_numpy())) if len(rows) else None
 
 
 def spam_share(texts: list[str | None], trees: BaggedTrees) -> list[float | None]:
@@ -292,7 +319,7 @@ def page_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the labelled sample is bounded in pages and in characters a page; scoring reads every page whole
     short = long.where(F.length("text") <= SAMPLE_CHARS)
     sample = bounded_sample(short, "doc_id", SAMPLE_PAGES, short.count())
-    trees = train([r["text"] for r in sample.select("text").collect()])
+    trees = train_on(sample.select("doc_id", "text"))
     if trees is None:
         return long.select("doc_id", "host", F.lit(0.0).alias("share"))
     shared = docs.sparkSession.sparkContext.broadcast(trees)
