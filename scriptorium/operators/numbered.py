@@ -14,11 +14,10 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     rows of each partition reaches the driver.
     """
     placed = cut(df.orderBy(*order)).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    before, offsets = 0, {}
+    before, offsets = 0, []
     for part, n in sorted(placed.groupBy("_part").agg(F.count(F.lit(1))).collect()):
-        offsets[part] = before
+        offsets.append((part, before))
         before += n
-    if not offsets:
-        return placed.withColumn(name, F.col("_at")).drop("_part", "_at")
-    offset = F.create_map(*[F.lit(x) for part, n in offsets.items() for x in (part, n)])
-    return placed.withColumn(name, F.element_at(offset, F.col("_part")).cast("bigint") + F.col("_at") + 1).drop("_part", "_at")
+    # one row a partition
+    starts = df.sparkSession.createDataFrame(offsets, "_part int, _before bigint")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
